@@ -67,8 +67,8 @@ ORACLE_SQL = {
         FROM m LEFT JOIN c USING (node)""",
     "op4_quality_cascade": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-        w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
-            list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+        w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+            list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
         g AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS s FROM w, unnest(range(1, len(ws) - 6)) q(i)),
         r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
         n AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, unnest(range(8)) q(k) GROUP BY doc_id),
@@ -79,9 +79,9 @@ ORACLE_SQL = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
             NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 10 * n_symbols > n_words
                 OR 10 * n_dup_lines > 3 * len(string_split(t, chr(10)))
-                OR 10 * len(list_filter(ws, x -> regexp_matches(x, '\pL'))) < 7 * n_words
-                OR 10 * len(list_filter(ws, x -> ends_with(x, '!!'))) > 5 * n_words
+                OR 10 * len(list_filter(ws, lambda x: regexp_matches(x, '\pL'))) < 7 * n_words
+                OR 10 * len(list_filter(ws, lambda x: ends_with(x, '!!'))) > 5 * n_words
                 OR 20 * len(list_distinct(ws)) < n_words
-                OR 10 * len(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '^[ \t]*[-•*]'))) > 9 * len(string_split(t, chr(10)))) AS kept
-        FROM f""".replace("\\", "\"),
+                OR 10 * len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^[ \t]*[-•*]'))) > 9 * len(string_split(t, chr(10)))) AS kept
+        FROM f""",
 }
