@@ -132,12 +132,13 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 
 
 def _deal(common, buckets: int, width: int):
-    """Rows (bucket, keys, counts, tokens): a task's tokens dealt to buckets by value, grouped by set; common ones apart."""
+    """Rows (bucket, keys, sizes, counts, tokens): a task's tokens dealt to buckets by value, grouped by set; common ones apart."""
 
     def flush(sets: dict[int, np.ndarray], turn: int):
         keys = np.fromiter(sets, np.int64, len(sets))
         tokens = np.concatenate(list(sets.values()))
-        owner = np.repeat(np.arange(len(keys)), [len(s) for s in sets.values()])
+        sizes = np.array([len(s) for s in sets.values()], "<i4")
+        owner = np.repeat(np.arange(len(keys)), sizes)
         bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         if len(common.value):
             at = np.minimum(np.searchsorted(common.value, tokens), len(common.value) - 1)
@@ -149,8 +150,9 @@ def _deal(common, buckets: int, width: int):
         rows = []
         for at, to in zip(cuts[:-1], cuts[1:], strict=True):
             runs = np.flatnonzero(np.r_[True, owner[at + 1 : to] != owner[at : to - 1], True])
-            rows.append((int(bucket[at]), keys[owner[at:to][runs[:-1]]].tobytes(), np.diff(runs).astype("<i4").tobytes(), tokens[at:to].tobytes()))
-        return _batch("bucket keys counts tokens", [pa.int32(), pa.binary(), pa.binary(), pa.binary()], zip(*rows, strict=True))
+            own = owner[at:to][runs[:-1]]
+            rows.append((int(bucket[at]), keys[own].tobytes(), sizes[own].tobytes(), np.diff(runs).astype("<i4").tobytes(), tokens[at:to].tobytes()))
+        return _batch("bucket keys sizes counts tokens", [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()], zip(*rows, strict=True))
 
     def run(batches):
         held, total, turn = {}, 0, 0
@@ -168,18 +170,21 @@ def _deal(common, buckets: int, width: int):
     return run
 
 
+def _blobs(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
+
+
 def _shared_tokens(buckets: int):
-    """Of one bucket, for each set: its tokens that other sets have too, and in how many sets each is."""
+    """Of one bucket, for each set: its tokens that other sets have too, and in how many sets each is; dealt by set."""
 
     def run(key, table):
-        blobs = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-        keys, counts, tokens = blobs("keys", "<i8"), blobs("counts", "<i4"), blobs("tokens", "<u8")
+        keys, sizes, counts, tokens = (_blobs(table, c, k) for c, k in (("keys", "<i8"), ("sizes", "<i4"), ("counts", "<i4"), ("tokens", "<u8")))
         # equal sets met in several tasks count once
         first = np.zeros(len(keys), bool)
         first[np.unique(keys, return_index=True)[1]] = True
         if not first.all():
             tokens = tokens[np.repeat(first, counts)]
-            keys, counts = keys[first], counts[first]
+            keys, sizes, counts = keys[first], sizes[first], counts[first]
         if key[0].as_py() >= buckets:
             times = np.full(len(tokens), LAST, np.int32)
         else:
@@ -187,11 +192,17 @@ def _shared_tokens(buckets: int):
             times = number[where].astype(np.int32)
         keep = times > 1
         owner = np.repeat(np.arange(len(keys)), counts)[keep]
-        tokens, times = tokens[keep], times[keep]
-        cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True]) if len(owner) else np.zeros(1, int)
-        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        columns = [keys[owner[cuts[:-1]]] if len(owner) else [], [tokens[a:b].tobytes() for a, b in spans], [times[a:b].astype("<i4").tobytes() for a, b in spans]]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["key", "tokens", "times"])
+        slot = (keys % buckets)[owner]
+        order = np.argsort(slot, kind="stable")
+        owner, slot, tokens, times = owner[order], slot[order], tokens[keep][order], times[keep][order]
+        cuts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1], True]) if len(slot) else np.zeros(1, int)
+        rows = []
+        for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+            runs = np.flatnonzero(np.r_[True, owner[at + 1 : to] != owner[at : to - 1], True])
+            own = owner[at:to][runs[:-1]]
+            rows.append((int(slot[at]), keys[own].tobytes(), sizes[own].tobytes(), np.diff(runs).astype("<i4").tobytes(), tokens[at:to].tobytes(), times[at:to].astype("<i4").tobytes()))
+        names = ["slot", "keys", "sizes", "counts", "tokens", "times"]
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 6, [pa.int32(), *[pa.binary()] * 5], strict=True)], names=names)
 
     return run
 
@@ -199,22 +210,27 @@ def _shared_tokens(buckets: int):
 def _arrange(percent: int):
     """Sets that can have a partner: shared tokens in the global order (rare first), prefix length, band keys."""
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for key, n, parts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                tokens = np.concatenate([np.frombuffer(p["tokens"], "<u8") for p in parts])
-                times = np.concatenate([np.frombuffer(p["times"], "<i4") for p in parts])
-                # tokens of no other set come first in the order; of the prefix only what follows them can match
-                prefix = len(tokens) - (-(-percent * n // 100)) + 1
-                if prefix <= 0:
-                    continue
-                order = np.lexsort((tokens, times))
-                with np.errstate(over="ignore"):
-                    least = np.array([[_mix(tokens ^ seed).min() for seed in band] for band in _BAND])
-                    bands = [int(x) for x in _mix(least @ _PLACE[:ROWS] + np.arange(BANDS, dtype=np.uint64)).view(np.int64)]
-                rows.append((key, n, len(tokens), min(prefix, len(tokens)), tokens[order].tobytes(), bands))
-            yield _batch("key n m prefix tokens bands", [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())], list(zip(*rows, strict=True)) or [()] * 6)
+    def run(table):
+        keys, sizes, counts, tokens, times = (_blobs(table, c, k) for c, k in (("keys", "<i8"), ("sizes", "<i4"), ("counts", "<i4"), ("tokens", "<u8"), ("times", "<i4")))
+        owner = np.repeat(keys, counts)
+        order = np.lexsort((tokens, times, owner))
+        owner, tokens = owner[order], tokens[order]
+        size_of = dict(zip(keys.tolist(), sizes.tolist(), strict=True))
+        cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True])
+        rows = []
+        for at, to in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            key, own = int(owner[at]), tokens[at:to]
+            n = size_of[key]
+            # tokens of no other set come first in the order; of the prefix only what follows them can match
+            prefix = to - at - (-(-percent * n // 100)) + 1
+            if prefix <= 0:
+                continue
+            with np.errstate(over="ignore"):
+                least = np.array([[_mix(own ^ seed).min() for seed in band] for band in _BAND])
+                bands = _mix(least @ _PLACE[:ROWS] + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
+            rows.append((key, n, to - at, min(prefix, to - at), own.tobytes(), bands))
+        types = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64())]
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 6, types, strict=True)], names=["key", "n", "m", "prefix", "tokens", "bands"])
 
     return run
 
@@ -253,7 +269,9 @@ def _list_pairs(n, place, key, comp, percent: int, first_only: bool):
         ok &= (j > i[:, None]) | (which[j] == largest)
         a, b = np.nonzero(ok)
         if first_only and len(a):
-            _, one = np.unique(a * len(names) + which[j[b]], return_index=True)
+            pair = a * len(names) + which[j[b]]
+            by = np.lexsort((key[j[b]], pair))  # always the same partner of a component, as far as possible
+            one = by[np.r_[True, pair[by][1:] != pair[by][:-1]]]
             a, b = a[one], b[one]
         yield key[i[a]], key[j[b]]
 
@@ -311,8 +329,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. Equal sets collapse to one class. 2. A distributed count finds for each class its shared tokens, those of at least
     two classes, and orders them rare first; classes that share too few tokens to link with anything are done. 3. Classes
-    alike in a band of min-hashes are verified against the least of their group: a verified class takes its answers from that
-    representative, so the two need no further comparison. 4. Each prefix token has a list of its classes by size; lists
+    alike in a band of min-hashes are verified against the least of their groups, first one each, then those not yet
+    connected: a verified class takes its answers from that representative, so the two need no further comparison. 4. Each prefix token has a list of its classes by size; lists
     skip by size and position and leave out pairs known to be connected, at first with one pair for each class and
     component, then with all that remain. Every remaining pair is verified. 5. Connected components run over the links.
 
@@ -331,10 +349,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common = np.sort(np.array([r[0] for r in common.collect()], np.int64).view(np.uint64))
     shared = spark.sparkContext.broadcast(common)
     buckets = max(1, math.ceil(tokens / BUCKET_TOKENS))
-    dealt = docs.select(F.lit(None).cast("long").alias("id"), text_col).mapInArrow(_deal(shared, buckets, width), "bucket int, keys binary, counts binary, tokens binary")
-    hits = dealt.groupBy("bucket").applyInArrow(_shared_tokens(buckets), "key long, tokens binary, times binary")
-    gathered = hits.groupBy("key").agg(F.collect_list(F.struct("tokens", "times")).alias("parts")).join(classes, "key").select("key", "n", "parts")
-    ready = materialize(gathered.mapInArrow(_arrange(percent), "key long, n long, m long, prefix long, tokens binary, bands array<long>"), "ready")
+    dealt = docs.select(F.lit(None).cast("long").alias("id"), text_col).mapInArrow(_deal(shared, buckets, width), "bucket int, keys binary, sizes binary, counts binary, tokens binary")
+    hits = dealt.groupBy("bucket").applyInArrow(_shared_tokens(buckets), "slot int, keys binary, sizes binary, counts binary, tokens binary, times binary")
+    ready = materialize(hits.groupBy("slot").applyInArrow(_arrange(percent), "key long, n long, m long, prefix long, tokens binary, bands array<long>"), "ready")
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda c: ready.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}"))
@@ -343,7 +360,12 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     banded = ready.select("key", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a < z").select("band", "a")
-    links = verified(banded.join(heads, "band").where("key > a").select("a", F.col("key").alias("b")))
+    alike = materialize(banded.join(heads, "band").where("key > a").select("a", F.col("key").alias("b")).distinct(), "alike")
+    links = verified(alike.groupBy("b").agg(F.min("a").alias("a")))
+    known = components(links)
+    side = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    other = alike.join(side("a"), "a", "left").join(side("b"), "b", "left").where("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b")
+    links = links.unionByName(verified(other))
     for first_only in (True, False):
         known = materialize(components(links), "known")
         posted = ready.join(known.select(F.col("node").alias("key"), "component"), "key", "left").select("key", "n", "m", "prefix", "tokens", F.coalesce("component", "key").alias("comp"))
