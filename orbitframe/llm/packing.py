@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 END = np.array([2], "<u4").tobytes()
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_500_000
 #: Tokens packed at once.
 CHUNK = 1 << 20
 
