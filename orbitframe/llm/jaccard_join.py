@@ -19,6 +19,8 @@ BUCKET_TOKENS = 2_000_000
 #: A token in this share of all sets is common: it is counted apart and comes last in the order.
 COMMON = 0.01
 BANDS, ROWS = 10, 3
+#: Partners that a set tries in each of its lists, round by round, before the last round takes all that remain.
+PICKS = (8, 64, 512)
 LAST = np.iinfo(np.int32).max
 
 _rng = np.random.default_rng(5)
@@ -247,11 +249,12 @@ def _post(batches):
             yield _batch("token n place key comp", [pa.int64()] * 5, [np.concatenate(lists), spread(n), np.concatenate(places), spread(key), spread(comp)])
 
 
-def _list_pairs(n, place, key, comp, percent: int, first_only: bool):
+def _list_pairs(n, place, key, comp, percent: int, picks: int | None):
     """Pairs of one token's list, sorted by size, that can still reach the threshold and are not known to be connected.
 
     Blocks of sizes out of range are skipped by binary search, the rest by position: behind their places neither set may
-    have fewer tokens than the overlap needs. The largest known component is not compared with itself.
+    have fewer tokens than the overlap needs. The largest known component is not compared with itself. With ``picks``, each
+    set gets so many of its possible partners at most, chosen by hash.
     """
     names, which = np.unique(comp, return_inverse=True)
     if len(names) < 2:
@@ -268,21 +271,23 @@ def _list_pairs(n, place, key, comp, percent: int, first_only: bool):
         ok = (np.minimum((n - place)[i][:, None], (n - place)[j]) >= need) & (which[i][:, None] != which[j])
         ok &= (j > i[:, None]) | (which[j] == largest)
         a, b = np.nonzero(ok)
-        if first_only and len(a):
-            pair = a * len(names) + which[j[b]]
-            by = np.lexsort((key[j[b]], pair))  # always the same partner of a component, as far as possible
-            one = by[np.r_[True, pair[by][1:] != pair[by][:-1]]]
-            a, b = a[one], b[one]
+        if picks and len(a):
+            with np.errstate(over="ignore"):
+                draw = _mix(key[i[a]].view(np.uint64) * _PLACE[0] + key[j[b]].view(np.uint64) * _PLACE[1] + np.uint64(picks))
+            by = np.lexsort((draw, a))
+            first = np.flatnonzero(np.r_[True, a[by][1:] != a[by][:-1]])
+            turn = np.arange(len(by)) - np.repeat(first, np.diff(np.r_[first, len(by)]))
+            a, b = a[by[turn < picks]], b[by[turn < picks]]
         yield key[i[a]], key[j[b]]
 
 
-def _scan(percent: int, first_only: bool):
+def _scan(percent: int, picks: int | None):
     def run(batches):
         held: list[np.ndarray] = []
         seen: set = set()
 
         def emit(rows: np.ndarray):
-            for a, b in _list_pairs(rows[1], rows[2], rows[3], rows[4], percent, first_only):
+            for a, b in _list_pairs(rows[1], rows[2], rows[3], rows[4], percent, picks):
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                 fresh = [p for p in zip(*pairs.tolist(), strict=True) if p not in seen]
                 if len(seen) > 500_000:
@@ -331,8 +336,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     two classes, and orders them rare first; classes that share too few tokens to link with anything are done. 3. Classes
     alike in a band of min-hashes are verified against the least of their groups, first one each, then those not yet
     connected: a verified class takes its answers from that representative, so the two need no further comparison. 4. Each prefix token has a list of its classes by size; lists
-    skip by size and position and leave out pairs known to be connected, at first with one pair for each class and
-    component, then with all that remain. Every remaining pair is verified. 5. Connected components run over the links.
+    skip by size and position and leave out pairs known to be connected. A few rounds try some partners of each class, so
+    that near copies without a common representative join; the last takes all pairs that remain. Every pair is verified. 5. Connected components run over the links.
 
     A token in more than one in a hundred sets never meets the others of its value in one task for counting. Null or blank
     texts have empty sets and are alone. Rows with null id belong to their class but name no component. Rows that repeat
@@ -366,13 +371,20 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     side = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     other = alike.join(side("a"), "a", "left").join(side("b"), "b", "left").where("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b")
     links = links.unionByName(verified(other))
-    for first_only in (True, False):
-        known = materialize(components(links), "known")
-        posted = ready.join(known.select(F.col("node").alias("key"), "component"), "key", "left").select("key", "n", "m", "prefix", "tokens", F.coalesce("component", "key").alias("comp"))
-        posted = materialize(posted.mapInArrow(_post, "token long, n long, place long, key long, comp long"), "posted")
+    lists = None
+    for picks in (*PICKS, None):
+        known = materialize(components(links), "known").select(F.col("node").alias("key"), "component")
+        if lists is None:
+            posted = ready.join(known, "key", "left").select("key", "n", "m", "prefix", "tokens", F.coalesce("component", "key").alias("comp"))
+            posted = posted.mapInArrow(_post, "token long, n long, place long, key long, comp long")
+        else:
+            posted = lists.join(known, "key", "left").select("token", "n", "place", "key", F.coalesce("component", "key").alias("comp"))
+        posted = materialize(posted, "posted")
+        # a list whose sets are all connected stays so
         mixed = posted.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        lists = posted.join(mixed, "token", "left_semi").repartition("token").sortWithinPartitions("token", "n", "key")
-        links = links.unionByName(verified(lists.select("token", "n", "place", "key", "comp").mapInArrow(_scan(percent, first_only), "a long, b long")))
+        lists = posted.join(mixed, "token", "left_semi").select("token", "n", "place", "key", "comp")
+        dealt = lists.repartition("token").sortWithinPartitions("token", "n", "key")
+        links = links.unionByName(verified(dealt.mapInArrow(_scan(percent, picks), "a long, b long")))
     known = components(links).withColumnRenamed("node", "key")
     least = known.join(classes, "key").groupBy("component").agg(F.min("rep").alias("least"))
     names = classes.join(known.join(least, "component").select("key", "least"), "key", "left").select("key", F.coalesce("least", "rep").alias("least"))
