@@ -371,21 +371,24 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     side = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     other = alike.join(side("a"), "a", "left").join(side("b"), "b", "left").where("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b")
     links = links.unionByName(verified(other))
-    lists = None
+    known, lists = materialize(components(links), "known"), None
     for picks in (*PICKS, None):
-        known = materialize(components(links), "known").select(F.col("node").alias("key"), "component")
+        named = known.select(F.col("node").alias("key"), "component")
         if lists is None:
-            posted = ready.join(known, "key", "left").select("key", "n", "m", "prefix", "tokens", F.coalesce("component", "key").alias("comp"))
+            posted = ready.join(named, "key", "left").select("key", "n", "m", "prefix", "tokens", F.coalesce("component", "key").alias("comp"))
             posted = posted.mapInArrow(_post, "token long, n long, place long, key long, comp long")
         else:
-            posted = lists.join(known, "key", "left").select("token", "n", "place", "key", F.coalesce("component", "key").alias("comp"))
+            posted = lists.join(named, "key", "left").select("token", "n", "place", "key", F.coalesce("component", "key").alias("comp"))
         posted = materialize(posted, "posted")
         # a list whose sets are all connected stays so
         mixed = posted.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
         lists = posted.join(mixed, "token", "left_semi").select("token", "n", "place", "key", "comp")
         dealt = lists.repartition("token").sortWithinPartitions("token", "n", "key")
-        links = links.unionByName(verified(dealt.mapInArrow(_scan(percent, picks), "a long, b long")))
-    known = components(links).withColumnRenamed("node", "key")
+        found = verified(dealt.mapInArrow(_scan(percent, picks), "a long, b long"))
+        if not found.isEmpty():
+            # the stars of the known components stand for all links so far
+            known = materialize(components(found.unionByName(known.select(F.col("node").alias("u"), F.col("component").alias("v")))), "known")
+    known = known.withColumnRenamed("node", "key")
     least = known.join(classes, "key").groupBy("component").agg(F.min("rep").alias("least"))
     names = classes.join(known.join(least, "component").select("key", "least"), "key", "left").select("key", F.coalesce("least", "rep").alias("least"))
     return sets.join(names, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
