@@ -174,3 +174,53 @@ def argmax(p: Column) -> Column:
 def margin(p: Column) -> Column:
     s = F.sort_array(p, asc=False)
     return F.get(s, F.lit(0)) - F.get(s, F.lit(1))
+
+
+def vari(r: Column, g: Column, b: Column) -> Column:
+    """Vegetation proxy without infrared, (g - r) / (g + r - b) in -1..1; -0.4 where the surface is not clearly green."""
+    light = brightness(r, g, b)
+    sand = (light > 0.45) & (colour_spread(r, g, b) < 0.08)
+    soil = (r >= 0.98 * g) & (light > 0.08) & (light < 0.55)
+    water = (b > 0.98 * g) & (b > 1.05 * r)
+    other = (g <= 1.05 * r) | (g <= 0.98 * b) | sand | soil | water
+    below = g + r - b
+    return F.when(other, -0.4).when(F.abs(below) > 1e-6, clip((g - r) / below, -1.0, 1.0))
+
+
+def builtup_proxy(r: Column, g: Column, b: Column) -> Column:
+    """Built-up proxy without infrared; -0.4 where coloured or dark."""
+    mean = (r + b) / 2
+    coloured = F.greatest(F.abs(r - g), F.abs(g - b)) > 0.20
+    return F.when(coloured | (mean < 0.25), -0.4).when(mean + g > 1e-6, (mean - g) / (mean + g + 1e-6))
+
+
+def road_conflict(water: Column, built: Column, colour: Column) -> Column:
+    """Built-up evidence outweighs water and colour gives no hint of water; such water is to be capped at 0.1."""
+    return (built >= F.greatest(F.lit(0.35), 0.7 * water)) & (colour < 0.5)
+
+
+def illumination_state(shadow: Column, valid: Column) -> Column:
+    return F.when(~valid, "nodata").when(shadow >= 0.52, "shadowed").when(shadow >= 0.38, "uncertain").otherwise("normal")
+
+
+def location_phrase(y: Column, x: Column, coverage: Column) -> Column:
+    """Where a region lies, from its centre (0..1 from the upper left) and its share of the image in percent."""
+
+    def third(at: Column, low: str, high: str) -> Column:
+        return F.when(at < 0.42, low).when(at > 0.58, high)
+
+    wide = F.concat(F.lit("broad marine/coastal expanse spanning the "), F.when(x < 0.5, "western").otherwise("eastern"), F.lit(" and offshore sectors"))
+    v, h = third(y, "northern (upper)", "southern (lower)"), third(x, "western (left)", "eastern (right)")
+    corner = F.when(v.isNotNull() & h.isNotNull(), F.concat(v, F.lit(" and "), h, F.lit(" sector")))
+    return F.when(coverage >= 45, wide).otherwise(F.coalesce(corner, F.concat(F.coalesce(v, h, F.lit("central")), F.lit(" portion of the image"))))
+
+
+def confidence_interval(score: Column, evidence: Column, quality: Column) -> tuple[Column, Column]:
+    """Bounds of the 95 % interval; pieces of evidence and quality (0..1) stand for the number of trials."""
+    n = F.greatest(F.lit(3), 4 * evidence + F.floor(8 * quality))
+    spread = 1.96 * F.sqrt(F.greatest(F.lit(1e-6), score * (1 - score) / n))
+    return F.round(F.greatest(F.lit(0.0), score - spread), 3), F.round(F.least(F.lit(1.0), score + spread), 3)
+
+
+def region_confidence(p: Column, base: float = 0.55, slope: float = 0.42, most: float = 0.97) -> Column:
+    return F.round(F.least(F.lit(most), base + slope * p), 3)

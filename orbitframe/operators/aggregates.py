@@ -194,3 +194,18 @@ def even_sample(df: DataFrame, by: list[str], order: list[Column], most: int = 3
 
 def confidence_weakest(df: DataFrame, by: list[str], confidence: Column, quality: float, alignment: float, penalty: float, cap: float = 0.98) -> DataFrame:
     return df.groupBy(*by).agg((F.min(F.least(confidence, F.lit(cap))) * quality * alignment * (1 - penalty)).alias("confidence"))
+
+
+def micro_average(df: DataFrame, tp: Column, fp: Column, fn: Column) -> DataFrame:
+    """Precision, recall, F1 of pooled counts over samples (NULL if undefined) and the mean absolute count error."""
+    s = df.agg(F.count("*").alias("samples"), F.sum(tp).alias("tp"), F.sum(fp).alias("fp"), F.sum(fn).alias("fn"), F.avg(F.abs(fp - fn)).alias("count_error"))
+    ratio = lambda a, b: F.when(b > 0, a / b)
+    t, p, n = F.col("tp"), F.col("fp"), F.col("fn")
+    return s.select("samples", ratio(t, t + p).alias("precision"), ratio(t, t + n).alias("recall"), ratio(2 * t, 2 * t + p + n).alias("f1"), "count_error")
+
+
+def land_bounds(df: DataFrame, by: list[str], land: Column, unknown: Column) -> DataFrame:
+    """Shares (0..100) of classified land, of unknown, and of what could be land at most; pixels of NULL are not counted."""
+    seen = df.where(land.isNotNull() & unknown.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.count_if(land).alias("a"), F.count_if(unknown & ~land).alias("u"))
+    share = lambda x: 100.0 * x / F.col("n")
+    return seen.select(*by, share(F.col("a")).alias("land"), share(F.col("u")).alias("unknown"), share(F.col("a") + F.col("u")).alias("possible"))

@@ -273,6 +273,29 @@ register("r12_non_max_suppression", lambda s, d: T.non_max_suppression(windows(s
 register("r13_merge_adjacent", lambda s, d: T.merge_adjacent(windows(s, d).where("id % 7 = 0"), 448, 20), None)
 register("t14_cover_change", lambda s, d: S.derived_scene(s, d).agg(F.count_if(g > 0.55).alias("before_n"), F.count_if(g2 > 0.55).alias("after_n"), F.count_if((g2 > 0.55) & ~(g > 0.55)).alias("gain"), F.count_if((g > 0.55) & ~(g2 > 0.55)).alias("loss")), f"WITH {PX} SELECT count(*) FILTER (green > 0.55) AS before_n, count(*) FILTER (green2 > 0.55) AS after_n, count(*) FILTER (green2 > 0.55 AND NOT green > 0.55) AS gain, count(*) FILTER (green > 0.55 AND NOT green2 > 0.55) AS loss FROM s")
 register("t20_visual_correlation", lambda s, d: S.derived_scene(s, d).agg(F.corr("red", "red2").alias("corr")), f"WITH {PX} SELECT corr(red, red2) AS corr FROM s", "corr")
+# Proxies, confidence, bounds -----------------------------------------------------------------------------------------
+_LIGHT, _SPREAD = "((red + green + nir) / 3)", "greatest(abs(red - green), abs(green - nir), abs(red - nir))"
+scene("p11_vari", lambda: {"x": R.vari(r, g, n)}, {"x": f"CASE WHEN green <= 1.05 * red OR green <= 0.98 * nir OR ({_LIGHT} > 0.45 AND {_SPREAD} < 0.08) OR (red >= 0.98 * green AND {_LIGHT} > 0.08 AND {_LIGHT} < 0.55) OR (nir > 0.98 * green AND nir > 1.05 * red) THEN -0.4 WHEN abs(green + red - nir) > 1e-6 THEN least(1.0, greatest(-1.0, (green - red) / (green + red - nir))) END"})
+scene("p12_builtup_proxy", lambda: {"x": R.builtup_proxy(r, g, n)}, {"x": "CASE WHEN greatest(abs(red - green), abs(green - nir)) > 0.2 OR (red + nir) / 2 < 0.25 THEN -0.4 WHEN (red + nir) / 2 + green > 1e-6 THEN ((red + nir) / 2 - green) / ((red + nir) / 2 + green + 1e-6) END"})
+scene("f19_suppress_road_water", lambda: {"x": R.cap_where(r, R.road_conflict(r, g, n), 0.1)}, {"x": "CASE WHEN green >= greatest(0.35, 0.7 * red) AND nir < 0.5 THEN least(red, 0.1) ELSE red END"})
+scene("f21_illumination_state", lambda: {"is_state": R.illumination_state(r, g > 0.45)}, {"is_state": "CASE WHEN NOT green > 0.45 THEN 'nodata' WHEN red >= 0.52 THEN 'shadowed' WHEN red >= 0.38 THEN 'uncertain' ELSE 'normal' END"})
+scene("v18_region_confidence", lambda: {"x": R.region_confidence(r), "y": R.region_confidence(r, 0.58, 0.37, 0.95)}, {"x": "round(least(0.97, 0.55 + 0.42 * red), 3)", "y": "round(least(0.95, 0.58 + 0.37 * red), 3)"})
+
+
+def _phrases(s, d):
+    x = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("x"), (10 * F.col("l_discount")).alias("y"), (800 * F.col("l_tax")).alias("share"))
+    return x.select("l_orderkey", "l_linenumber", R.location_phrase(F.col("y"), F.col("x"), F.col("share")).alias("phrase"))
+
+
+register("p33_location_phrase", _phrases, """SELECT l_orderkey, l_linenumber, CASE WHEN share >= 45 THEN 'broad marine/coastal expanse spanning the ' || CASE WHEN x < 0.5 THEN 'western' ELSE 'eastern' END || ' and offshore sectors'
+    WHEN v <> '' AND h <> '' THEN v || ' and ' || h || ' sector' WHEN v || h = '' THEN 'central portion of the image' ELSE v || h || ' portion of the image' END AS phrase
+    FROM (SELECT *, CASE WHEN y < 0.42 THEN 'northern (upper)' WHEN y > 0.58 THEN 'southern (lower)' ELSE '' END AS v, CASE WHEN x < 0.42 THEN 'western (left)' WHEN x > 0.58 THEN 'eastern (right)' ELSE '' END AS h
+    FROM (SELECT l_orderkey, l_linenumber, l_quantity / 50 AS x, 10 * l_discount AS y, 800 * l_tax AS share FROM lineitem))""")
+_CI = lambda: R.confidence_interval(10 * F.col("l_discount"), F.col("l_linenumber"), F.col("l_quantity") / 50)
+_SE = "1.96 * sqrt(greatest(1e-6, 10 * l_discount * (1 - 10 * l_discount) / greatest(3, 4 * l_linenumber + floor(8 * (l_quantity / 50)))))"
+register("v09_confidence_interval", lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", _CI()[0].alias("low"), _CI()[1].alias("high")), f"SELECT l_orderkey, l_linenumber, round(greatest(0.0, 10 * l_discount - {_SE}), 3) AS low, round(least(1.0, 10 * l_discount + {_SE}), 3) AS high FROM lineitem", "low high")
+register("v05_micro_average", lambda s, d: A.micro_average(table(s, d, "part"), F.col("p_size"), F.length("p_name"), F.length("p_type")), "SELECT count(*) AS samples, sum(p_size) / sum(p_size + length(p_name)) AS precision, sum(p_size) / sum(p_size + length(p_type)) AS recall, 2 * sum(p_size) / sum(2 * p_size + length(p_name) + length(p_type)) AS f1, avg(abs(length(p_name) - length(p_type))) AS count_error FROM part", "precision recall f1 count_error")
+register("a22_land_bounds", lambda s, d: A.land_bounds(S.derived_scene(s, d), ["r"], r > 0.55, g > 0.5), f"WITH {PX} SELECT r, 100.0 * count(*) FILTER (red > 0.55) / count(*) AS land, 100.0 * count(*) FILTER (green > 0.5 AND NOT red > 0.55) / count(*) AS unknown, 100.0 * count(*) FILTER (red > 0.55 OR green > 0.5) / count(*) AS possible FROM s WHERE red IS NOT NULL AND green IS NOT NULL GROUP BY r", "land unknown possible")
 
 
 def water_rise(spark: SparkSession, d: str) -> DataFrame:
