@@ -1 +1,6 @@
-"""Part of orbitframe; see README.md."""
+"""Every query with its SQL twin; importing the package registers them all."""
+
+from . import registry
+from . import analysis  # noqa: I001  registers on top of it
+
+__all__ = ["analysis", "registry"]
