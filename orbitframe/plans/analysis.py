@@ -39,7 +39,7 @@ register("t01_alignment_score", lambda s, d: P.alignment_score(pair(s, d), ["sce
 register("t03_best_shift", lambda s, d: P.best_shift(pair(s, d), ["scene"], "a", "b", 2), f"""{BOTH},
     k AS (SELECT CAST(i AS INT) AS dy, CAST(j AS INT) AS dx FROM range(-2, 3) t(i), range(-2, 3) u(j)),
     f AS (SELECT max(r) - min(r) + 1 AS h, max(c) - min(c) + 1 AS w FROM s),
-    q AS (SELECT dy, dx, round(corr(x.a, y.b), 9) AS peak FROM p x CROSS JOIN k JOIN p y ON y.r = x.r + dy AND y.c = x.c + dx GROUP BY dy, dx)
+    q AS (SELECT dy, dx, round(corr(x.red, y.red2), 9) AS peak FROM s x CROSS JOIN k JOIN s y ON y.r = x.r + dy AND y.c = x.c + dx WHERE x.red IS NOT NULL AND y.red2 IS NOT NULL GROUP BY dy, dx)
     SELECT 1 AS scene, dy, dx, peak FROM q, f WHERE abs(dy) <= 0.2 * h AND abs(dx) <= 0.2 * w ORDER BY peak DESC, abs(dy) + abs(dx), dy DESC, dx DESC LIMIT 1""", "peak")
 register("t04_apply_shift", lambda s, d: P.apply_shift(pair(s, d), ["scene"], "a", 2, -3, "x").drop("scene"), f"WITH {PX} SELECT o.r, o.c, m.red AS x FROM s o LEFT JOIN s m ON m.r = o.r - 2 AND m.c = o.c + 3", "x")
 register("t06_shared_valid", lambda s, d: P.shared_valid(pair(s, d), ["scene"], c("a") > 0.45, c("b") > 0.4), f"WITH {PX} SELECT 1 AS scene, count(*) FILTER (red > 0.45 AND red2 > 0.4) AS shared, count(*) AS all_n, count(*) FILTER (red > 0.45 AND red2 > 0.4) / count(*) AS share, count(*) FILTER (red > 0.45 AND red2 > 0.4) / count(*) >= 0.8 AS enough FROM s", "share")
