@@ -17,6 +17,11 @@ def _slope(value: str, line: list[str], along: str) -> Column:
     return (F.coalesce(ahead, F.col(value)) - F.coalesce(behind, F.col(value))) / step
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's, as an aggregate; NULL where either side is flat (``corr`` raises there in ANSI mode)."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def gradient_magnitude(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """Windows run along single rows and columns of a scene, so a partition is never larger than one side of the grid."""
     dx, dy = _slope(value, [*by, "r"], "c"), _slope(value, [*by, "c"], "r")
@@ -31,8 +36,8 @@ def alignment_score(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     df = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     df = gradient_magnitude(gradient_magnitude(df, by, a, "__ga"), by, b, "__gb")
     s = df.groupBy(*by).agg(
-        F.stddev_pop(a).alias("sa"), F.stddev_pop(b).alias("sb"), F.corr(a, b).alias("p"), F.avg(F.abs(F.col(a) - F.col(b))).alias("mae"),
-        F.stddev_pop("__ga").alias("ga"), F.stddev_pop("__gb").alias("gb"), F.corr("__ga", "__gb").alias("gp"),
+        F.stddev_pop(a).alias("sa"), F.stddev_pop(b).alias("sb"), correlation(a, b).alias("p"), F.avg(F.abs(F.col(a) - F.col(b))).alias("mae"),
+        F.stddev_pop("__ga").alias("ga"), F.stddev_pop("__gb").alias("gb"), correlation("__ga", "__gb").alias("gp"),
     )
     near = F.greatest(F.lit(0.0), 1 - 2 * F.col("mae"))
     shape = F.when((F.col("ga") > 1e-6) & (F.col("gb") > 1e-6), F.greatest(F.lit(0.0), F.col("gp"))).otherwise(near)
@@ -43,7 +48,7 @@ def alignment_score(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
 
 
 def best_shift(df: DataFrame, by: list[str], a: str, b: str, most: int = 2, share: float = 0.2) -> DataFrame:
-    """(by, dy, dx, peak): the displacement of b against a with the largest correlation, the shortest on ties.
+    """(by, dy, dx, peak): the displacement of b against a with the largest correlation, the shortest on ties; NULL if flat.
 
     Each pixel of b goes to (2 most + 1)^2 candidates, a fixed number, and one equi-join meets them. Displacements of more
     than ``share`` of either side of the scene are rejected.
@@ -51,7 +56,7 @@ def best_shift(df: DataFrame, by: list[str], a: str, b: str, most: int = 2, shar
     moves = F.explode(F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y in range(-most, most + 1) for x in range(-most, most + 1)]))
     moved = df.where(F.col(b).isNotNull()).select(*by, "r", "c", F.col(b).alias("__b"), moves.alias("__m"))
     moved = moved.select(*by, (F.col("r") - F.col("__m.dy")).alias("r"), (F.col("c") - F.col("__m.dx")).alias("c"), "__m.dy", "__m.dx", "__b")
-    score = moved.join(df.where(F.col(a).isNotNull()).select(*by, "r", "c", F.col(a).alias("__a")), [*by, "r", "c"]).groupBy(*by, "dy", "dx").agg(F.round(F.corr("__a", "__b"), 9).alias("peak"))
+    score = moved.join(df.where(F.col(a).isNotNull()).select(*by, "r", "c", F.col(a).alias("__a")), [*by, "r", "c"]).groupBy(*by, "dy", "dx").agg(F.round(correlation("__a", "__b"), 9).alias("peak"))
     size = df.groupBy(*by).agg((F.max("r") - F.min("r") + 1).alias("__h"), (F.max("c") - F.min("c") + 1).alias("__w"))
     score = (score.join(size, by) if by else score.crossJoin(F.broadcast(size))).where((F.abs("dy") <= share * F.col("__h")) & (F.abs("dx") <= share * F.col("__w")))
     order = F.struct(F.col("peak"), (-F.abs("dy") - F.abs("dx")).alias("near"), F.col("dy"), F.col("dx"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import radiometry as R
 from ..functions import rules as D
 from ..functions import text as X
+from ..operators import aggregates as A
+from ..operators import catalog as C
 from ..operators import evaluation as E
 from ..operators import pairs as P
 from ..operators import tiles as T
@@ -240,5 +242,19 @@ def _windows(s: SparkSession, d: str) -> DataFrame:
     return Z.newest(rows, ["start", "event_type"])
 
 
-register("st01_stream_windowed_counts", _windows, "SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2", "total")
+register("stream_windowed_counts", _windows, "SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2", "total")
+_FEATURES = "SELECT l_orderkey AS run, l_linenumber AS feature, l_quantity AS area FROM lineitem"
+register("st01_stream_index_features", lambda s, d: Z.latest_delivery(Z.run_to_table(Z.stream_table(s, d, "lineitem").select(c("l_orderkey").alias("run"), c("l_linenumber").alias("feature"), c("l_quantity").alias("area")), "append"), "run"), _FEATURES)
+register("l02_latest_geometries", lambda s, d: C.latest(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), [F.desc("l_orderkey"), F.desc("l_linenumber")], 100), "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_orderkey DESC, l_linenumber DESC LIMIT 100")
+register("l10_cap_per_group", lambda s, d: A.top_per_group(table(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), c("o_orderkey")], 5), "SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 5")
+register("p32_human_area", lambda s, d: table(s, d, "part").select("p_partkey", C.human_area(c("p_size") * 40000.0).alias("area")), "SELECT p_partkey, CASE WHEN p_size * 40000.0 >= 1e6 THEN format('{:,.2f} km²', CAST(p_size * 40000.0 / 1e6 AS DOUBLE)) WHEN p_size * 40000.0 >= 1e4 THEN format('{:,.2f} ha', CAST(p_size * 40000.0 / 1e4 AS DOUBLE)) ELSE format('{:,.0f} m²', CAST(p_size * 40000.0 AS DOUBLE)) END AS area FROM part")
+
+
+def _visible(s: SparkSession, d: str) -> DataFrame:
+    """Chats that are not archived and whose first message holds a phrase, letters' case aside."""
+    chats = table(s, d, "conversations").where("turn = 0").select("conv_id", "text")
+    return chats.join(table(s, d, "labels").where("quality = 0").select(c("doc_id").alias("conv_id")), "conv_id", "left_anti").where(F.lower("text").contains("the")).select("conv_id")
+
+
+register("f29_visible_chats", _visible, "SELECT conv_id FROM conversations WHERE turn = 0 AND conv_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) AND contains(lower(text), 'the')")
 register("d04_tile_windows", lambda s, d: table(s, d, "part").select("p_partkey", F.explode(T.tile_starts(c("p_size") * 40, 448, 160)).alias("x0")).groupBy("p_partkey").agg(F.count("*").alias("tiles"), F.max("x0").cast("int").alias("last")), None)

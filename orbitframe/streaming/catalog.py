@@ -58,3 +58,9 @@ def newest(rows: DataFrame, key: list[str]) -> DataFrame:
     """Of each key the row of the latest batch."""
     rest = [c for c in rows.columns if c not in (*key, "batch")]
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("__r")).select(*key, "__r.*")
+
+
+def latest_delivery(rows: DataFrame, group: str) -> DataFrame:
+    """Rows of each group's latest batch: a group that is delivered again replaces its earlier rows."""
+    last = rows.groupBy(group).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [group, "batch"], "left_semi").drop("batch")
