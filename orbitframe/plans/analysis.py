@@ -257,4 +257,4 @@ def _visible(s: SparkSession, d: str) -> DataFrame:
 
 
 register("f29_visible_chats", _visible, "SELECT conv_id FROM conversations WHERE turn = 0 AND conv_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) AND contains(lower(text), 'the')")
-register("d04_tile_windows", lambda s, d: table(s, d, "part").select("p_partkey", F.explode(T.tile_starts(c("p_size") * 40, 448, 160)).alias("x0")).groupBy("p_partkey").agg(F.count("*").alias("tiles"), F.max("x0").cast("int").alias("last")), None)
+register("d04_tile_windows", lambda s, d: table(s, d, "part").select("p_partkey", F.explode(T.tile_starts(c("p_size") * 40, 448, 160)).alias("x0")).groupBy("p_partkey").agg(F.count("*").alias("tiles"), F.max("x0").cast("int").alias("last")), "WITH q AS (SELECT p_partkey, unnest(list_distinct(list_concat(range(0, greatest(p_size * 40 - 448, 0) + 1, 160), [greatest(p_size * 40 - 448, 0)]))) AS x0 FROM part) SELECT p_partkey, count(*) AS tiles, CAST(max(x0) AS INT) AS last FROM q GROUP BY 1")
