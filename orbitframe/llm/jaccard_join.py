@@ -136,7 +136,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 def _deal(common, buckets: int, width: int):
     """Rows (bucket, keys, sizes, counts, tokens): a task's tokens dealt to buckets by value, grouped by set; common ones apart."""
 
-    def flush(sets: dict[int, np.ndarray], turn: int):
+    def flush(sets: dict[int, np.ndarray]):
         keys = np.fromiter(sets, np.int64, len(sets))
         tokens = np.concatenate(list(sets.values()))
         sizes = np.array([len(s) for s in sets.values()], "<i4")
@@ -144,8 +144,9 @@ def _deal(common, buckets: int, width: int):
         bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         if len(common.value):
             at = np.minimum(np.searchsorted(common.value, tokens), len(common.value) - 1)
-            # a set's common tokens need no counting: they go on as they are, dealt by set
-            bucket = np.where(common.value[at] == tokens, buckets + (owner + turn) % buckets, bucket)
+            # a set's common tokens need no counting: they go on as they are, dealt by the set's key, so that equal sets of
+            # several tasks or flushes meet and count once
+            bucket = np.where(common.value[at] == tokens, buckets + (keys % buckets)[owner], bucket)
         order = np.argsort(bucket, kind="stable")
         bucket, tokens, owner = bucket[order], tokens[order], owner[order]
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
@@ -157,17 +158,17 @@ def _deal(common, buckets: int, width: int):
         return _batch("bucket keys sizes counts tokens", [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()], zip(*rows, strict=True))
 
     def run(batches):
-        held, total, turn = {}, 0, 0
+        held, total = {}, 0
         for _, sets in _parts(batches, width):
             for s in sets:
                 if len(s) and (key := _key(s)) not in held:
                     held[key] = s
                     total += len(s)
             if total >= TOKENS:
-                yield flush(held, turn)
-                held, total, turn = {}, 0, turn + 1
+                yield flush(held)
+                held, total = {}, 0
         if held:
-            yield flush(held, turn)
+            yield flush(held)
 
     return run
 
@@ -217,6 +218,8 @@ def _arrange(percent: int):
         owner = np.repeat(keys, counts)
         order = np.lexsort((tokens, times, owner))
         owner, tokens = owner[order], tokens[order]
+        once = np.r_[True, (owner[1:] != owner[:-1]) | (tokens[1:] != tokens[:-1])][: len(owner)]
+        owner, tokens = owner[once], tokens[once]
         size_of = dict(zip(keys.tolist(), sizes.tolist(), strict=True))
         cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True])
         rows = []

@@ -186,6 +186,25 @@ def test_jaccard_join_on_hot_groups(spark, monkeypatch):
     assert got == brute_components(docs)
 
 
+def test_jaccard_join_copies_with_a_common_passage(spark, monkeypatch):
+    """Copies over many partitions and flushes; their texts share a common passage but stay below the threshold, at 0.4 to 0.74."""
+    rng = np.random.default_rng(11)
+    passage, docs = [f"p{i}" for i in range(40)], []
+    for k, own in enumerate([4, 6, 7, 9, 12, 16, 22, 26]):
+        for other in range(2):
+            text = " ".join([*passage, *(f"o{k}x{other}x{i}" for i in range(own))])
+            docs += [(1000 * (2 * k + other) + i, text) for i in range(30)]
+    docs += [(20_000 + i, " ".join(rng.choice([f"v{j}" for j in range(300)], 30))) for i in range(60)]
+    docs = [docs[i] for i in rng.permutation(len(docs))]
+    monkeypatch.setattr(jaccard_join, "BUCKET_TOKENS", 300)
+    monkeypatch.setattr(jaccard_join, "TOKENS", 500)
+    monkeypatch.setattr(jaccard_join, "BYTES", 700)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(9)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_components(df).collect()}
+    want = brute_components(docs)
+    assert len({c for _, c in want.values()}) > 60 and got == want
+
+
 def test_jaccard_join_edges(odd, none):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_components(odd).collect()}
     assert got[1] == (0, 1) and got[3] == (0, 3) and got[4] == (29_996, 4) and got[6] == (2, 6) and got[None] == (2, 6)
