@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections import Counter, deque
-from itertools import islice
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,13 @@ HINTS = ("password", "passwd", "secret", "token", "api")
 #: Greedy runs of at least the length equal the runs that stay after shorter ones are dropped.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: The runs that the automata score: no shorter than the shortest value of a base pattern.
+SHORTEST = 6
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+#: Bits a character of a run foreign to an automaton: below characters drawn evenly (-6) by more than a short run's end costs.
+FOREIGN = -8.0
+#: Judged runs that a task remembers.
+REMEMBERED = 200_000
 KINDS = ("assign", "access", "hex", "grammar")
 
 
@@ -50,15 +57,16 @@ class Automaton:
 
     def __init__(self, states: list[tuple[int, int, dict[str, tuple[int, int]]]]):
         self.states = states
+        self.moves: list[dict[str, tuple[float, int]]] = [{} for _ in states]
 
     @classmethod
-    def infer(cls, examples: list[str], alpha: float = 0.05, depth: int = 64) -> Automaton:
+    def infer(cls, examples: list[str], alpha: float = 0.05) -> Automaton:
         """ALERGIA: the prefix tree of the examples, merged from the root where frequencies agree by Hoeffding's bound."""
         visits, ends, nexts, counts = [0], [0], [{}], [{}]
         for example, times in sorted(Counter(examples).items()):
             at = 0
             visits[0] += times
-            for c in shape(example)[:depth]:
+            for c in shape(example):
                 if c not in nexts[at]:
                     nexts[at][c] = len(visits)
                     visits.append(0)
@@ -75,10 +83,13 @@ class Automaton:
             return bool(n1 and n2) and abs(f1 / n1 - f2 / n2) > bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
 
         def compatible(a, b):
-            todo, steps = [(a, b)], 0
-            while todo and steps < 500:
+            # b heads a tree, so each of its states is met once
+            todo = [(a, b)]
+            while todo:
                 a, b = todo.pop()
-                steps += 1
+                # frequencies differ by 1 at most: states so rarely visited, and all behind them, agree with any
+                if bound >= math.sqrt(visits[b]):
+                    continue
                 if differ(ends[a], visits[a], ends[b], visits[b]):
                     return False
                 for c in nexts[a].keys() | nexts[b].keys():
@@ -125,54 +136,65 @@ class Automaton:
         """Mean log2 likelihood of a character; unseen moves cost a small probability."""
         at, total = 0, 0.0
         for c in shape(s):
-            visits, _, nexts = self.states[at]
-            to, n = nexts.get(c, (0, 0))
-            total += math.log2((n + 0.02) / (visits + 1.0) / _SIZE.get(c, 1))
-            at = to
+            move = self.moves[at].get(c)
+            if move is None:
+                visits, _, nexts = self.states[at]
+                to, n = nexts.get(c, (0, 0))
+                move = self.moves[at][c] = math.log2((n + 0.02) / (visits + 1.0) / _SIZE.get(c, 1)), to
+            total += move[0]
+            at = move[1]
         visits, ends, _ = self.states[at]
         return (total + math.log2((ends + 0.02) / (visits + 1.0))) / max(1, len(s))
 
 
-def looks_mixed(s: str) -> bool:
-    """A candidate has letters, and at least three digits among them."""
-    return sum(c.isdigit() for c in s) >= 3 and any(c.isalpha() for c in s)
-
-
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, examples: int = 2_000) -> dict[str, Automaton]:
     """An automaton per base kind and one of ordinary words, from about ``sample_docs`` documents chosen by a hash of the id.
 
-    What the base patterns find there are the labelled credentials, at most ``examples`` of each kind; with fewer than ten
-    of a kind none is learnt for it.
+    What the base patterns find there are the labelled credentials, at most ``examples`` of each kind, whole; with fewer than
+    ten of a kind none is learnt for it. Ordinary words are the candidate runs that touch no base span: of all distinct ones
+    in those documents, the ``examples`` least by hash.
     """
     step = max(1, docs.count() // sample_docs)
+    sample = docs.where(F.pmod(F.xxhash64(F.lit(9), id_col), F.lit(step)) == 0).where(F.col(text_col).isNotNull()).select(text_col)
 
     def run(batches):
         for batch in batches:
             kinds, values = [], []
             for text in batch.column(0).to_pylist():
-                spans = base_spans(text)
-                for start, kind, end in spans:
+                for start, kind, end in base_spans(text):
                     value = text[start:end]
                     kinds.append(KINDS[kind])
                     values.append(ASSIGN.match(value)[2] if kind == 0 else value)
-                free = list(islice((w for w in text.split() if 16 <= len(w) <= 64 and CANDIDATE.fullmatch(w) and not HEX.search(w)), 2))
-                kinds += ["word"] * len(free)
-                values += free
             yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.string()), "value": pa.array(values, pa.string())})
 
-    found = docs.where(F.pmod(F.xxhash64(F.lit(9), id_col), F.lit(step)) == 0).where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(run, "kind string, value string").distinct()
+    found = sample.mapInArrow(run, "kind string, value string").distinct()
     # the least hashes of each kind: a bounded number of rows
-    chosen = [r for kind in (*KINDS[:3], "word") for r in found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(examples).collect()]
-    by = {k: [r["value"] for r in chosen if r["kind"] == k] for k in (*KINDS[:3], "word")}
-    return {k: Automaton.infer(v) for k, v in by.items() if len(v) >= (1 if k == "word" else 10)}
+    by = {kind: [r["value"] for r in found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(examples).collect()] for kind in KINDS[:3]}
+    automata = {k: Automaton.infer(v) for k, v in by.items() if len(v) >= 10}
+    if not automata:
+        return automata
+
+    def words(batches):
+        for batch in batches:
+            seen = set()
+            for text in batch.column(0).to_pylist():
+                spans = base_spans(text)
+                seen.update(m[0] for m in CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in spans))
+            # what is not among the least of a batch is not among the least of all
+            chosen = heapq.nsmallest(examples, ((xxhash.xxh3_64_intdigest(w) >> 1, w) for w in seen))
+            yield pa.RecordBatch.from_pydict({"hash": pa.array([h for h, _ in chosen], pa.int64()), "value": pa.array([w for _, w in chosen], pa.string())})
+
+    usual = [r["value"] for r in sample.mapInArrow(words, "hash long, value string").distinct().orderBy("hash", "value").limit(examples).collect()]
+    return automata | ({"word": Automaton.infer(usual)} if usual else {})
 
 
 def scan(docs: DataFrame, automata: dict[str, Automaton], text_col: str = "text", margin: float = 0.5) -> DataFrame:
     """docs with ``spans``: array of (kind, start, end), code points, end exclusive, by start and then kind.
 
-    Base spans come from the fixed patterns. A candidate run that touches none of them gets kind ``grammar`` when some
-    credential automaton gives it at least ``margin`` bits a character more than the automaton of ordinary words does
-    (or, without that, than characters drawn evenly).
+    Base spans come from the fixed patterns. Every run of at least ``SHORTEST`` candidate characters that touches none of
+    them is scored; it gets kind ``grammar`` when some credential automaton gives it at least ``margin``
+    bits a character more than the automaton of ordinary words does (or, without that, than characters drawn evenly), and
+    more than ``FOREIGN``.
 
     Null text has no spans; rows are judged one by one, so repeated rows agree and an empty table gives an empty result.
     """
@@ -182,18 +204,30 @@ def scan(docs: DataFrame, automata: dict[str, Automaton], text_col: str = "text"
     def run(batches):
         models = {k: Automaton(s) for k, s in shared.value.items()}
         plain = models.pop("word", None)
+        known: dict[str, bool] = {}
+
+        def likely(s):
+            usual = plain.bits_per_char(s) if plain else -6.0
+            return max(x.bits_per_char(s) for x in models.values()) - max(usual, FOREIGN) >= margin
+
         for batch in batches:
             out = []
             for text in batch.column(batch.schema.names.index(text_col)):
                 text = text.as_py() or ""
                 spans = base_spans(text)
+                found = []
                 for m in CANDIDATE.finditer(text) if models else ():
-                    s, start, end = m[0], m.start(), m.end()
-                    if not looks_mixed(s) or any(a < end and start < b for a, _, b in spans):
-                        continue
-                    usual = plain.bits_per_char(s) if plain else -6.0
-                    if max(x.bits_per_char(s) for x in models.values()) - max(usual, -6.0) >= margin:
-                        spans.append((start, 3, end))
+                    s = m[0]
+                    hit = known.get(s)
+                    if hit is None:
+                        hit = likely(s)
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        if len(s) <= 64:  # longer ones hardly repeat
+                            known[s] = hit
+                    if hit and not any(a < m.end() and m.start() < b for a, _, b in spans):
+                        found.append((m.start(), 3, m.end()))
+                spans += found
                 out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(spans)])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.names.index(c)) for c in keep], pa.array(out, kind)], names=[*keep, "spans"])

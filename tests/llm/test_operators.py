@@ -352,6 +352,30 @@ def test_secret_edges(odd, none, spark):
     assert secrets.op9(none).count() == 0
 
 
+def test_grammar_finds_keys_of_any_characters(spark):
+    """Keys of a learnt format outside an assignment: short, with few digits, none, or nothing else; words stay unmarked."""
+    rng = np.random.default_rng(6)
+    base62 = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    key = lambda n, of=base62: "".join(rng.choice(of, n))
+    prose = lambda: " ".join(key(int(rng.integers(4, 14)), list("aeioulnrstdm")) for _ in range(12))
+    known = spark.createDataFrame([(i, f"{prose()} token = {key(24)} {prose()}") for i in range(300)], "doc_id long, text string")
+    probes = [key(n, of) for n in (10, 16, 22) for of in (base62[:52], base62[52:], base62)] + [key(9) + "Q" for _ in range(4)]
+    docs = spark.createDataFrame([(i, f"one {p} two") for i, p in enumerate(probes)] + [(1000 + i, prose()) for i in range(100)], "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in secrets.scan(docs, secrets.learn(known)).collect()}
+    assert {i: got[i] for i in range(len(probes))} == {i: [("grammar", 4, 4 + len(p))] for i, p in enumerate(probes)}
+    assert sum(map(len, (got[1000 + i] for i in range(100)))) == 0
+
+
+def test_grammar_learns_whole_examples():
+    made = secrets.Automaton.infer(["g" * 70 + f"{i:04d}" for i in range(200)])
+    assert made.bits_per_char("g" * 70 + "4711") > -5 and made.bits_per_char("g" * 70 + "4711") > made.bits_per_char("g" * 70 + "QRST")
+    # the branches differ only beyond 500 pairs of states
+    deep = ["U" + "".join(f"{x:b}".zfill(9)).replace("0", "g").replace("1", "a") + "0" for x in range(512)] * 20
+    deep += ["l" + "".join(f"{x:b}".zfill(9)).replace("0", "g").replace("1", "a") + "_" for x in range(512)] * 20
+    made = secrets.Automaton.infer(deep)
+    assert made.bits_per_char("Ugggaaagag0") > made.bits_per_char("Ugggaaagag_") + 0.3
+
+
 def test_grammar_inference_generalizes():
     rng = np.random.default_rng(4)
     key = lambda: "sk_" + "".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZ23456789"), 24))
