@@ -46,18 +46,23 @@ def node(url: Column) -> Column:
 
 
 def absolute(link: Column, base: Column) -> Column:
-    """A link as found in a page at address base, resolved; relative ones without a leading slash stay null."""
+    """A link as found in a page at address base, resolved; null if of another kind (``mailto:``)."""
     link = F.regexp_replace(F.trim(link), "&amp;", "&")
     scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
-    return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link)).when(link.startswith("/"), F.concat(scheme, F.lit("://"), host(base), link))
+    folder = F.coalesce(F.nullif(F.regexp_extract(path(base), r"(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
+    full = F.when(link.startswith("/"), link).when(link.rlike(r"^[?#]"), F.concat(path(base), link)).otherwise(F.concat(folder, link))
+    up = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))
+    steps = F.aggregate(F.split(F.regexp_extract(full, r"(?s)^([^?#]*)", 1), "/"), F.array().cast("array<string>"), up)
+    rooted = F.concat(scheme, F.lit("://"), host(base), F.array_join(steps, "/"), F.regexp_extract(full, r"(?s)^[^?#]*(.*)$", 1))
+    return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link)).when(~link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & (F.instr(base, "://") > 0), rooted)
 
 
 def declared_links(pages: DataFrame) -> DataFrame:
-    """(src, dst) addresses: canonical links and meta refreshes found in the html."""
-    canonical = F.regexp_extract(F.regexp_extract("html", r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    canonical = F.when(canonical != "", canonical).otherwise(F.regexp_extract("html", r"(?is)<link\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)[\"']?[^>]*\brel\s*=\s*[\"']?canonical\b", 1))
-    refresh = F.regexp_extract("html", r"(?is)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*url\s*=\s*[\"']?([^\"'\s>;]+)", 1)
-    return pages.select(F.col("url").alias("src"), F.explode(F.array(canonical, refresh)).alias("link")).where("link <> ''").select("src", absolute(F.col("link"), F.col("src")).alias("dst")).where("dst IS NOT NULL")
+    """(src, dst) addresses: all canonical links and meta refreshes found in the html, attributes in any order."""
+    tags = lambda name, sign: F.filter(F.regexp_extract_all("html", F.lit(rf"(?is)<{name}\b[^>]*>"), 0), lambda t: t.rlike(sign))
+    canonical = F.transform(tags("link", r"(?is)\brel\s*=\s*[\"']?canonical\b"), lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    refresh = F.transform(tags("meta", r"(?is)http-equiv\s*=\s*[\"']?refresh\b"), lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1))
+    return pages.select(F.col("url").alias("src"), F.explode(F.concat(canonical, refresh)).alias("link")).where("link <> ''").select("src", absolute(F.col("link"), F.col("src")).alias("dst")).where("dst IS NOT NULL")
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, links: DataFrame | None = None, default: str = "allow") -> DataFrame:

@@ -96,6 +96,12 @@ def test_url_aliases(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_declared_links_of_every_form(spark):
+    html = '<link rel=canonical href="p2.html"><link href="../x" rel="canonical"><link rel="canonical" href="?id=1"><meta content="0; url=./a/../b" http-equiv="refresh"><link rel=canonical href="mailto:a@b.c">'
+    pages = spark.createDataFrame([("http://h.com/d/e/p.html", html), ("http://h.com", '<link rel=canonical href="q">'), ("u", None)], "url string, html string")
+    assert sorted(r.dst for r in url_filter.declared_links(pages).collect()) == ["http://h.com/d/e/b", "http://h.com/d/e/p.html?id=1", "http://h.com/d/e/p2.html", "http://h.com/d/x", "http://h.com/q"]
+
+
 def test_components_of_a_long_path(spark):
     from orbitframe.llm.common import components
 
