@@ -6,13 +6,16 @@ import hashlib
 import heapq
 import math
 import re
-from collections import Counter, deque
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 HINTS = ("password", "passwd", "secret", "token", "api")
 #: Greedy runs of at least the length equal the runs that stay after shorter ones are dropped.
@@ -21,7 +24,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: The runs that the automata score: no shorter than the shortest value of a base pattern.
 SHORTEST = 6
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
-#: Bits a character of a run foreign to an automaton: below characters drawn evenly (-6) by more than a short run's end costs.
+#: Bits a character of a run that ordinary ones are quite unlike: below characters drawn evenly (-6).
 FOREIGN = -8.0
 #: Judged runs that a task remembers.
 REMEMBERED = 200_000
@@ -43,173 +46,241 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _LOW = {i: i + 32 for i in range(65, 91)}
 
 
-def shape(s: str) -> str:
-    """Characters as classes: a-f and digits apart, other letters by case, marks as they are."""
-    return s.translate(_SHAPE)
+#: The characters of values, their classes (a-f apart, as in hexadecimal numbers), and the sign for a value's end.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
+END = ""
+CLASS = {c: "U" if c.isupper() else "h" if c in "abcdef" else "l" if c.islower() else "0" if c.isdigit() else c for c in ALPHABET}
+SIZE = Counter(CLASS.values())
+_CODE = np.full(256, len(ALPHABET), np.uint8)
+_CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
+#: From characters and the end (last) to characters, the end and the classes of several characters.
+_SIGNS = np.hstack([np.eye(len(ALPHABET) + 1), np.array([[CLASS.get(c) == k for k in SIZE if SIZE[k] > 1] for c in (*ALPHABET, END)], float)])
+
 
+class Suffixes:
+    """What follows a state: the rests of some examples, with how often each character and class is at each place."""
 
-_SHAPE = {i: "U" for i in range(65, 91)} | {i: "l" for i in range(103, 123)} | {i: "h" for i in range(97, 103)} | {i: "0" for i in range(48, 58)}
-_SIZE = {"U": 26, "l": 20, "h": 6, "0": 10}
+    def __init__(self, codes: list[np.ndarray], rests: list[tuple[int, int]], evidence: int):
+        self.rests = rests
+        self.shares = np.zeros((0, _SIGNS.shape[1]))
+        if len(rests) >= evidence:
+            left = np.sort([len(codes[i]) - at for i, at in rests])[::-1]
+            places = int(left[max(2, len(left) // 20) - 1]) + 1  # what fewer than a twentieth reach can't differ
+            signs = [np.append(codes[i][at:], len(ALPHABET))[:places] for i, at in rests]
+            spot = np.concatenate([np.arange(len(x)) * len(_SIGNS) + x for x in signs])
+            self.shares = np.bincount(spot, minlength=places * len(_SIGNS)).reshape(places, -1) @ _SIGNS / len(rests)
+
+    def agrees(self, other: Suffixes, alpha: float) -> bool:
+        """Hoeffding's bound on the frequency of every character and class, and of the end, at every place."""
+        n = max(len(self.shares), len(other.shares))
+        one, two = (np.pad(x.shares, ((0, n - len(x.shares)), (0, 0))) for x in (self, other))
+        bound = math.sqrt(0.5 * math.log(2 / alpha)) * (len(self.rests) ** -0.5 + len(other.rests) ** -0.5)
+        return bool((np.abs(one - two) <= bound).all())
 
 
 class Automaton:
-    """Probabilistic deterministic automaton: states[i] = (visits, ends, {class: (next, count)})."""
+    """Probabilistic deterministic automaton: state i has counts {character or END: visits} and moves {character: state}.
 
-    def __init__(self, states: list[tuple[int, int, dict[str, tuple[int, int]]]]):
-        self.states = states
-        self.moves: list[dict[str, tuple[float, int]]] = [{} for _ in states]
+    A character's probability is its share of the visits, interpolated (Witten and Bell) with that of its class and with
+    evenly drawn characters. A character never seen in a state moves as the most visited of its class, or of all, does.
+    """
 
-    @classmethod
-    def infer(cls, examples: list[str], alpha: float = 0.05) -> Automaton:
-        """ALERGIA: the prefix tree of the examples, merged from the root where frequencies agree by Hoeffding's bound."""
-        visits, ends, nexts, counts = [0], [0], [{}], [{}]
-        for example, times in sorted(Counter(examples).items()):
-            at = 0
-            visits[0] += times
-            for c in shape(example):
-                if c not in nexts[at]:
-                    nexts[at][c] = len(visits)
-                    visits.append(0)
-                    ends.append(0)
-                    nexts.append({})
-                    counts.append({})
-                counts[at][c] = counts[at].get(c, 0) + times
-                at = nexts[at][c]
-                visits[at] += times
-            ends[at] += times
-        bound = math.sqrt(0.5 * math.log(2 / alpha))
-
-        def differ(f1, n1, f2, n2):
-            return bool(n1 and n2) and abs(f1 / n1 - f2 / n2) > bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
-
-        def compatible(a, b):
-            # b heads a tree, so each of its states is met once
-            todo = [(a, b)]
-            while todo:
-                a, b = todo.pop()
-                # frequencies differ by 1 at most: states so rarely visited, and all behind them, agree with any
-                if bound >= math.sqrt(visits[b]):
-                    continue
-                if differ(ends[a], visits[a], ends[b], visits[b]):
-                    return False
-                for c in nexts[a].keys() | nexts[b].keys():
-                    if differ(counts[a].get(c, 0), visits[a], counts[b].get(c, 0), visits[b]):
-                        return False
-                    if c in nexts[a] and c in nexts[b]:
-                        todo.append((nexts[a][c], nexts[b][c]))
-            return True
+    def __init__(self, counts: list[dict[str, int]], moves: list[dict[str, int]], floor: float = -math.inf):
+        self.counts, self.moves, self.floor = counts, moves, floor
+        self.known: list[dict[str, tuple[float, int]]] = [{} for _ in counts]
+
+    @property
+    def states(self) -> list[tuple[dict[str, int], dict[str, int]]]:
+        return list(zip(self.counts, self.moves, strict=True))
 
-        def fold(a, b):
-            todo = [(a, b)]
-            while todo:
-                a, b = todo.pop()
-                visits[a] += visits[b]
-                ends[a] += ends[b]
-                for c, to in nexts[b].items():
-                    counts[a][c] = counts[a].get(c, 0) + counts[b][c]
-                    if c in nexts[a]:
-                        if nexts[a][c] != to:
-                            todo.append((nexts[a][c], to))
+    @classmethod
+    def infer(cls, examples: list[str], alpha: float = 0.05, evidence: int = 30, fit: float = 0.05, slack: float = 0.25) -> Automaton:
+        """Merges compatible states of the examples' prefix tree, level by level.
+
+        The successors of a level are merged with each other and with earlier states (which makes loops) where the rests
+        of their examples agree by Hoeffding's bound at each place. States with fewer than ``evidence`` visits cannot be
+        tested: siblings of one class are pooled first, then all rare siblings, and only a pool with enough visits is
+        tested. Where a single example is left, its rest is one state with a loop. Whole examples are read. ``floor`` is
+        the score a character that all but ``fit`` of the examples reach, each scored without itself, less ``slack``.
+        """
+        examples = sorted(set(examples))
+        codes = [_CODE[np.frombuffer(x.encode("latin-1", "replace"), np.uint8)] for x in examples]
+        counts: list[dict[str, int]] = []
+        moves: list[dict[str, int]] = []
+        states: list[Suffixes | None] = []
+
+        def new(suffixes) -> int:
+            counts.append({})
+            moves.append({})
+            states.append(suffixes)
+            return len(counts) - 1
+
+        def tail(i: int, at: int) -> int:
+            state = new(None)
+            counts[state] = dict(Counter(examples[i][at:])) | {END: 1}
+            moves[state] = dict.fromkeys(examples[i][at:], state)
+            return state
+
+        def walk(state: int, rests: list[tuple[int, int]]) -> None:
+            """Count rests that join a state known before along its moves; where none is known, as a loop's last resort, stay."""
+            for i, at in rests:
+                here = state
+                for c in examples[i][at:]:
+                    counts[here][c] = counts[here].get(c, 0) + 1
+                    here = moves[here].setdefault(c, here)
+                counts[here][END] = counts[here].get(END, 0) + 1
+
+        level = [new(Suffixes(codes, [(i, 0) for i in range(len(examples))], evidence))] if examples else []
+        late: list[tuple[int, list]] = []
+        while level:
+            nodes: list[tuple[list, list]] = []  # ([(state, character)], rests)
+            for state in level:
+                by: dict[str, list] = {}
+                for i, at in states[state].rests:
+                    c = examples[i][at] if at < len(examples[i]) else END
+                    counts[state][c] = counts[state].get(c, 0) + 1
+                    if c:
+                        by.setdefault(c, []).append((i, at + 1))
+                pools: dict[str, list] = {}
+                for c in sorted(by):
+                    if len(by[c]) >= evidence:
+                        nodes.append(([(state, c)], by[c]))
+                    else:
+                        pools.setdefault(CLASS.get(c, c), []).append(c)
+                rest = []
+                for own in pools.values():
+                    if sum(len(by[c]) for c in own) >= evidence:
+                        nodes.append(([(state, c) for c in own], [r for c in own for r in by[c]]))
                     else:
-                        nexts[a][c] = to
-
-        red, blue = [0], deque(sorted((0, c) for c in nexts[0]))
-        while blue:
-            source, c = blue.popleft()
-            at = nexts[source][c]
-            if at in red:
-                continue
-            for other in red:
-                if compatible(other, at):
-                    nexts[source][c] = other
-                    known = {(r, k) for r in red for k in nexts[r]}
-                    fold(other, at)
-                    blue.extend(sorted({(r, k) for r in red for k in nexts[r]} - known))
-                    break
+                        rest += own
+                if rest:
+                    nodes.append(([(state, c) for c in rest], [r for c in rest for r in by[c]]))
+            known, level = len(states), []
+            for edges, rests in sorted(nodes, key=lambda x: (-len(x[1]), x[0])):
+                to = None
+                if len(rests) == 1:
+                    to = tail(*rests[0])
+                else:
+                    found = Suffixes(codes, rests, evidence)
+                    if len(rests) >= evidence:
+                        for other in [*level, *range(known)]:
+                            own = states[other]
+                            if own is not None and len(own.rests) >= evidence and own.agrees(found, alpha):
+                                to = other
+                                break
+                    if to is None:
+                        level.append(to := new(found))
+                    elif to < known:
+                        late.append((to, rests))
+                    else:
+                        states[to] = Suffixes(codes, states[to].rests + rests, evidence)
+                for state, c in edges:
+                    moves[state][c] = to
+        for state, rests in late:
+            walk(state, rests)
+        out = cls(counts, moves)
+        scores = sorted(out.bits(x, without=1) / max(1, len(x)) for x in examples)
+        out.floor = scores[int(fit * len(scores))] - slack if scores else math.inf
+        return out
+
+    def _move(self, at: int, c: str, without: int = 0) -> tuple[float, int]:
+        counts, moves = self.counts[at], self.moves[at]
+        own = max(0, counts.get(c, 0) - without)
+        n, kinds = sum(counts.values()) - without, len(counts) - (c in counts and not own)
+        like = [x for x in counts if x and CLASS.get(x, x) == CLASS.get(c, c)] if c else []
+        of_class = max(0, sum(counts[x] for x in like) - without) if c else own
+        classes = len({CLASS.get(x, x) for x in counts}) or 1
+        size = SIZE.get(CLASS.get(c, c), 1) if c else 1
+        even = size / (len(ALPHABET) + 1)
+        by_class = (of_class + classes * even) / (max(n, 0) + classes) / size
+        p = (own + max(kinds, 1) * by_class) / (max(n, 0) + max(kinds, 1))
+        return math.log2(p), moves.get(c, max([(counts[x], moves[x]) for x in like if x in moves] or [(counts.get(x, 0), to) for x, to in moves.items()], default=(0, at))[1])
+
+    def bits(self, s: str, least: float = -math.inf, without: int = 0) -> float:
+        """log2 of the likelihood of a whole value; stops, with minus infinity, once that must fall below ``least``."""
+        at, total = 0, 0.0
+        for c in (*s, END):
+            if without:
+                step = self._move(at, c, without)
             else:
-                red.append(at)
-                blue.extend(sorted((at, k) for k in nexts[at]))
-        number = {s: i for i, s in enumerate(red)}
-        return cls([(visits[s], ends[s], {c: (number.get(to, 0), counts[s][c]) for c, to in nexts[s].items()}) for s in red])
+                step = self.known[at].get(c)
+                if step is None:
+                    step = self.known[at][c] = self._move(at, c)
+            total += step[0]
+            if total < least:
+                return -math.inf
+            at = step[1]
+        return total
 
     def bits_per_char(self, s: str) -> float:
-        """Mean log2 likelihood of a character; unseen moves cost a small probability."""
-        at, total = 0, 0.0
-        for c in shape(s):
-            move = self.moves[at].get(c)
-            if move is None:
-                visits, _, nexts = self.states[at]
-                to, n = nexts.get(c, (0, 0))
-                move = self.moves[at][c] = math.log2((n + 0.02) / (visits + 1.0) / _SIZE.get(c, 1)), to
-            total += move[0]
-            at = move[1]
-        visits, ends, _ = self.states[at]
-        return (total + math.log2((ends + 0.02) / (visits + 1.0))) / max(1, len(s))
-
-
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, examples: int = 2_000) -> dict[str, Automaton]:
-    """An automaton per base kind and one of ordinary words, from about ``sample_docs`` documents chosen by a hash of the id.
-
-    What the base patterns find there are the labelled credentials, at most ``examples`` of each kind, whole; with fewer than
-    ten of a kind none is learnt for it. Ordinary words are the candidate runs that touch no base span: of all distinct ones
-    in those documents, the ``examples`` least by hash.
+        return self.bits(s) / max(1, len(s))
+
+
+def secret_like(s: str, credentials: list[Automaton], plain: Automaton | None, margin: float) -> bool:
+    """Does a credential automaton find s typical and at least ``margin`` bits likelier than ordinary runs of characters?"""
+    for automaton in credentials:
+        score = automaton.bits(s, automaton.floor * len(s))
+        if score > -math.inf and score - max(plain.bits(s) if plain else -math.inf, FOREIGN * len(s)) >= margin:
+            return True
+    return False
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, examples: int = 2_000, margin: float = 20.0) -> dict[str, Automaton]:
+    """An automaton per base kind and one of ordinary runs, from about ``sample_docs`` documents chosen by a hash of the id.
+
+    What the base patterns find there are the labelled credentials, at most ``examples`` of each kind (the least by hash),
+    whole. Ordinary runs are those that touch no base span: ``examples`` of letters only and as many others, again the
+    least by hash; of those others, runs that a credential automaton takes for its own are left out. One scan of the
+    sample finds all of them. A kind that does not occur has no automaton.
     """
     step = max(1, docs.count() // sample_docs)
     sample = docs.where(F.pmod(F.xxhash64(F.lit(9), id_col), F.lit(step)) == 0).where(F.col(text_col).isNotNull()).select(text_col)
+    kinds = (*KINDS[:3], "word", "other")
 
     def run(batches):
         for batch in batches:
-            kinds, values = [], []
-            for text in batch.column(0).to_pylist():
-                for start, kind, end in base_spans(text):
-                    value = text[start:end]
-                    kinds.append(KINDS[kind])
-                    values.append(ASSIGN.match(value)[2] if kind == 0 else value)
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.string()), "value": pa.array(values, pa.string())})
-
-    found = sample.mapInArrow(run, "kind string, value string").distinct()
-    # the least hashes of each kind: a bounded number of rows
-    by = {kind: [r["value"] for r in found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(examples).collect()] for kind in KINDS[:3]}
-    automata = {k: Automaton.infer(v) for k, v in by.items() if len(v) >= 10}
-    if not automata:
-        return automata
-
-    def words(batches):
-        for batch in batches:
-            seen = set()
-            for text in batch.column(0).to_pylist():
+            seen = {kind: set() for kind in kinds}
+            for text in batch.column(0):
+                text = text.as_py()
                 spans = base_spans(text)
-                seen.update(m[0] for m in CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in spans))
+                for start, kind, end in spans:
+                    value = text[start:end]
+                    seen[KINDS[kind]].add(ASSIGN.match(value)[2] if kind == 0 else value)
+                for m in CANDIDATE.finditer(text):
+                    if not any(a < m.end() and m.start() < b for a, _, b in spans):
+                        seen["word" if m[0].isalpha() else "other"].add(m[0])
             # what is not among the least of a batch is not among the least of all
-            chosen = heapq.nsmallest(examples, ((xxhash.xxh3_64_intdigest(w) >> 1, w) for w in seen))
-            yield pa.RecordBatch.from_pydict({"hash": pa.array([h for h, _ in chosen], pa.int64()), "value": pa.array([w for _, w in chosen], pa.string())})
+            chosen = [(kind, h, v) for kind, own in seen.items() for h, v in heapq.nsmallest(2 * examples, ((xxhash.xxh3_64_intdigest(v) >> 1, v) for v in own))]
+            columns = list(zip(*chosen, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["kind", "hash", "value"])
 
-    usual = [r["value"] for r in sample.mapInArrow(words, "hash long, value string").distinct().orderBy("hash", "value").limit(examples).collect()]
+    found = materialize(sample.mapInArrow(run, "kind string, hash long, value string").distinct(), "runs")
+    least = {kind: [r["value"] for r in found.where(F.col("kind") == kind).orderBy("hash", "value").limit(2 * examples).collect()] for kind in kinds}
+    automata = {kind: Automaton.infer(least[kind][:examples]) for kind in KINDS[:3] if least[kind]}
+    if not automata:
+        return automata
+    others = [x for x in least["other"] if not secret_like(x, list(automata.values()), None, margin)]
+    usual = least["word"][:examples] + others[:examples]
     return automata | ({"word": Automaton.infer(usual)} if usual else {})
 
 
-def scan(docs: DataFrame, automata: dict[str, Automaton], text_col: str = "text", margin: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, automata: dict[str, Automaton], text_col: str = "text", margin: float = 20.0) -> DataFrame:
     """docs with ``spans``: array of (kind, start, end), code points, end exclusive, by start and then kind.
 
     Base spans come from the fixed patterns. Every run of at least ``SHORTEST`` candidate characters that touches none of
-    them is scored; it gets kind ``grammar`` when some credential automaton gives it at least ``margin``
-    bits a character more than the automaton of ordinary words does (or, without that, than characters drawn evenly), and
-    more than ``FOREIGN``.
+    them is scored, whole; it gets kind ``grammar`` when some credential automaton finds it typical (its score a character
+    reaches the automaton's floor) and at least ``margin`` bits likelier than the automaton of ordinary runs does.
 
     Null text has no spans; rows are judged one by one, so repeated rows agree and an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast({k: a.states for k, a in automata.items()})
+    shared = docs.sparkSession.sparkContext.broadcast({k: (a.counts, a.moves, a.floor) for k, a in automata.items()})
     keep = [c for c in docs.columns if c != "spans"]
 
     def run(batches):
-        models = {k: Automaton(s) for k, s in shared.value.items()}
+        models = {k: Automaton(*x) for k, x in shared.value.items()}
         plain = models.pop("word", None)
+        credentials = list(models.values())
         known: dict[str, bool] = {}
-
-        def likely(s):
-            usual = plain.bits_per_char(s) if plain else -6.0
-            return max(x.bits_per_char(s) for x in models.values()) - max(usual, FOREIGN) >= margin
-
         for batch in batches:
             out = []
             for text in batch.column(batch.schema.names.index(text_col)):
@@ -220,7 +291,7 @@ def scan(docs: DataFrame, automata: dict[str, Automaton], text_col: str = "text"
                     s = m[0]
                     hit = known.get(s)
                     if hit is None:
-                        hit = likely(s)
+                        hit = secret_like(s, credentials, plain, margin)
                         if len(known) >= REMEMBERED:
                             known.clear()
                         if len(s) <= 64:  # longer ones hardly repeat

@@ -285,12 +285,43 @@ def test_packing_edges(spark, odd, none, monkeypatch):
     import public_tokenizers
 
     path = str(public_tokenizers.path("word_bpe_49k.json"))
-    hard = ["Don't stop.  It's <|endoftext|> now", "É é Straße ΑΣ İstanbul  x y \x1c z", "a.b,c..", "x" * 5000, "日本語テスト ok, ok.", "\x85weird\x85", "word. word, word!! (word)"]
+    hard = ["Don't stop.  It's <|endoftext|> now", "É é Straße ΑΣ İstanbul  x y \x1c z", "a.b,c..", "x" * 5000, "日本語テスト ok, ok.", "\x85weird\x85", "word. word, word!! (word)", "ALİ. alİ, İ!", "H\u0331. क़."]
     df = odd.unionByName(spark.createDataFrame([(50 + i, t, "en", "a", 1, "") for i, t in enumerate(hard)], DOCS))
     check_packing([(r.doc_id, r.text) for r in df.collect()], packing.pack(df, path).collect(), path)
     assert packing.pack(none, path).count() == 0
 
 
+def test_word_ids_equal_the_tokenizer(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    whole, ours, rng = Tokenizer.from_file(path), packing.WordEncoder(path, memory_bytes=200_000), np.random.default_rng(7)
+    bits = ["İ", "i\u0307", "ALİ.", "h\u0331", "H\u0331", "q", "e\u0301", "'s", "'S", "'ll", "1", "２", "½", "<|endoftext|>", "<|", "|>", "<|ENDOFTEXT|>", "\u0958", "ß", "ẞ", "Σ", "ς", "ŉ", "\u00a0", "\u2003", "\x85", "\x1c", "\u200d", "👩\u200d🚀", "中", "क\u094d", "ﬁ", "Ǆ", "...", "%%%", "-", "_", "a", "B", "the", "\n", "\t", " ", " ", "\x0b", "\r", ".", ",", "<", "\u0338", "×", "÷", "ª", "\u0345", "ſ", "Ĳ"]
+    for _ in range(50):
+        texts = ["".join(bits[i] for i in rng.integers(0, len(bits), rng.integers(0, 14))) for _ in range(2000)]
+        got = list(ours.encode(pa.array(texts)))
+        assert [g.tolist() for g in got] == [[*e.ids, 2] for e in whole.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(packing, "CHUNK_BYTES", 50_000)
+    long = " ".join(f"Wort{i}, ähnlich" for i in range(10_000))
+    assert next(ours.encode(pa.array([long]))).tolist() == [*whole.encode(long, add_special_tokens=False).ids, 2]
+    assert [g.tolist() for g in ours.encode(pa.array([None, "", "a"]))][:2] == [[2], [2]]
+
+
+def test_steps_are_balanced(spark):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(i, f"w{i} " * (1 + i * i % 900)) for i in range(600)], "doc_id long, text string").repartition(5)
+    out = packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json")), step_tokens=16_384)
+    steps = out.where("offset = 0").groupBy("step_id").agg(F.sum("context").alias("n"), F.count_distinct("context").alias("tiers")).orderBy("step_id").collect()
+    assert [r.step_id for r in steps] == list(range(len(steps)))
+    assert {r.n for r in steps[:-1]} == {16_384} and steps[-1].n <= 16_384
+    assert sum(r.tiers > 1 for r in steps) <= 4 and sum(r.tiers == 1 for r in steps) > 10
+    with pytest.raises(ValueError):
+        packing.pack(docs, "", tiers=(512, 1000))
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 def brute_nearest(ids, x, k=20):
     out = {}
@@ -359,17 +390,81 @@ def test_secret_edges(odd, none, spark):
 
 
 def test_grammar_finds_keys_of_any_characters(spark):
-    """Keys of a learnt format outside an assignment: short, with few digits, none, or nothing else; words stay unmarked."""
+    """Keys of a learnt format outside an assignment: with few digits, none, or nothing else; other lengths and words stay unmarked."""
     rng = np.random.default_rng(6)
     base62 = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
     key = lambda n, of=base62: "".join(rng.choice(of, n))
     prose = lambda: " ".join(key(int(rng.integers(4, 14)), list("aeioulnrstdm")) for _ in range(12))
     known = spark.createDataFrame([(i, f"{prose()} token = {key(24)} {prose()}") for i in range(300)], "doc_id long, text string")
-    probes = [key(n, of) for n in (10, 16, 22) for of in (base62[:52], base62[52:], base62)] + [key(9) + "Q" for _ in range(4)]
+    probes = [key(24, of) for of in (base62[:52], base62[:26], base62) for _ in range(3)] + [key(23) + "Q" for _ in range(4)]
     docs = spark.createDataFrame([(i, f"one {p} two") for i, p in enumerate(probes)] + [(1000 + i, prose()) for i in range(100)], "doc_id long, text string")
     got = {r.doc_id: [tuple(x) for x in r.spans] for r in secrets.scan(docs, secrets.learn(known)).collect()}
     assert {i: got[i] for i in range(len(probes))} == {i: [("grammar", 4, 4 + len(p))] for i, p in enumerate(probes)}
     assert sum(map(len, (got[1000 + i] for i in range(100)))) == 0
+    other = spark.createDataFrame([(n, key(n)) for n in (10, 16, 30, 60)], "doc_id long, text string")
+    assert [len(r.spans) for r in secrets.scan(other, secrets.learn(known)).collect()] == [0] * 4
+
+
+def likelihood(automaton, value):
+    """The probability of a value from the counts alone, state by state, without memory or early end."""
+    at, p = 0, 1.0
+    for c in (*value, ""):
+        seen, moves = automaton.states[at]
+        total, kind = sum(seen.values()), secrets.CLASS.get(c, c)
+        mates = {x: n for x, n in seen.items() if x and c and secrets.CLASS.get(x, x) == kind}
+        size = secrets.SIZE.get(kind, 1) if c else 1
+        classes = len({secrets.CLASS.get(x, x) for x in seen}) or 1
+        of_class = (sum(mates.values()) if c else seen.get("", 0)) + classes * size / (len(secrets.ALPHABET) + 1)
+        kinds = max(1, len(seen))
+        p *= (seen.get(c, 0) + kinds * of_class / (total + classes) / size) / (total + kinds)
+        if c in moves:
+            at = moves[c]
+        else:
+            choice = [(n, moves[x]) for x, n in mates.items() if x in moves] or [(seen.get(x, 0), to) for x, to in moves.items()] or [(0, at)]
+            at = max(choice)[1]
+    return p
+
+
+def test_grammar_finds_planted_formats(spark):
+    """Formats labelled in some documents of a real table are found bare in others, with counted hits and misses."""
+    rng = np.random.default_rng(12)
+    draw = lambda n, of: "".join(rng.choice(list(of), n))
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    formats = [lambda: "sk_live_" + draw(24, base62), lambda: "glpat-" + draw(20, base62), lambda: "npm_" + draw(36, base62), lambda: "x" + draw(int(rng.integers(20, 32)), "0123456789ABCDEF")]
+    docs = rows(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    texts = [(r.doc_id, r.text or "") for r in docs.collect()]
+    planted = {}
+    for k, (i, text) in enumerate(texts):
+        if k % 3 == 0:
+            texts[k] = (i, f'{text} api_key = "{formats[k // 3 % 4]()}" end')
+        elif k % 3 == 1:
+            key = formats[k // 3 % 4]()
+            planted[i] = {("grammar", len(text) + 7, len(text) + 7 + len(key))}
+            texts[k] = (i, f"{text} value {key} end")
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    automata = secrets.learn(df)
+    found = {r.doc_id: {tuple(s) for s in r.spans if s.kind == "grammar"} for r in secrets.scan(df, automata).collect()}
+    hits = sum(len(found[i] & planted.get(i, set())) for i in found)
+    marked = sum(map(len, found.values()))
+    assert hits >= 0.95 * len(planted) and hits >= 0.98 * marked, (hits, len(planted), marked)
+    # the same verdicts from plain probabilities
+    plain = automata.pop("word")
+    for i, text in texts[:60]:
+        base, want = secrets.base_spans(text), set()
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{6,}", text):
+            usual = max(np.log2(likelihood(plain, m[0])), -8.0 * len(m[0]))
+            own = [np.log2(likelihood(a, m[0])) for a in automata.values() if np.log2(likelihood(a, m[0])) >= a.floor * len(m[0])]
+            if any(x - usual >= 20 for x in own) and not any(a < m.end() and m.start() < b for a, _, b in base):
+                want.add(("grammar", m.start(), m.end()))
+        assert found[i] == want
+
+
+def test_grammar_of_one_example_and_of_long_ones():
+    one = secrets.Automaton.infer(["0123456789abcdef" * 3])
+    assert len(one.states) == 2 and one.bits("0123456789abcdef" * 3) > one.bits("z" * 48)
+    long = secrets.Automaton.infer(["ab" * 100_000])
+    assert len(long.states) < 10
+    assert secrets.Automaton.infer([]).floor == float("inf")
 
 
 def test_grammar_learns_whole_examples():
