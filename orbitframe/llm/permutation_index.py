@@ -19,26 +19,40 @@ def _orders(vectors: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
 
 
 class Shard:
-    """Vectors posted in the inverted files of their nearest pivots, with the pivot's rank for each."""
+    """Vectors posted in the inverted files of their nearest pivots, with the pivot's rank for each.
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, depth: int):
-        self.ids, self.vectors, self.pivots, self.depth = ids, vectors, pivots, depth
+    Footrule distance tells directions only. A line fitted on some of the shard's own vectors turns it into an expected
+    cosine, which times a vector's length is the inner product that candidates are ranked by.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, depth: int, fitted: int = 24):
+        self.ids, self.vectors, self.depth = ids, vectors, depth
+        self.lengths = np.sqrt((vectors * vectors).sum(axis=1))
         order = _orders(vectors, pivots, depth)
         owner, pivot = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
         rank = np.tile(np.arange(order.shape[1]), len(ids))
         by = np.argsort(pivot, kind="stable")
         self.owner, self.rank = owner[by], rank[by].astype(np.int16)
         self.starts = np.searchsorted(pivot[by], np.arange(len(pivots) + 1))
-
-    def search(self, query: np.ndarray, order: np.ndarray, share: float, least: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best: posted vectors are ranked by footrule distance, the nearest share reranked."""
+        some = np.unique(np.linspace(0, len(ids) - 1, min(fitted, len(ids))).astype(int))
+        near = np.concatenate([self._near(order[i]) for i in some])
+        cosine = np.concatenate([self.vectors @ (vectors[i] / self.lengths[i]) / self.lengths for i in some])
+        spread = near.var()
+        self.slope = ((near - near.mean()) * (cosine - cosine.mean())).mean() / spread if spread else 1.0
+        self.level = cosine.mean() - self.slope * near.mean()
+
+    def _near(self, order: np.ndarray) -> np.ndarray:
+        """Footrule closeness of each vector: a shared pivot gives depth - |difference of ranks|, a missing one nothing."""
         lists = [slice(self.starts[p], self.starts[p + 1]) for p in order]
         at = np.concatenate([self.owner[s] for s in lists])
-        # footrule up to a constant: a shared pivot saves depth - |difference of ranks|, a missing one nothing
         saved = np.concatenate([self.depth - np.abs(self.rank[s] - np.int16(r)) for r, s in enumerate(lists)])
-        near = np.bincount(at, weights=saved, minlength=len(self.ids))
+        return np.bincount(at, weights=saved, minlength=len(self.ids))
+
+    def search(self, query: np.ndarray, order: np.ndarray, share: float, least: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best: posted vectors are ranked by expected inner product, the first share reranked."""
+        expected = (self.level + self.slope * self._near(order)) * self.lengths
         keep = min(len(self.ids), max(least, math.ceil(share * len(self.ids))))
-        chosen = np.argpartition(-near, keep - 1)[:keep] if keep < len(self.ids) else np.arange(len(self.ids))
+        chosen = np.argpartition(-expected, keep - 1)[:keep] if keep < len(self.ids) else np.arange(len(self.ids))
         rough = self.vectors[chosen] @ query
         if len(chosen) > 4 * k:
             chosen = chosen[np.argpartition(-rough, 4 * k - 1)[: 4 * k]]
@@ -48,11 +62,12 @@ class Shard:
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v, k1, k2) of the rows that take part: no null, zero or non-finite vector; k1, k2 name equal vectors."""
+    """(id, n, k1, k2, v) of the rows that take part: no null, zero or non-finite vector; k1, k2 name equal vectors."""
     df = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double") + 0.0).alias("v")).where("id IS NOT NULL")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     df = df.where(F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0))
-    return df.withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.lit(8), "v"))
+    df = df.select("id", F.struct(F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(8), "v").alias("k2"), "v").alias("x"))
+    return df.groupBy("id").agg(F.min("x").alias("x")).select("id", F.size("x.v").alias("n"), "x.k1", "x.k2", "x.v")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, pivots: int = 256, depth: int = 64, share: float = 0.2, shard_rows: int = 8192, every: int = 20) -> DataFrame:
@@ -66,13 +81,15 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, id_col: str =
     merged per query.
 
     Of equal vectors only the k + 1 smallest ids can be among any answer, so large groups of copies shrink to those, and
-    equal queries are searched once. Rows with null id, or null, zero or non-finite vectors take no part; a vector of
-    another length than the pivots' is an error. Rows that repeat an id with the same vector count once. With fewer than k
-    candidates all are returned; an empty table gives an empty result.
+    equal queries are searched once. Rows with null id, or null, zero or non-finite vectors take no part, nor do vectors of
+    another number of components than most have (equally many: the smaller number). Of rows that repeat an id, the vector
+    least by hash counts. With fewer than k candidates all are returned; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    rows = materialize(usable(vectors, id_col, vec_col).dropDuplicates(["id", "k1", "k2"]), "vectors")
-    asked = rows.where(F.pmod("id", F.lit(every)) == 0) if queries is None else usable(queries, id_col, vec_col)
+    rows = materialize(usable(vectors, id_col, vec_col), "vectors")
+    usual = rows.groupBy("n").count().orderBy(F.desc("count"), "n").first()
+    rows = rows.where(F.col("n") == (usual["n"] if usual else 0))
+    asked = rows.where(F.pmod("id", F.lit(every)) == 0) if queries is None else usable(queries, id_col, vec_col).where(F.col("n") == (usual["n"] if usual else 0))
     asked = asked.select(F.col("id").alias("query_id"), "k1", "k2", "v")
     few = rows.withColumn("n", F.row_number().over(W.partitionBy("k1", "k2").orderBy("id"))).where(F.col("n") <= k + 1).drop("n")
     few = materialize(few, "distinct-vectors")
@@ -80,6 +97,8 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, id_col: str =
     step = max(1, total // (4 * pivots))
     seeds = few.where(F.pmod("k2", F.lit(step)) == 0).dropDuplicates(["k1", "k2"]).orderBy("k1", "k2").select("v").limit(pivots).collect()
     table = np.array([r["v"] for r in seeds], np.float64)
+    if len(table):
+        table /= np.sqrt((table * table).sum(axis=1, keepdims=True))
     depth = min(depth, len(table))
     shared = spark.sparkContext.broadcast(table)
     shards = max(1, math.ceil(total / shard_rows))
