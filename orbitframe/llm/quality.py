@@ -16,7 +16,7 @@ SYMBOLS = r"[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class Rule:
-    """``fails`` is true for a document the rule rejects; an expression over text, __of_words and the counts."""
+    """``fails`` is true for a document the rule rejects; an expression over __of_text (null text: empty), __of_words and the counts."""
 
     name: str
     fails: Column
@@ -28,11 +28,11 @@ def default_rules() -> list[Rule]:
     return [
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 14 * n)),
         Rule("symbols", 10 * F.col("n_symbols") > n),
-        Rule("dup_lines", 10 * F.col("n_dup_lines") > 3 * F.size(F.split(F.col("text"), "\n"))),
+        Rule("dup_lines", 10 * F.col("n_dup_lines") > 3 * F.size(F.split(F.col("__of_text"), "\n"))),
         Rule("letters", 10 * F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))) < 7 * n),
         Rule("shouting", 10 * F.size(F.filter(words, lambda w: w.endswith("!!"))) > 5 * n),
         Rule("one_word", F.size(F.array_distinct(words)) * 20 < n),
-        Rule("bullets", 10 * F.size(F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(r"^[\x20\t]*[-•*]"))) > 9 * F.size(F.split(F.col("text"), "\n"))),
+        Rule("bullets", 10 * F.size(F.filter(F.split(F.col("__of_text"), "\n"), lambda x: x.rlike(r"^[\x20\t]*[-•*]"))) > 9 * F.size(F.split(F.col("__of_text"), "\n"))),
     ]
 
 
@@ -66,7 +66,7 @@ def repeat_words(words: Column, window: int = 8) -> Column:
 def base_counts(docs: DataFrame, text_col: str = "text", window: int = 8) -> DataFrame:
     """docs with __of_words and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; each text in its own row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn("__of_words", trimmed_words(F.col(text_col)))
+    df = docs.withColumn("__of_text", text).withColumn("__of_words", trimmed_words(F.col(text_col)))
     lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.btrim(line, F.lit(BLANKS))) > 0)
     return df.withColumns({
         "n_words": F.size("__of_words").cast("long"),
@@ -92,10 +92,10 @@ def calibrate(sample: DataFrame, rules: list[Rule]) -> list[tuple[str, float, fl
         return time.perf_counter() - took, [x or 0 for x in row]
 
     timed()  # fills the cache and compiles
-    idle, (n,) = timed()
+    idle, (n,) = min(timed() for _ in range(2))
     found = []
     for rule in rules:
-        s, (_, rejected) = timed(F.count_if(rule.fails))
+        s, (_, rejected) = min(timed(F.count_if(rule.fails)) for _ in range(2))
         found.append((rule.name, max(s - idle, 1e-4), rejected / max(n, 1)))
     return sorted(found, key=lambda x: (-x[2] / x[1], x[0]))
 
@@ -114,11 +114,9 @@ def cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int =
     if len({r.name for r in rules}) < len(rules):
         raise ValueError("rule names must differ")
     df = base_counts(docs, text_col)
-    if text_col != "text":
-        df = df.withColumn("text", F.col(text_col))
     if order is None and rules:
         step = max(1, docs.count() // sample_rows)
-        picked = base_counts(docs.where(F.pmod(F.xxhash64(F.lit(4), id_col), F.lit(step)) == 0).select(F.col(text_col).alias("text"))).persist()
+        picked = base_counts(docs.where(F.pmod(F.xxhash64(F.lit(4), id_col), F.lit(step)) == 0), text_col).persist()
         order = [name for name, _, _ in calibrate(picked.where(~base_failed()), rules)]
         picked.unpersist()
     by_name = {r.name: r.fails for r in rules}
