@@ -93,11 +93,13 @@ def judge(pages: DataFrame, rules: tuple = RULES, links: DataFrame | None = None
         whole = said.groupBy("component").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"))
         said = said.select("__of_node", "component").join(whole, "component").drop("component")
     by_class = F.when(F.col("a"), "allow").when(F.col("b"), "block")
-    # only classes with a decision are joined, and only to pages without a rule
+    # only classes with a decision are joined, and only to pages that have an address and no rule
     decided = said.select("__of_node", by_class.alias("__of_class")).where("__of_class IS NOT NULL")
-    lookup = F.when(F.col("__of_m").isNull(), F.col("__of_node"))
-    out = df.withColumn("__of_node", lookup).join(decided, "__of_node", "left")
-    return out.withColumn("rule", F.col("__of_m.rule")).withColumn("verdict", F.coalesce(F.col("__of_m.action"), F.col("__of_class"), F.lit(default))).select(*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict")], "host", "path", "rule", "verdict")
+    asks = F.col("__of_m").isNull() & F.col("__of_node").isNotNull()
+    joined = df.where(asks).join(decided, "__of_node", "left")
+    settled = df.where(~asks).withColumn("__of_class", F.lit(None).cast("string"))
+    out = joined.unionByName(settled).withColumn("rule", F.col("__of_m.rule")).withColumn("verdict", F.coalesce(F.col("__of_m.action"), F.col("__of_class"), F.lit(default)))
+    return out.select(*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict")], "host", "path", "rule", "verdict")
 
 
 def op3(pages: DataFrame) -> DataFrame:
