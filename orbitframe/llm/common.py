@@ -45,6 +45,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark send Python workers 8 MB at a time, unless the session has its own setting: texts differ much in length."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, "8388608b")
+
+
 def release_memory() -> None:
     """Give memory that a Python worker has freed back to the system; workers live on for the stages to come."""
     pa.default_memory_pool().release_unused()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -10,14 +11,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, materialize, release_memory, small_batches
 
 #: Bytes hashed and tokens held at once by a task.
-BYTES, TOKENS = 1 << 21, 1 << 21
+BYTES, TOKENS = 1 << 21, 1 << 20
 #: Tokens of one bucket of the frequency count.
-BUCKET_TOKENS = 2_000_000
-#: A token in this share of all sets is common: it is counted apart and comes last in the order.
-COMMON = 0.01
+BUCKET_TOKENS = 1_000_000
+#: A token in this share of all sets, or in so many, is common: it is not counted and comes last in the order. At most
+#: so many tokens are treated so (the most frequent); the rest of them would be counted like any other.
+COMMON, COMMON_TIMES, COMMON_TOKENS = 0.01, 500_000, 2_000_000
+#: Sets of one token's list that meet in one task, from each side.
+BLOCK = 1024
 BANDS, ROWS = 10, 3
 #: Partners that a set tries in each of its lists, round by round, before the last round takes all that remain.
 PICKS = (8, 64, 512)
@@ -85,8 +89,9 @@ def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
     return out
 
 
-def _key(tokens: np.ndarray) -> int:
-    return int(np.array(xxhash.xxh3_64_intdigest(tokens.tobytes()), np.uint64).view(np.int64))
+def _names(tokens: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set: the first names it, the second tells sets with the same name apart."""
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(tokens.tobytes()))
 
 
 def _parts(batches, width: int):
@@ -109,33 +114,49 @@ def _batch(names: str, types: list, columns) -> pa.RecordBatch:
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n, key, often, times): set size, a hash that names the set (null if empty), and tokens often seen nearby."""
+    """(id, text_hash, n, key, other, often, times): set size, two hashes of the set (null if empty), tokens often seen nearby."""
+    names = "id text_hash n key other often times"
+    types = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
 
     def run(batches):
         held, total, docs_held = [], 0, 0
-        for ids, sets in _parts(batches, width):
-            held += sets
-            total += sum(map(len, sets))
-            docs_held += len(sets)
-            often, times = None, None
-            if total >= TOKENS // 2:
-                often, times = np.unique(np.concatenate(held), return_counts=True)
-                keep = times >= max(4, docs_held * COMMON / 2)
-                often, times = often[keep].view(np.int64), times[keep]
-                held, total, docs_held = [], 0, 0
-            rest = [None] * (len(ids) - 1)
-            yield _batch("id n key often times", [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())], [ids, [len(s) for s in sets], [_key(s) if len(s) else None for s in sets], [often, *rest], [times, *rest]])
+        for batch in batches:
+            hashes, at = batch.column(2).to_pylist(), 0
+            for ids, sets in _parts([batch], width):
+                held += sets
+                total += sum(map(len, sets))
+                docs_held += len(sets)
+                often, times = None, None
+                if total >= TOKENS:
+                    often, times = _often(held, docs_held)
+                    held, total, docs_held = [], 0, 0
+                rest = [None] * (len(ids) - 1)
+                keys = [_names(s) if len(s) else (None, None) for s in sets]
+                yield _batch(names, types, [ids, hashes[at : at + len(ids)], [len(s) for s in sets], *zip(*keys, strict=True), [often, *rest], [times, *rest]])
+                at += len(ids)
         if held:
-            often, times = np.unique(np.concatenate(held), return_counts=True)
-            keep = times >= max(4, docs_held * COMMON / 2)
-            yield _batch("id n key often times", [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())], [[None], [-1], [None], [often[keep].view(np.int64)], [times[keep]]])
+            often, times = _often(held, docs_held)
+            yield _batch(names, types, [[None], [None], [-1], [None], [None], [often], [times]])
+        held = None
+        release_memory()
+
+    schema = "id long, text_hash long, n long, key long, other long, often array<long>, times array<long>"
+    return docs.select(F.col(id_col).cast("long"), text_col, F.xxhash64(text_col)).mapInArrow(run, schema)
+
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, n long, key long, often array<long>, times array<long>")
+def _often(held: list[np.ndarray], docs_held: int) -> tuple[np.ndarray, np.ndarray]:
+    tokens, times = np.unique(np.concatenate(held), return_counts=True)
+    keep = times >= max(4, docs_held * COMMON / 2)
+    return tokens[keep].view(np.int64), times[keep]
 
 
-def _deal(common, buckets: int, width: int):
+def _deal(common, renamed: frozenset, buckets: int, width: int):
     """Rows (bucket, keys, sizes, counts, tokens): a task's tokens dealt to buckets by value, grouped by set; common ones apart."""
 
+    def name(tokens):
+        key, other = _names(tokens)
+        return other if key in renamed else key
+
     def flush(sets: dict[int, np.ndarray]):
         keys = np.fromiter(sets, np.int64, len(sets))
         tokens = np.concatenate(list(sets.values()))
@@ -161,7 +182,7 @@ def _deal(common, buckets: int, width: int):
         held, total = {}, 0
         for _, sets in _parts(batches, width):
             for s in sets:
-                if len(s) and (key := _key(s)) not in held:
+                if len(s) and (key := name(s)) not in held:
                     held[key] = s
                     total += len(s)
             if total >= TOKENS:
@@ -169,6 +190,8 @@ def _deal(common, buckets: int, width: int):
                 held, total = {}, 0
         if held:
             yield flush(held)
+        held = None
+        release_memory()
 
     return run
 
@@ -205,6 +228,7 @@ def _shared_tokens(buckets: int):
             own = owner[at:to][runs[:-1]]
             rows.append((int(slot[at]), keys[own].tobytes(), sizes[own].tobytes(), np.diff(runs).astype("<i4").tobytes(), tokens[at:to].tobytes(), times[at:to].astype("<i4").tobytes()))
         names = ["slot", "keys", "sizes", "counts", "tokens", "times"]
+        release_memory()
         return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 6, [pa.int32(), *[pa.binary()] * 5], strict=True)], names=names)
 
     return run
@@ -234,6 +258,7 @@ def _arrange(percent: int):
                 least = np.array([[_mix(own ^ seed).min() for seed in band] for band in _BAND])
                 bands = _mix(least @ _PLACE[:ROWS] + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
             rows.append((key, n, to - at, min(prefix, to - at), own.tobytes(), bands))
+        release_memory()
         types = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64())]
         return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 6, types, strict=True)], names=["key", "n", "m", "prefix", "tokens", "bands"])
 
@@ -252,36 +277,61 @@ def _post(batches):
             yield _batch("token n place key comp", [pa.int64()] * 5, [np.concatenate(lists), spread(n), np.concatenate(places), spread(key), spread(comp)])
 
 
-def _list_pairs(n, place, key, comp, percent: int, picks: int | None):
-    """Pairs of one token's list, sorted by size, that can still reach the threshold and are not known to be connected.
+def _cell_pairs(cell: np.ndarray, percent: int, picks: int | None):
+    """Pairs of one cell (rows n, place, key, comp, role by column, sorted by n) that can reach the threshold unconnected.
 
-    Blocks of sizes out of range are skipped by binary search, the rest by position: behind their places neither set may
-    have fewer tokens than the overlap needs. The largest known component is not compared with itself. With ``picks``, each
-    set gets so many of its possible partners at most, chosen by hash.
+    Probes meet targets. Blocks of sizes out of range are skipped by binary search, the rest by position: behind their
+    places neither set may have fewer tokens than the overlap needs. With ``picks``, each probe gets so many of its possible
+    partners at most, chosen by hash.
     """
-    names, which = np.unique(comp, return_inverse=True)
-    if len(names) < 2:
-        return
-    largest = np.bincount(which).argmax()
-    upto = np.searchsorted(n, n * 100 // percent, side="right")
-    down = np.searchsorted(n, -(-n * percent // 100), side="left")
-    rows = np.flatnonzero(which != largest)
-    for at in range(0, len(rows), 256):
-        i = rows[at : at + 256]
-        lo, hi = int(down[i[0]]), int(upto[i[-1]])
-        j = np.arange(lo, hi)
-        need = -(-percent * (n[i][:, None] + n[j]) // (100 + percent))
-        ok = (np.minimum((n - place)[i][:, None], (n - place)[j]) >= need) & (which[i][:, None] != which[j])
-        ok &= (j > i[:, None]) | (which[j] == largest)
+    n, place, key, comp, role = cell
+    probe, target = np.flatnonzero(role & PROBE), np.flatnonzero(role & TARGET)
+    tn, tp, tk, tc, main = n[target], place[target], key[target], comp[target], (role[target] & MAIN) > 0
+    upto = np.searchsorted(tn, n[probe] * 100 // percent, side="right")
+    down = np.searchsorted(tn, -(-n[probe] * percent // 100), side="left")
+    for at in range(0, len(probe), 256):
+        i = probe[at : at + 256]
+        j = np.arange(int(down[at]), int(upto[at + len(i) - 1]))
+        need = -(-percent * (n[i][:, None] + tn[j]) // (100 + percent))
+        ok = (np.minimum((n - place)[i][:, None], (tn - tp)[j]) >= need) & (comp[i][:, None] != tc[j])
+        ok &= main[j] | (tk[j] > key[i][:, None])  # two probes meet twice
         a, b = np.nonzero(ok)
         if picks and len(a):
             with np.errstate(over="ignore"):
-                draw = _mix(key[i[a]].view(np.uint64) * _PLACE[0] + key[j[b]].view(np.uint64) * _PLACE[1] + np.uint64(picks))
+                draw = _mix(key[i[a]].view(np.uint64) * _PLACE[0] + tk[j[b]].view(np.uint64) * _PLACE[1] + np.uint64(picks))
             by = np.lexsort((draw, a))
             first = np.flatnonzero(np.r_[True, a[by][1:] != a[by][:-1]])
             turn = np.arange(len(by)) - np.repeat(first, np.diff(np.r_[first, len(by)]))
             a, b = a[by[turn < picks]], b[by[turn < picks]]
-        yield key[i[a]], key[j[b]]
+        yield key[i[a]], tk[j[b]]
+
+
+#: What a posted set is in a cell: compared with the targets, a target, and of its list's largest component.
+PROBE, TARGET, MAIN = 1, 2, 4
+
+
+def _cells(posted: DataFrame, picks: int | None) -> DataFrame:
+    """(token, i, j, n, place, key, comp, role): the lists that hold several components, cut into cells of bounded size.
+
+    In each list the sets of its largest component are targets only, all others are probes too. A list of more than
+    ``BLOCK`` sets is split: targets by hash into blocks i, probes into blocks j, and each pair of blocks is a cell. With
+    ``picks``, a probe goes to a few blocks only; without, to all.
+    """
+    shares = posted.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    lists = shares.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
+    lists = lists.where("all > top.c").select(
+        "token", F.col("top.comp").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ti"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("pj")
+    )
+    tried = F.least(F.col("ti"), F.lit(1 + picks // 64)) if picks else F.col("ti")
+    spot = lambda seed, many: F.pmod(F.xxhash64(F.lit(seed), "key"), many).cast("int")
+    own, probes = F.col("comp") == F.col("main"), F.col("comp") != F.col("main")
+    first = spot(picks or 0, F.col("ti"))
+    cell = lambda i, j, role: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), role.cast("int").alias("role"))
+    as_target = F.transform(F.sequence(F.lit(0), F.col("pj") - 1), lambda j: cell(spot(1, F.col("ti")), j, F.when(own, F.lit(TARGET | MAIN)).otherwise(F.lit(TARGET))))
+    as_probe = F.transform(F.sequence(F.lit(0), tried - 1), lambda k: cell(F.pmod(first + k, F.col("ti")), spot(2, F.col("pj")), F.lit(PROBE)))
+    one = F.array(cell(F.lit(0), F.lit(0), F.when(own, F.lit(TARGET | MAIN)).otherwise(F.lit(TARGET | PROBE))))
+    cells = F.when((F.col("ti") == 1) & (F.col("pj") == 1), one).when(probes, F.concat(as_target, as_probe)).otherwise(as_target)
+    return posted.join(lists, "token").select("token", F.explode(cells).alias("at"), "n", "place", "key", "comp").select("token", "at.i", "at.j", "n", "place", "key", "comp", F.col("at.role").cast("long").alias("role"))
 
 
 def _scan(percent: int, picks: int | None):
@@ -289,28 +339,30 @@ def _scan(percent: int, picks: int | None):
         held: list[np.ndarray] = []
         seen: set = set()
 
-        def emit(rows: np.ndarray):
-            for a, b in _list_pairs(rows[1], rows[2], rows[3], rows[4], percent, picks):
+        def emit(grid: np.ndarray):
+            for a, b in _cell_pairs(grid[3:], percent, picks):
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                 fresh = [p for p in zip(*pairs.tolist(), strict=True) if p not in seen]
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.update(fresh)
                 if fresh:
                     yield _batch("a b", [pa.int64()] * 2, zip(*fresh, strict=True))
 
         for batch in batches:
-            grid = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
+            grid = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(8)])
             if not grid.shape[1]:
                 continue
-            cuts = np.flatnonzero(np.r_[True, grid[0, 1:] != grid[0, :-1], True])
+            cuts = np.flatnonzero(np.r_[True, (grid[:3, 1:] != grid[:3, :-1]).any(axis=0), True])
             for at, to in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and held[0][0, 0] != grid[0, at]:
+                if held and (held[0][:3, 0] != grid[:3, at]).any():
                     yield from emit(np.concatenate(held, axis=1))
                     held = []
                 held.append(grid[:, at:to])
         if held:
             yield from emit(np.concatenate(held, axis=1))
+        held, seen = [], set()
+        release_memory()
 
     return run
 
@@ -331,33 +383,45 @@ def _verify(percent: int):
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
-    """(id, n_shingles, component_id) per row: size of its shingle set and the smallest id reachable by links.
+    """(id, text_hash, n_shingles, component_id, component_key) per row: size of its shingle set, the smallest id reachable
+    by links, and a number that names the component even where ids are null (null for empty sets).
 
-    Sets link when their Jaccard similarity is at least ``percent`` / 100; the join is exact up to 64-bit hashes.
+    Sets link when their Jaccard similarity is at least ``percent`` / 100. Classes of equal sets have 128-bit names; shingles
+    are 64-bit hashes, so a link is wrong only if two shingles of one pair of texts collide.
 
     1. Equal sets collapse to one class. 2. A distributed count finds for each class its shared tokens, those of at least
     two classes, and orders them rare first; classes that share too few tokens to link with anything are done. 3. Classes
     alike in a band of min-hashes are verified against the least of their groups, first one each, then those not yet
-    connected: a verified class takes its answers from that representative, so the two need no further comparison. 4. Each prefix token has a list of its classes by size; lists
-    skip by size and position and leave out pairs known to be connected. A few rounds try some partners of each class, so
-    that near copies without a common representative join; the last takes all pairs that remain. Every pair is verified. 5. Connected components run over the links.
+    connected: a verified class takes over its representative's component, so the two need no further comparison. 4. Each
+    prefix token has a list of its classes by size; lists skip by size and position and leave out pairs known to be
+    connected, and long lists are split into cells of bounded size. A few rounds try some partners of each class, so that
+    near copies without a common representative join; the last takes all pairs that remain. Every pair is verified.
+    5. Connected components run over the links.
 
-    A token in more than one in a hundred sets never meets the others of its value in one task for counting. Null or blank
+    A very frequent token never meets the others of its value in one task for counting (see ``COMMON_TIMES``). Null or blank
     texts have empty sets and are alone. Rows with null id belong to their class but name no component. Rows that repeat
     an id are rows of their own with the same class if their sets are equal. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     told = materialize(describe(docs, id_col, text_col, width), "sets")
-    sets = told.where("n >= 0").select("id", "n", "key")
-    classes = materialize(sets.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")
+    sets = told.where("n >= 0").select("id", "text_hash", "n", "key", "other")
+    classes = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.min("other").alias("lo"), F.max("other").alias("hi"))
+    classes = materialize(classes, "classes")
+    # different sets with one name: about one in 2^64 pairs, so a few at most; they take their other hash for a name
+    renamed = frozenset(r["key"] for r in classes.where("lo <> hi").select("key").collect())
+    if renamed:
+        sets = sets.withColumn("key", F.when(F.col("key").isin(*renamed), F.col("other")).otherwise(F.col("key")))
+        classes = materialize(sets.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")
+    classes = classes.select("key", "rep", "n")
     total, tokens = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    # at most (mean size / COMMON) tokens can be that common: a bounded broadcast
     pairs = told.where("often IS NOT NULL").select(F.explode(F.arrays_zip("often", "times")).alias("x"))
-    common = pairs.groupBy("x.often").agg(F.sum("x.times").alias("times")).where(F.col("times") >= max(64, int(COMMON * total))).select("often")
+    common = pairs.groupBy("x.often").agg(F.sum("x.times").alias("times")).where(F.col("times") >= max(64, min(COMMON_TIMES, int(COMMON * total))))
+    common = common.orderBy(F.desc("times"), "often").limit(COMMON_TOKENS).select("often")
     common = np.sort(np.array([r[0] for r in common.collect()], np.int64).view(np.uint64))
     shared = spark.sparkContext.broadcast(common)
     buckets = max(1, math.ceil(tokens / BUCKET_TOKENS))
-    dealt = docs.select(F.lit(None).cast("long").alias("id"), text_col).mapInArrow(_deal(shared, buckets, width), "bucket int, keys binary, sizes binary, counts binary, tokens binary")
+    dealt = docs.select(F.lit(None).cast("long").alias("id"), text_col).mapInArrow(_deal(shared, renamed, buckets, width), "bucket int, keys binary, sizes binary, counts binary, tokens binary")
     hits = dealt.groupBy("bucket").applyInArrow(_shared_tokens(buckets), "slot int, keys binary, sizes binary, counts binary, tokens binary, times binary")
     ready = materialize(hits.groupBy("slot").applyInArrow(_arrange(percent), "key long, n long, m long, prefix long, tokens binary, bands array<long>"), "ready")
 
@@ -386,16 +450,17 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # a list whose sets are all connected stays so
         mixed = posted.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
         lists = posted.join(mixed, "token", "left_semi").select("token", "n", "place", "key", "comp")
-        dealt = lists.repartition("token").sortWithinPartitions("token", "n", "key")
-        found = verified(dealt.mapInArrow(_scan(percent, picks), "a long, b long"))
+        cells = _cells(posted, picks).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "key")
+        found = verified(cells.mapInArrow(_scan(percent, picks), "a long, b long"))
         if not found.isEmpty():
             # the stars of the known components stand for all links so far
             known = materialize(components(found.unionByName(known.select(F.col("node").alias("u"), F.col("component").alias("v")))), "known")
     known = known.withColumnRenamed("node", "key")
     least = known.join(classes, "key").groupBy("component").agg(F.min("rep").alias("least"))
-    names = classes.join(known.join(least, "component").select("key", "least"), "key", "left").select("key", F.coalesce("least", "rep").alias("least"))
-    return sets.join(names, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    names = classes.join(known.join(least, "component").select("key", "component", "least"), "key", "left").select("key", F.coalesce("least", "rep").alias("least"), F.coalesce("component", "key").alias("component"))
+    out = sets.join(names, "key", "left")
+    return out.select(F.col("id").alias(id_col), "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"), F.col("component").alias("component_key"))
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    return link_components(docs)
+    return link_components(docs).drop("text_hash", "component_key")

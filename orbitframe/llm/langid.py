@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory, small_batches
+
 BITS = 16
 ORDERS = 3
 #: Characters scored at once.
@@ -129,6 +131,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
     The matrix has 2^16 rows and one column for each of at most a few hundred languages, so its broadcast is bounded.
     Null text and text without a letter: ``und`` with score 0; so is everything when the model knows no language.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
@@ -150,6 +153,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
                         preds.append(langs[best])
                         scores.append(float(min(1.0, 1 / np.exp(row - row[best]).sum())))
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.names.index(c)) for c in keep], pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+        release_memory()
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double"
     return docs.select(*keep).mapInArrow(run, schema)

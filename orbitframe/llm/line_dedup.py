@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialize
+from .common import BLANKS, materialize, release_memory, small_batches
 
 SEED = np.uint64(0x9E3779B97F4A7C15)
 SHARD_KEYS = 32_768
@@ -101,6 +101,7 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
                 n.append(len(found))
             pairs = np.frombuffer(b"".join(out), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["id", "a", "b"])
+        release_memory()
 
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, a long, b long")
 
@@ -155,6 +156,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Columns starting with ``__of_`` are reserved.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     lines = materialize(line_hashes(docs, id_col, text_col, min_chars), "lines")
     counts = lines.groupBy("a", "b").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
     counts = materialize(counts, "line-counts")
@@ -190,6 +192,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 n_dropped.append(len(own) - len(kept))
             arrays = [pa.array(texts, pa.string()) if c == text_col else batch.column(names.index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*keep, "n_lines", "n_dropped"])
+            release_memory()
 
     return joined.select(*keep, "__of_drop").mapInArrow(rebuild, schema)
 

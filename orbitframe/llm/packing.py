@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, release_memory
+from .common import materialize, release_memory, small_batches
 
 END = 2
 #: Bytes of text looked at together, and bytes that a worker's memory of words may take in each of its two halves.
@@ -259,6 +259,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         yield rows()
         release_memory()
 
+    small_batches(docs.sparkSession)
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context int, part long, nth long"
     pieces = materialize(docs.select(id_col, text_col).mapInArrow(run, schema), "pieces")
     return balance_steps(pieces, tiers, step_tokens).select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "context", "step_id")

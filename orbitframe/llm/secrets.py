@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release_memory, small_batches
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 HINTS = ("password", "passwd", "secret", "token", "api")
@@ -273,6 +273,7 @@ def scan(docs: DataFrame, automata: dict[str, Automaton], text_col: str = "text"
 
     Null text has no spans; rows are judged one by one, so repeated rows agree and an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast({k: (a.counts, a.moves, a.floor) for k, a in automata.items()})
     keep = [c for c in docs.columns if c != "spans"]
 
@@ -302,6 +303,7 @@ def scan(docs: DataFrame, automata: dict[str, Automaton], text_col: str = "text"
                 out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(spans)])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.names.index(c)) for c in keep], pa.array(out, kind)], names=[*keep, "spans"])
+        release_memory()
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", spans array<struct<kind:string,start:bigint,end:bigint>>"
     return docs.select(*keep).mapInArrow(run, schema)

@@ -111,6 +111,19 @@ def test_components_of_a_long_path(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+def test_url_classes_of_any_shape(spark):
+    """A chain of 300 redirects, a class of 3000 aliases of one address, an explicit allow in a blocked class, clashing columns."""
+    chain = [(i, f"http://c{i}.com/x", f'<meta http-equiv=refresh content="0;url=http://c{i + 1}.com/x">' if i < 300 else '<link rel=canonical href="http://a.net/">') for i in range(301)]
+    star = [(1000 + i, f"http://s{i}.com/p", '<link rel="canonical" href="https://example.com/de/hub">' + "x" * (200_000 if i == 7 else 0)) for i in range(3000)]
+    mixed = [(5000, "http://m.com/", '<link rel=canonical href="http://n.net/1"><link rel=canonical href="http://o.org/fr/">'), (5001, "http://n.net/1", None)]
+    same = [(6000 + i, "http://c0.com/x", None) for i in range(500)]
+    pages = spark.createDataFrame([(*r, "caller", None) for r in chain + star + mixed + same], "page_id long, url string, html string, verdict string, host string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages).collect()}
+    assert {got[i] for i in range(301)} == {got[1000 + i] for i in range(3000)} == {got[6000 + i] for i in range(500)} == {"block"}
+    assert got[5000] == "allow" and got[5001] == "block"
+    assert url_filter.judge(pages).columns == ["page_id", "url", "html", "host", "path", "rule", "verdict"]
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 def test_quality_edges(spark, odd, none):
     out = {r.doc_id: r for r in quality.cascade(odd).collect()}
@@ -137,6 +150,12 @@ def test_clean_documents_stay(spark, sf):
     assert share[1] > 0.97 and share[0] < 0.6, share
 
 
+def test_quality_of_another_column(spark):
+    docs = spark.createDataFrame([(i, "a title", " ".join(f"word{k}" for k in range(40)), 5) for i in range(3)] + [(3, None, None, None)], "doc_id long, text string, body string, n_words int")
+    out = quality.cascade(docs, text_col="body")
+    assert out.columns[:3] == ["doc_id", "text", "body"] and {(r.text, r.n_words, r.kept) for r in out.collect()} == {("a title", 40, True), (None, 0, False)}
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 def brute_components(docs):
     sets = {}
@@ -184,6 +203,8 @@ def test_jaccard_join_on_hot_groups(spark, monkeypatch):
         docs.append((i, " ".join([*common, *rng.choice(vocab, int(rng.integers(1, 30)))])))
     docs += [(400, "a b"), (401, "A B"), (402, None), (403, " "), (404, "a b c d e"), (405, "A b c d E")]
     monkeypatch.setattr(jaccard_join, "COMMON", 0.3)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "COMMON_TOKENS", 20)
     monkeypatch.setattr(jaccard_join, "BUCKET_TOKENS", 2000)
     monkeypatch.setattr(jaccard_join, "TOKENS", 500)
     monkeypatch.setattr(jaccard_join, "BYTES", 700)
@@ -211,6 +232,26 @@ def test_jaccard_join_copies_with_a_common_passage(spark, monkeypatch):
     assert len({c for _, c in want.values()}) > 60 and got == want
 
 
+def test_jaccard_join_tells_sets_of_one_name_apart(spark, monkeypatch):
+    """As if the first hash of all sets took a few values only."""
+    names = jaccard_join._names
+    text = lambda i: " ".join(f"w{i // 3}x{k}" for k in range(40)) + f" end{i}"
+    docs = [(i, text(i)) for i in range(30)]
+    found = {names(s)[0] for s in jaccard_join.shingle_sets([t for _, t in docs])}
+    assert len(found) == 30
+    # a local function reaches the workers with the closure
+    monkeypatch.setattr(jaccard_join, "_names", lambda tokens: (names(tokens)[0] % 7, names(tokens)[1]))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(jaccard_join)
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_components(df).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(jaccard_join)
+    assert got == brute_components(docs)
+
+
 def test_jaccard_join_edges(odd, none):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_components(odd).collect()}
     assert got[1] == (0, 1) and got[3] == (0, 3) and got[4] == (29_996, 4) and got[6] == (2, 6) and got[None] == (2, 6)
@@ -245,6 +286,31 @@ def test_language_chunks_agree(monkeypatch):
     assert np.allclose(whole, langid._score(texts, logp), atol=1e-3)
 
 
+def test_language_id_is_naive_bayes(spark, sf):
+    """Labels and scores equal those of a plain multinomial Bayes over the same hashed n-grams, one document at a time."""
+    docs = rows(spark, sf, "documents")
+    langs, prior, logp = langid.train(docs.where(~langid.in_fold(F.col("doc_id"))))
+    taught = [r for r in docs.where(~langid.in_fold(F.col("doc_id"))).where("lang IS NOT NULL AND text IS NOT NULL").collect()]
+
+    def grams(text):
+        low = [(c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text]
+        codes = np.array([ord(c) for c in low] + [32, 32], np.uint32)
+        return np.concatenate(langid._features(codes)) if text else np.zeros(0, int)
+
+    counts = {x: np.zeros(1 << langid.BITS) for x in langs}
+    for r in taught:  # fewer than the bound of each language, so all of them teach
+        np.add.at(counts[r.lang], grams(r.text), 1)
+    log = {x: np.log((c + 0.5) / (c.sum() + 0.5 * len(c))) for x, c in counts.items()}
+    share = Counter(r.lang for r in taught)
+    for r in langid.predict(docs, (langs, prior, logp)).collect():
+        if not r.text or not any(map(str.isalpha, r.text)):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        total = np.array([np.log(share[x] / len(taught)) + log[x][grams(r.text)].sum() for x in langs])
+        best = int(total.argmax())
+        assert r.lang_pred == langs[best] and abs(r.score - 1 / np.exp(total - total[best]).sum()) < 1e-3
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 def check_packing(docs, pieces, path):
     from tokenizers import Tokenizer
@@ -359,6 +425,50 @@ def test_permutation_index_edges(spark):
     assert {r.query_id: r.n for r in permutation_index.nearest(df.where("vec_id IN (0, 1, 2)")).groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {0: 2}
 
 
+def recall(spark, vectors, **options):
+    """Share of the true 20 nearest of each query that are found; answers must have exact scores, ranks and order."""
+    ids = np.arange(len(vectors))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in permutation_index.nearest(df, **options).orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r)
+    hits = 0
+    for q in ids[::20]:
+        score = vectors @ vectors[q]
+        score[q] = -np.inf
+        want = set(np.lexsort((ids, -score))[:20].tolist())
+        hits += len(want & {r.vec_id for r in found[q]})
+        assert [r.rank for r in found[q]] == list(range(1, 21)) and all(abs(r.score - score[r.vec_id]) < 1e-9 for r in found[q])
+    return hits / (20 * len(ids[::20]))
+
+
+@pytest.mark.parametrize("kind", ["even", "lengths", "clusters", "shards"])
+def test_recall_on_vectors_of_any_shape(spark, kind):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(4000, 64))
+    if kind == "clusters":
+        v = rng.normal(size=(40, 64))[rng.integers(0, 40, 4000)] + 0.5 * v
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if kind in ("lengths", "clusters"):
+        v *= rng.lognormal(sigma=0.8, size=(4000, 1))
+    assert recall(spark, v, **({"shard_rows": 512} if kind == "shards" else {})) >= 0.9
+
+
+def test_vectors_of_odd_lengths_take_no_part(spark):
+    rng = np.random.default_rng(5)
+    data = [(i, rng.normal(size=8).tolist()) for i in range(60)]
+    odd = data + [(100, [1.0] * 7), (120, [1.0] * 9), (140, []), (20, [9.0] * 8)]
+    df = spark.createDataFrame(odd, "vec_id long, embedding array<double>")
+    got = permutation_index.nearest(df, share=1.0, k=5).collect()
+    v20 = min((r for r in permutation_index.usable(df, "vec_id", "embedding").collect() if r.id == 20), key=lambda r: r.id).v
+    table = {i: np.array(v if i != 20 else v20) for i, v in data}
+    want = {q: sorted(table.keys() - {q}, key=lambda i: (-float((table[i] * table[q]).sum()), i))[:5] for q in table if q % 20 == 0}
+    by = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        by[r.query_id].append(r.vec_id)
+    assert by == want
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------
 def naive_spans(text):
     out = []
@@ -532,3 +642,45 @@ def test_certain_copies_come_first(spark):
     docs = spark.createDataFrame([(i, "a", 1) for i in range(1000)] + [(2000 + i, "b", 1) for i in range(1000)], "doc_id long, source string, n long")
     got = {(r.source, r.copies): r.n_ for r in mixing.mix(docs, size=F.col("n"), weights=(2, 1)).groupBy("source", "copies").agg(F.count("*").alias("n_")).collect()}
     assert got == {("a", 2): 1000, ("b", 1): 1000}
+
+
+def test_mixing_keeps_the_callers_columns(spark):
+    docs = spark.createDataFrame([(i, "a b c " * (i + 1), "s", "mine", 7, 8, 9) for i in range(9)], "doc_id long, text string, source string, target string, source_size int, size int, copies int")
+    out = mixing.mix(docs)
+    assert out.columns == ["doc_id", "text", "source", "size", "source_size", "target", "copies"]
+    assert {r.source_size for r in out.collect()} == {135} and {r.target for r in out.collect()} == {202.5}
+    back = mixing.mixed(docs)
+    assert back.columns == docs.columns and {(r.target, r.source_size, r.size, r.copies) for r in back.collect()} == {("mine", 7, 8, 9)}
+
+
+def test_mixing_is_a_pareto_draw(spark):
+    """The documents drawn are those of a plain Pareto sample: sorted by odds ratio, taken to the target."""
+    docs = rows(spark, "/root/testdata/sf0.01", "documents")
+    out = mixing.mix(docs).collect()
+    keyed = {r.doc_id: r for r in mixing._keyed(docs, "doc_id", "source", mixing.word_count(F.col("text")), 10).collect()}
+    for source in {r.source for r in out}:
+        own = [r for r in out if r.source == source]
+        target, words = own[0].target, defaultdict(float)
+        for r in own:
+            words[keyed[r.doc_id]["__of_class"]] += r.size
+        lo, hi = 0.0, 10.0
+        for _ in range(200):  # the level at which the classes' shares sum to the target
+            level = (lo + hi) / 2
+            shares = {c: min(2 * n, level * n * (1 + 0.1 * c)) for c, n in words.items()}
+            lo, hi = (level, hi) if sum(shares.values()) < target else (lo, level)
+        e = {c: shares[c] / n if n else 0.0 for c, n in words.items()}
+        whole = {c: int(np.floor(x + 1e-9)) for c, x in e.items()}
+        need = target - sum(whole[c] * n for c, n in words.items())
+        ranked = []
+        for r in own:
+            c, u = keyed[r.doc_id]["__of_class"], keyed[r.doc_id]["__of_u"]
+            p = max(0.0, e[c] - whole[c])
+            if p > 1e-9:
+                ranked.append((u / (1 - u) / (p / (1 - p)), r.doc_id, r.size))
+        drawn, taken = set(), 0
+        for _, i, n in sorted(ranked):
+            if abs(taken + n - need) >= abs(taken - need):
+                break
+            drawn.add(i)
+            taken += n
+        assert {r.doc_id: r.copies for r in own} == {r.doc_id: whole[keyed[r.doc_id]["__of_class"]] + (r.doc_id in drawn) for r in own}

@@ -38,3 +38,24 @@ def test_stages(spark, sf):
             check_packing([r[:2] for r in before], out.collect(), str(public_tokenizers.path("word_bpe_49k.json")))
         docs = out
     assert zlib.crc32(b"") == 0 and k == 4
+
+
+def test_stages_on_odd_tables(spark, sf):
+    """Empty and all-null documents, rows without an id, rows that share one, rows repeated whole."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    text = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    tables = {
+        "empty": [],
+        "nulls": [(None,) * 5] * 3 + [(1, None, None, None, None)],
+        "odd": [(1, text(1), "en", "a", 1), (1, text(1), "en", "a", 1), (1, text(2), "en", "a", 1), (None, text(1), None, None, None), (None, text(3), "en", "b", 1), (None, text(3), "en", "b", 1), (5, text(2) + " more", "de", "b", 2), (6, "", "de", "b", 0), (7, text(4), "de", None, 9)],
+    }
+    for name, rows in tables.items():
+        docs = spark.createDataFrame(rows, columns)
+        for stage, run in corpus_pipeline.STAGES:
+            out = run(spark, docs, sf)
+            if stage == "near_copies" and name == "odd":
+                assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(1, text(1)), (1, text(2)), (0, text(3)), (6, ""), (7, text(4))])
+            if stage != "sequences":
+                assert out.columns == [c.split()[0] for c in columns.split(", ")]
+            out.count()
+    assert corpus_pipeline.near_copies(spark, spark.createDataFrame([], columns), sf).count() == 0
