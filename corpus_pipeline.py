@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitframe.llm import jaccard_join, langid, line_dedup, mixing, packing
-from orbitframe.llm.common import shared_dir
+from orbitframe.llm.common import materialize, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A prediction less sure than this rejects the document.
@@ -28,10 +28,23 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    found = jaccard_join.link_components(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near copies: the one with the smallest id; null ids come last.
+
+    Rows are told apart by id and text, so rows that share an id or have none are judged each by its own text. Of rows equal
+    in both, one stays. Documents without words have no near copies and stay, but for such repeats.
+    """
+    found = materialize(jaccard_join.link_components(docs).select("doc_id", "text_hash", "component_key"), "near-copies")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = found.where("component_key IS NOT NULL").groupBy("component_key").agg(F.min(rank).alias("first"))
+    gone = found.join(first, "component_key").where(rank != F.col("first")).select("doc_id", "text_hash").distinct()
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
+    same = lambda other: rows["doc_id"].eqNullSafe(other["doc_id"]) & (rows["text_hash"] == other["text_hash"])
+    kept = rows.join(gone, same(gone), "left_anti")
+    twice = found.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
+    if not twice.isEmpty():
+        once = kept.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+        kept = kept.join(twice, same(twice), "left_anti").unionByName(once)
+    return kept.select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
