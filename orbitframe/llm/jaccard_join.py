@@ -22,6 +22,8 @@ BUCKET_TOKENS = 1_000_000
 COMMON, COMMON_TIMES, COMMON_TOKENS = 0.01, 500_000, 2_000_000
 #: Sets of one token's list that meet in one task, from each side.
 BLOCK = 1024
+#: Parts of a token's list in the join with what is known about the list.
+SALTS = 8
 BANDS, ROWS = 10, 3
 #: Partners that a set tries in each of its lists, round by round, before the last round takes all that remain.
 PICKS = (8, 64, 512)
@@ -331,7 +333,9 @@ def _cells(posted: DataFrame, picks: int | None) -> DataFrame:
     as_probe = F.transform(F.sequence(F.lit(0), tried - 1), lambda k: cell(F.pmod(first + k, F.col("ti")), spot(2, F.col("pj")), F.lit(PROBE)))
     one = F.array(cell(F.lit(0), F.lit(0), F.when(own, F.lit(TARGET | MAIN)).otherwise(F.lit(TARGET | PROBE))))
     cells = F.when((F.col("ti") == 1) & (F.col("pj") == 1), one).when(probes, F.concat(as_target, as_probe)).otherwise(as_target)
-    return posted.join(lists, "token").select("token", F.explode(cells).alias("at"), "n", "place", "key", "comp").select("token", "at.i", "at.j", "n", "place", "key", "comp", F.col("at.role").cast("long").alias("role"))
+    # a frequent token's rows spread over several tasks of the join as well
+    salted = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return posted.withColumn("salt", spot(3, F.lit(SALTS))).join(salted, ["token", "salt"]).select("token", F.explode(cells).alias("at"), "n", "place", "key", "comp").select("token", "at.i", "at.j", "n", "place", "key", "comp", F.col("at.role").cast("long").alias("role"))
 
 
 def _scan(percent: int, picks: int | None):

@@ -1,6 +1,6 @@
 """Every query with its SQL twin; importing the package registers them all."""
 
 from . import registry
-from . import analysis  # noqa: I001  registers on top of it
+from . import analysis, decisions  # noqa: I001  register on top of it
 
-__all__ = ["analysis", "registry"]
+__all__ = ["analysis", "decisions", "registry"]
