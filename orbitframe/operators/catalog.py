@@ -132,3 +132,52 @@ def out_of_range(df: DataFrame, key: str, rules: dict[str, tuple[float, float]])
 
 def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def flood_summary(df: DataFrame, by: list[str], label: str) -> DataFrame:
+    """(by, dry, flood, cloud, flood_share, dominant) of classes 0 dry, 1 flood, other: not observed."""
+    kind = F.col(label)
+    out = df.groupBy(*by).agg(F.count_if(kind == 0).alias("dry"), F.count_if(kind == 1).alias("flood"), F.count_if(~kind.isin(0, 1)).alias("cloud"))
+    share = F.col("flood") / F.greatest(F.col("flood") + F.col("dry"), F.lit(1))
+    hidden = F.col("cloud") / (F.col("dry") + F.col("flood") + F.col("cloud"))
+    return out.withColumn("flood_share", F.round(share, 6)).withColumn("dominant", F.when(share >= 0.10, "flood").when(hidden >= 0.50, "cloud_nodata").otherwise("no_flood"))
+
+
+def choose_variable(variables: DataFrame, by: list[str], name: str, width: str, height: str, bands: str, wanted: str | None = None) -> DataFrame:
+    """(by, name, score): the variable of the wanted name, case aside, else the largest; lines of one pixel are no images."""
+    score = (F.col(width) * F.col(height) * F.greatest(F.lit(1), F.least(F.col(bands), F.lit(16)))).cast("long")
+    df = variables.where((F.col(width) > 1) & (F.col(height) > 1)).select(*by, F.col(name).alias("name"), score.alias("score"))
+    if wanted is not None:
+        df = df.where(F.lower("name") == wanted.lower())
+    best = df.groupBy(*by).agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("x"))
+    return best.select(*by, "x.name", (-F.col("x.s")).alias("score"))
+
+
+def append_messages(chats: DataFrame, messages: DataFrame, new: DataFrame, key: str, at: str, updated: str) -> tuple[DataFrame, DataFrame]:
+    """(messages, chats): the new ones are added, and their chats' time of change follows the latest of them."""
+    last = new.groupBy(key).agg(F.max(at).alias("__at"))
+    touched = chats.join(last, key, "left").withColumn(updated, F.coalesce("__at", updated)).drop("__at")
+    return messages.unionByName(new), touched
+
+
+def scene_report(df: DataFrame, by: list[str], metrics: dict[str, Column]) -> DataFrame:
+    """(part, scene, metrics): JSON of the global metrics and of each scene's, one row each so that no row grows with them."""
+    packed = F.to_json(F.struct(*metrics)).alias("metrics")
+    named = [m.alias(n) for n, m in metrics.items()]
+    whole = df.agg(*named).select(F.lit("global").alias("part"), F.lit(None).cast("string").alias("scene"), packed)
+    each = df.groupBy(*by).agg(*named).select(F.lit("by_scene").alias("part"), F.to_json(F.struct(*by)).alias("scene"), packed)
+    return whole.unionByName(each)
+
+
+def in_order(df: DataFrame, by: list[str], keys: list) -> DataFrame:
+    """df with ``place``, from 1 in each group; groups are a chat's or a run's own rows."""
+    return df.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*keys)).cast("long"))
+
+
+def union_records(parts: list[DataFrame], key: list[str]) -> DataFrame:
+    """One row per key, from the first part that has it."""
+    ranked = None
+    for i, part in enumerate(parts):
+        one = part.select(*key, F.struct(F.lit(i).alias("__i"), *[c for c in part.columns if c not in key]).alias("__x"))
+        ranked = one if ranked is None else ranked.unionByName(one)
+    return ranked.groupBy(*key).agg(F.min("__x").alias("__x")).select(*key, "__x.*").drop("__i")

@@ -156,3 +156,8 @@ def representative_point(labels: DataFrame) -> DataFrame:
     centre = labels.groupBy("label").agg(F.avg("r").alias("__y"), F.avg("c").alias("__x"))
     d = (F.col("r") - F.col("__y")) ** 2 + (F.col("c") - F.col("__x")) ** 2
     return labels.join(centre, "label").groupBy("label").agg(F.min(F.struct(F.round(d, 9), "r", "c")).alias("p")).select("label", F.col("p.r").alias("r"), F.col("p.c").alias("c"))
+
+
+def multi_part_union(parts: DataFrame, key: str, part: str, area: str) -> DataFrame:
+    """(key, parts, area): one feature per id even where its parts are disjoint; an id's parts are few."""
+    return parts.groupBy(key).agg(F.sort_array(F.collect_list(part)).alias("parts"), F.sum(area).alias(area))

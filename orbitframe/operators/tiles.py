@@ -97,3 +97,8 @@ def merge_adjacent(boxes: DataFrame, cell: int, gap: int = 48) -> DataFrame:
 
 def rank_tiles(df: DataFrame, kept: Column, score: str, key: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.orderBy(kept.desc(), F.desc(score), key)))
+
+
+def blend_tiles(cells: DataFrame, by: list[str], p: str, weight: str) -> DataFrame:
+    """Overlapping tiles' predictions as one value a cell: their mean by weight."""
+    return cells.groupBy(*by).agg((F.sum(F.col(p) * F.col(weight)) / F.sum(weight)).alias(p))
