@@ -19,8 +19,42 @@ def coverage(df: DataFrame, by: list[str], mask: Column, valid: Column) -> DataF
     return out.withColumn("of_valid", F.try_divide(100.0 * F.col("pixels"), F.col("valid"))).withColumn("of_all", 100.0 * F.col("pixels") / F.col("all"))
 
 
+def exact_percentiles(df: DataFrame, by: list[str], x: Column, shares: dict[str, float], cells: int = 4096, levels: int = 2) -> DataFrame:
+    """(by, one column per share): exact percentiles, linear between neighbours, of groups of any size.
+
+    Histograms narrow each wanted rank down to a cell, ``levels`` times; only the distinct values of the last cells are
+    ranked, about one in ``cells`` ** ``levels``. No task holds a group's values. Nulls and NaN count for nothing.
+    """
+    src = df.select(*by, x.cast("double").alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    ends = src.groupBy(*by).agg(F.count("*").alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    spot = lambda q: F.lit(float(q)) * (F.col("__n") - 1)
+    ranks = [F.struct(F.lit(name).alias("name"), F.lit(i).alias("side"), (F.floor if i == 0 else F.ceil)(spot(q)).cast("long").alias("rank"), (spot(q) - F.floor(spot(q))).alias("part")) for name, q in shares.items() for i in (0, 1)]
+    keys = [*by, "name", "side", "rank", "part"]
+    state = ends.select(*by, "__lo", "__hi", F.explode(F.array(*ranks)).alias("__k")).select(*by, "__k.*", "__lo", "__hi", F.lit(0).cast("long").alias("__before"))
+    met = lambda now: (src.join(now, by) if by else src.crossJoin(now)).where(F.col("__x").between(F.col("__lo"), F.col("__hi")))
+
+    def narrow(groups: DataFrame, order: str) -> DataFrame:
+        """Of counted groups in order, the one that holds each rank."""
+        upto = F.col("__before") + F.sum("__m").over(W.partitionBy(*keys).orderBy(order))
+        return groups.withColumn("__upto", upto).where((F.col("rank") < F.col("__upto")) & (F.col("rank") >= F.col("__upto") - F.col("__m")))
+
+    for _ in range(levels):
+        cell = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("__x") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * cells)).otherwise(0)
+        counted = met(state).withColumn("__cell", cell).groupBy(*keys, "__before", "__cell").agg(F.count("*").alias("__m"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+        state = narrow(counted, "__cell").select(*keys, "__lo", "__hi", (F.col("__upto") - F.col("__m")).alias("__before"))
+    found = narrow(met(state).groupBy(*keys, "__before", "__x").agg(F.count("*").alias("__m")), "__x")
+    value = lambda name, side: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("__x")))
+    part = lambda name: F.max(F.when(F.col("name") == name, F.col("part")))
+    return found.groupBy(*by).agg(*[((1 - part(name)) * value(name, 0) + part(name) * value(name, 1)).alias(name) for name in shares])
+
+
+def with_group(df: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
+    """df with the columns of small, which has one row per group, or one in all."""
+    return df.join(small, by, "left") if by else df.crossJoin(small)
+
+
 def index_summary(df: DataFrame, by: list[str], x: Column) -> DataFrame:
-    return df.groupBy(*by).agg(F.avg(x).alias("mean"), F.percentile(x, F.lit(0.1)).alias("p10"), F.percentile(x, F.lit(0.9)).alias("p90"))
+    return with_group(df.groupBy(*by).agg(F.avg(x).alias("mean")), exact_percentiles(df, by, x, {"p10": 0.1, "p90": 0.9}), by)
 
 
 def band_moments(df: DataFrame, by: list[str], x: Column) -> DataFrame:
@@ -30,9 +64,9 @@ def band_moments(df: DataFrame, by: list[str], x: Column) -> DataFrame:
 def robust_threshold(df: DataFrame, by: list[str], x: Column, floor: float = 0.08, k: float = 3.0, spread: float = 0.01) -> DataFrame:
     """max(floor, median + k max(MAD, spread)) per group."""
     df = df.withColumn("__x", x)
-    mid = df.groupBy(*by).agg(F.median("__x").alias("median"))
-    off = (df.join(mid, by) if by else df.crossJoin(F.broadcast(mid))).groupBy(*by, "median").agg(F.median(F.abs(F.col("__x") - F.col("median"))).alias("mad"))
-    return off.withColumn("threshold", F.greatest(F.lit(floor), F.col("median") + k * F.greatest(F.col("mad"), F.lit(spread))))
+    mid = exact_percentiles(df, by, F.col("__x"), {"median": 0.5})
+    off = exact_percentiles(with_group(df, mid, by), by, F.abs(F.col("__x") - F.col("median")), {"mad": 0.5})
+    return with_group(mid, off, by).withColumn("threshold", F.greatest(F.lit(floor), F.col("median") + k * F.greatest(F.col("mad"), F.lit(spread))))
 
 
 def histogram(df: DataFrame, by: list[str], x: Column, bins: int, lo: float, hi: float) -> DataFrame:
@@ -82,10 +116,10 @@ def minmax_stretch(df: DataFrame, by: list[str], x: Column, out: str, least: flo
 def percentile_stretch(df: DataFrame, by: list[str], x: Column, out: str, lo: float = 2.0, hi: float = 98.0) -> DataFrame:
     """Linear-interpolated percentiles to 0..1 with clip; a flat group becomes 0.5 if its value is above 0, else 0."""
     df = df.withColumn("__x", x)
-    ends = df.groupBy(*by).agg(F.percentile("__x", F.array(F.lit(lo / 100), F.lit(hi / 100))).alias("__p"))
-    a, b = F.col("__p")[0], F.col("__p")[1]
+    ends = exact_percentiles(df, by, F.col("__x"), {"__plo": lo / 100, "__phi": hi / 100})
+    a, b = F.col("__plo"), F.col("__phi")
     scaled = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("__x") - a) / (b - a)))
-    return df.join(ends, by).withColumn(out, F.when(F.col("__x").isNull(), None).when(b > a, scaled).otherwise(F.when(b > 0, 0.5).otherwise(0.0))).drop("__x", "__p")
+    return with_group(df, ends, by).withColumn(out, F.when(F.col("__x").isNull(), None).when(b > a, scaled).otherwise(F.when(b > 0, 0.5).otherwise(0.0))).drop("__x", "__plo", "__phi")
 
 
 def to_byte(df: DataFrame, by: list[str], x: Column, out: str) -> DataFrame:
@@ -161,11 +195,15 @@ def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, ran
 
 
 def share_of_total(df: DataFrame, by: list[str], x: str, out: str) -> DataFrame:
-    return df.withColumn(out, F.try_divide(F.col(x).cast("double"), F.sum(x).over(W.partitionBy(*by))))
+    """Sums meet the rows in a join: a group may hold most of the table."""
+    total = with_group(df, df.groupBy(*by).agg(F.sum(x).alias("__total")), by)
+    return total.withColumn(out, F.try_divide(F.col(x).cast("double"), F.col("__total"))).drop("__total")
 
 
 def relative_to_first(df: DataFrame, by: list[str], order: list[Column], x: str, out: str) -> DataFrame:
-    return df.withColumn(out, F.try_divide(F.col(x).cast("double"), F.first(x).over(W.partitionBy(*by).orderBy(*order))))
+    """``order`` are columns, ascending; the first row is the least of them, found by partial aggregation."""
+    first = df.groupBy(*by).agg(F.min(F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)], F.col(x).alias("v")))["v"].alias("__first"))
+    return with_group(df, first, by).withColumn(out, F.try_divide(F.col(x).cast("double"), F.col("__first"))).drop("__first")
 
 
 def cumulative(df: DataFrame, by: list[str], order: list[Column], x: str, out: str) -> DataFrame:
@@ -209,3 +247,12 @@ def land_bounds(df: DataFrame, by: list[str], land: Column, unknown: Column) ->
     seen = df.where(land.isNotNull() & unknown.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.count_if(land).alias("a"), F.count_if(unknown & ~land).alias("u"))
     share = lambda x: 100.0 * x / F.col("n")
     return seen.select(*by, share(F.col("a")).alias("land"), share(F.col("u")).alias("unknown"), share(F.col("a") + F.col("u")).alias("possible"))
+
+
+def percent_metrics(cells: DataFrame, weights: dict[int, float]) -> DataFrame:
+    """Per class IoU, precision, recall and F1 in percent, and the overall accuracy; classes of weight 0 are left out of all."""
+    kept = [k for k, w in weights.items() if w]
+    inside = cells.where(F.col("truth").isin(kept) & F.col("pred").isin(kept))
+    total = inside.agg((100.0 * F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
+    own = class_metrics(inside).select("class", *[(100 * F.col(c)).alias(c) for c in ("iou", "precision", "recall", "f1")])
+    return own.crossJoin(F.broadcast(total))  # one row

@@ -6,16 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .aggregates import exact_percentiles, with_group
+
 
 def image_quality(df: DataFrame, by: list[str], bands: list[str]) -> DataFrame:
     """Light, range, shares of cloud, shadow and saturated pixels in percent, and a score of 0.1 to 1, per group."""
     light = sum((F.col(b) for b in bands[1:]), F.col(bands[0])) / len(bands)
     most = F.greatest(*bands) if len(bands) > 1 else F.col(bands[0])
     s = df.groupBy(*by).agg(
-        F.avg(light).alias("brightness"), (F.percentile(light, F.lit(0.98)) - F.percentile(light, F.lit(0.02))).alias("dynamic_range"),
+        F.avg(light).alias("brightness"),
         (100 * F.avg((light > 0.90).cast("double"))).alias("cloud"), (100 * F.avg((light < 0.05).cast("double"))).alias("shadow"),
         (100 * F.avg((most > 0.99).cast("double"))).alias("saturated"),
     )
+    ends = exact_percentiles(df, by, light, {"__lo": 0.02, "__hi": 0.98})
+    s = with_group(s, ends, by).withColumn("dynamic_range", F.col("__hi") - F.col("__lo")).drop("__lo", "__hi")
     loss = F.least(F.lit(0.3), F.col("cloud") / 200) + F.least(F.lit(0.2), F.col("shadow") / 250) + F.greatest(F.lit(0.0), 0.3 - F.col("dynamic_range")) * 0.5 + F.least(F.lit(0.1), F.col("saturated") / 500)
     return s.withColumn("score", F.round(F.greatest(F.lit(0.1), F.least(F.lit(1.0), 1 - loss)), 3))
 
@@ -40,7 +44,8 @@ def distinct_sorted(df: DataFrame, by: list[str], x: str, out: str) -> DataFrame
 
 
 def run_timing(df: DataFrame, component: str, seconds: Column) -> DataFrame:
-    return df.groupBy(component).agg(F.count("*").alias("runs"), F.avg(seconds).alias("mean"), F.percentile(seconds, F.lit(0.95)).alias("p95"), F.max(seconds).alias("most"))
+    told = df.groupBy(component).agg(F.count("*").alias("runs"), F.avg(seconds).alias("mean"), F.max(seconds).alias("most"))
+    return told.join(exact_percentiles(df, [component], seconds, {"p95": 0.95}), component, "left")
 
 
 def top_class(p: Column, names: list[str]) -> tuple[Column, Column, Column]:
@@ -125,7 +130,7 @@ def reported_counts(reported: DataFrame, recomputed: DataFrame, key: list[str],
 
 def input_range(df: DataFrame, by: list[str], x: Column, lo: float, hi: float) -> DataFrame:
     """The outer thousandths of a group's values and whether they lie in the accepted range."""
-    s = df.groupBy(*by).agg(F.percentile(x, F.lit(0.001)).alias("least"), F.percentile(x, F.lit(0.999)).alias("most"))
+    s = exact_percentiles(df, by, x, {"least": 0.001, "most": 0.999})
     return s.withColumn("accepted", (F.col("least") >= lo) & (F.col("most") <= hi))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .aggregates import exact_percentiles
 from .regions import label_components
 
 #: Names of bands by role, first role first, and the wavelengths of a role in nanometres: fixed values.
@@ -280,7 +281,7 @@ def sar_water_score(df: DataFrame, by: list[str], db: Column, gradient: Column,
     Steep gradients (radar shadow) and bright returns get 0.08 at most, cells without a value 0.
     """
     df = df.withColumn("__db", db)
-    mid = df.groupBy(*by).agg(F.count("__db").alias("n"), F.percentile("__db", F.lit(0.1)).alias("p10"), F.percentile("__db", F.lit(0.5)).alias("p50"))
+    mid = exact_percentiles(df, by, F.col("__db"), {"p10": 0.1, "p50": 0.5}).join(df.groupBy(*by).agg(F.count("__db").alias("n")), by)
     centre = F.when(F.col("n") > 100, F.greatest(F.lit(-20.0), F.least(F.lit(-8.0), (F.col("p10") + F.col("p50")) / 2))).otherwise(-14.0)
     unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     df = df.join(mid.select(*by, centre.alias("__centre")), by)
@@ -307,3 +308,11 @@ def similarity(df: DataFrame, by: list[str], a: str, b: str, least: int = 64) ->
     out = both.agg(F.count("*").alias("n"), F.stddev_pop(a).alias("sa"), F.stddev_pop(b).alias("sb"), F.corr(a, b).alias("p"))
     poor = (F.col("n") < least) | (F.least("sa", "sb") < 1e-6)
     return out.select(*by, F.when(poor, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p")))).alias("similarity"))
+
+
+def sensor_masks(df: DataFrame, by: list[str], ndwi: Column, ndbi: Column, db: Column) -> DataFrame:
+    """df with is_water and is_built by the optical image, is_dark and is_bright by the radar's; built-up is a scene's top quarter."""
+    cut = exact_percentiles(df, by, ndbi, {"__cut": 0.75})
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    out = df.join(cut, by, "left").withColumn("is_water", yes(ndwi >= 0.12)).withColumn("is_dark", yes(db <= -20.0))
+    return out.withColumn("is_built", yes(ndbi >= F.col("__cut"))).withColumn("is_bright", yes(db >= -10.0)).drop("__cut")

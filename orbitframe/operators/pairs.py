@@ -47,20 +47,45 @@ def alignment_score(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return s.select(*by, F.round(score, 4).alias("alignment")).withColumn("status", status)
 
 
-def best_shift(df: DataFrame, by: list[str], a: str, b: str, most: int = 2, share: float = 0.2) -> DataFrame:
+def _averaged(df: DataFrame, by: list[str], a: str, b: str, factor: int) -> DataFrame:
+    """(by, r, c, __a, __b): both dates averaged over squares of ``factor`` cells."""
+    if factor == 1:
+        return df.select(*by, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col(a).alias("__a"), F.col(b).alias("__b"))
+    square = lambda x: F.floor(F.col(x) / factor).cast("long").alias(x)
+    return df.groupBy(*by, square("r"), square("c")).agg(F.avg(a).alias("__a"), F.avg(b).alias("__b"))
+
+
+def best_shift(df: DataFrame, by: list[str], a: str, b: str, share: float = 0.2, base: int = 64) -> DataFrame:
     """(by, dy, dx, peak): the displacement of b against a with the largest correlation, the shortest on ties; NULL if flat.
 
-    Each pixel of b goes to (2 most + 1)^2 candidates, a fixed number, and one equi-join meets them. Displacements of more
-    than ``share`` of either side of the scene are rejected.
+    All displacements of up to ``share`` of either side of a scene are searched, coarse to fine: on grids averaged to sides
+    of at most ``base`` cells every one, then, with cells half as large each time, those next to the best. Scenes of up to
+    ``base`` cells a side are searched in full. Each cell of b meets a fixed number of candidates in an equi-join.
     """
-    moves = F.explode(F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y in range(-most, most + 1) for x in range(-most, most + 1)]))
-    moved = df.where(F.col(b).isNotNull()).select(*by, "r", "c", F.col(b).alias("__b"), moves.alias("__m"))
-    moved = moved.select(*by, (F.col("r") - F.col("__m.dy")).alias("r"), (F.col("c") - F.col("__m.dx")).alias("c"), "__m.dy", "__m.dx", "__b")
-    score = moved.join(df.where(F.col(a).isNotNull()).select(*by, "r", "c", F.col(a).alias("__a")), [*by, "r", "c"]).groupBy(*by, "dy", "dx").agg(F.round(correlation("__a", "__b"), 9).alias("peak"))
+    if not by:
+        return best_shift(df.withColumn("__scene", F.lit(1)), ["__scene"], a, b, share, base).drop("__scene")
     size = df.groupBy(*by).agg((F.max("r") - F.min("r") + 1).alias("__h"), (F.max("c") - F.min("c") + 1).alias("__w"))
-    score = (score.join(size, by) if by else score.crossJoin(F.broadcast(size))).where((F.abs("dy") <= share * F.col("__h")) & (F.abs("dx") <= share * F.col("__w")))
-    order = F.struct(F.col("peak"), (-F.abs("dy") - F.abs("dx")).alias("near"), F.col("dy"), F.col("dx"))
-    return score.groupBy(*by).agg(F.max(order).alias("t")).select(*by, "t.dy", "t.dx", "t.peak")
+    longest = size.agg(F.max(F.greatest("__h", "__w"))).first()[0] or 1
+    factor, best = 1, None
+    while longest > base * factor:
+        factor *= 2
+    while True:
+        grid = _averaged(df, by, a, b, factor)
+        if best is None:
+            most = int(share * min(longest, base * factor) / factor)
+            moves = F.array(*[F.struct(F.lit(y).cast("long").alias("dy"), F.lit(x).cast("long").alias("dx")) for y in range(-most, most + 1) for x in range(-most, most + 1)])
+            moved = grid.where("__b IS NOT NULL").select(*by, "r", "c", "__b", F.explode(moves).alias("__m"))
+        else:
+            near = F.array(*[F.struct((2 * F.col("dy") + y).alias("dy"), (2 * F.col("dx") + x).alias("dx")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
+            moved = grid.where("__b IS NOT NULL").join(best, by).select(*by, "r", "c", "__b", F.explode(near).alias("__m"))
+        moved = moved.select(*by, (F.col("r") - F.col("__m.dy")).alias("r"), (F.col("c") - F.col("__m.dx")).alias("c"), "__m.dy", "__m.dx", "__b")
+        score = moved.join(grid.where("__a IS NOT NULL").select(*by, "r", "c", "__a"), [*by, "r", "c"]).groupBy(*by, "dy", "dx").agg(F.round(correlation("__a", "__b"), 9).alias("peak"))
+        fits = (F.abs("dy") * factor <= share * F.col("__h")) & (F.abs("dx") * factor <= share * F.col("__w"))
+        order = F.struct(F.col("peak"), (-F.abs("dy") - F.abs("dx")).alias("near"), F.col("dy"), F.col("dx"))
+        best = score.join(size, by).where(fits).groupBy(*by).agg(F.max(order).alias("t")).select(*by, "t.dy", "t.dx", "t.peak")
+        if factor == 1:
+            return best.select(*by, F.col("dy").cast("int").alias("dy"), F.col("dx").cast("int").alias("dx"), "peak")
+        factor //= 2
 
 
 def apply_shift(df: DataFrame, by: list[str], value: str, dy: int, dx: int, out: str) -> DataFrame:

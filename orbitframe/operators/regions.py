@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -16,6 +17,8 @@ def _written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="orbitframe-")
@@ -25,65 +28,100 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def min_label(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, label): the smallest node reachable, for the nodes of edges (u, v). Labels also jump to their label's label."""
-    both = _written(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
-    labels = _written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).withColumnRenamed("u", "node"))
+def min_label(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, label): the smallest node reachable, for the nodes of edges (u, v).
+
+    Large-star and small-star joins in turn (Kiveris et al., 2014) settle in O(log^2 n) rounds, however long the chains,
+    and never gather a node's neighbours in one row. Nodes may be numbers, strings or structs.
+    """
+    down = lambda df: df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    stars = _written(down(edges.where("u IS NOT NULL AND v IS NOT NULL").select("u", "v")))
+    was = mark(stars)
     for _ in range(rounds):
-        near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near")).withColumnRenamed("u", "node")
-        step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = _written(step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was"))
-        labels = new.select("node", "label")
-        if not new.where("label <> was").limit(1).count():
-            return labels
-    raise RuntimeError("labels did not settle")
-
-
-def _tile_labels(diagonal: bool):
-    def run(key, table):
-        """Labels inside one tile by union-find over its true cells; a tile has a bounded number of cells."""
-        ids, rows, cols = (table.column(c).to_numpy() for c in ("id", "r", "c"))
-        at = {(r, c): i for i, (r, c) in enumerate(zip(rows.tolist(), cols.tolist(), strict=True))}
-        up = list(range(len(ids)))
-
-        def root(i):
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
-        for (r, c), i in at.items():
-            for dr, dc in steps:
-                if (j := at.get((r + dr, c + dc))) is not None:
-                    a, b = root(i), root(j)
-                    if a != b:
-                        up[max(a, b)] = min(a, b)
-        roots = np.array([root(i) for i in range(len(ids))])
-        least = {}
-        for i, x in zip(ids.tolist(), roots.tolist(), strict=True):
-            least[x] = min(i, least.get(x, i))
-        return pa.table({"id": ids, "r": rows, "c": cols, "part": np.array([least[x] for x in roots.tolist()], np.int64)})
+        if not was[0]:
+            break
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = down(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(least, "u")
+        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
+        stars = _written(down(small))
+        was, before = mark(stars), was
+        if was == before:
+            break
+    else:
+        raise RuntimeError("labels did not settle")
+    ends = stars.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node")
+    return ends.unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """df with its place from 1 in the order of all rows: sorted ranges, each numbered from the sum of those before it."""
+    ranged = _written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # one row per partition
+    starts = ranged.groupBy("__part").agg(F.count("*").alias("n")).select("__part", before.alias("__before"))
+    own = F.row_number().over(W.partitionBy("__part").orderBy(*order))
+    return ranged.withColumn("__own", own).join(starts, "__part").withColumn(out, F.col("__before") + F.col("__own")).drop("__part", "__own", "__before")
+
+
+def _tile_labels(by: list[str], diagonal: bool):
+    def run(table):
+        """Labels inside one tile: runs of cells in a row are joined where runs of the next row touch them."""
+        ids, r, c = (table.column(n).to_numpy() for n in ("id", "r", "c"))
+        order = np.lexsort((c, r))
+        r, c = r[order] - r.min(), c[order] - c.min()
+        first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (c[1:] != c[:-1] + 1)])
+        last = np.r_[first[1:], len(r)] - 1
+        wide, reach = int(c.max()) + 3, int(diagonal)
+        starts, ends = r[first] * wide + c[first], r[last] * wide + c[last]
+        lo = np.searchsorted(ends, starts + wide - reach)
+        hi = np.searchsorted(starts, ends + wide + reach, side="right")
+        many = np.maximum(hi - lo, 0)
+        a = np.repeat(np.arange(len(first)), many)
+        b = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+        b, a = b[r[first][b] == r[first][a] + 1], a[r[first][b] == r[first][a] + 1]
+        label = np.arange(len(first))
+        while True:
+            least = np.minimum(label[a], label[b])
+            new = label.copy()
+            np.minimum.at(new, a, least)
+            np.minimum.at(new, b, least)
+            new = np.minimum(new, new[new])
+            if (new == label).all():
+                break
+            label = new
+        run_of = np.repeat(label, last - first + 1)
+        least = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(least, run_of, ids[order])
+        part = np.empty(len(ids), np.int64)
+        part[order] = least[run_of]
+        return table.select([*by, "id", "r", "c"]).append_column("part", pa.array(part))
 
     return run
 
 
-def label_components(mask: DataFrame, width: int, diagonal: bool = False, tile: int = 256) -> DataFrame:
-    """(r, c, label) of the true cells (r, c): label is the smallest r * width + c of the component.
+def label_components(mask: DataFrame, width: int, diagonal: bool = False, tile: int = 256, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, r, c, label) of the true cells (by, r, c): label is the smallest r * width + c of the component in its scene.
 
     Tiles label themselves in one pass; only the labels that meet across tile seams run in the distributed rounds, so
-    their number follows the seams and not the pixels.
+    their number follows the seams and not the pixels. ``by`` names the scenes of a table; they never touch.
     """
-    px = mask.select(F.col("r").cast("long"), F.col("c").cast("long")).withColumn("id", F.col("r") * width + F.col("c"))
+    by = list(by)
+    px = mask.select(*by, F.col("r").cast("long"), F.col("c").cast("long")).withColumn("id", F.col("r") * width + F.col("c"))
     tiled = px.withColumn("ty", F.floor(F.col("r") / tile)).withColumn("tx", F.floor(F.col("c") / tile))
-    local = _written(tiled.groupBy("ty", "tx").applyInArrow(_tile_labels(diagonal), "id long, r long, c long, part long"))
+    kept = "".join(f"`{k}` {mask.schema[k].dataType.simpleString()}, " for k in by)
+    local = _written(tiled.groupBy(*by, "ty", "tx").applyInArrow(_tile_labels(by, diagonal), f"{kept}id long, r long, c long, part long"))
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
     rim = local.where((F.pmod("r", F.lit(tile)).isin(0, tile - 1)) | (F.pmod("c", F.lit(tile)).isin(0, tile - 1)))
-    sent = rim.select(F.col("part").alias("u"), F.explode(F.array(*[F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c")) for a, b in steps])).alias("to")).select("u", "to.r", "to.c")
-    seams = sent.join(rim.select("r", "c", F.col("part").alias("v")), ["r", "c"]).where("u <> v").select("u", "v").distinct()
-    joined = min_label(seams)
-    return local.join(joined, local["part"] == joined["node"], "left").select("r", "c", F.coalesce(joined["label"], "part").alias("label"))
+    sent = rim.select(*by, F.col("part").alias("u"), F.explode(F.array(*[F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c")) for a, b in steps])).alias("to")).select(*by, "u", "to.r", "to.c")
+    seams = sent.join(rim.select(*by, "r", "c", F.col("part").alias("v")), [*by, "r", "c"]).where("u <> v")
+    node = (lambda x: F.struct(*by, F.col(x).alias("part"))) if by else F.col
+    joined = min_label(seams.select(node("u").alias("u"), node("v").alias("v")))
+    joined = joined.select("node.*", F.col("label.part").alias("label")) if by else joined.withColumnRenamed("node", "part")
+    return local.join(joined, [*by, "part"], "left").select(*by, "r", "c", F.coalesce("label", "part").alias("label"))
 
 
 def filter_small(labels: DataFrame, least: int) -> DataFrame:
@@ -129,8 +167,7 @@ def largest_region(labels: DataFrame) -> DataFrame:
 
 def compact_ids(labels: DataFrame) -> DataFrame:
     """Numbers 1..n in the order of the labels. The numbering runs over the regions, not the pixels."""
-    ids = labels.select("label").distinct().withColumn("id", F.row_number().over(W.orderBy("label")))
-    return labels.join(ids, "label")
+    return labels.join(numbered(labels.select("label").distinct(), ["label"], "id"), "label")
 
 
 def instance_scores(labels: DataFrame, value: Column) -> DataFrame:

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .regions import _written, min_label
+from .regions import _written, min_label, numbered
 
 
 def tile_starts(length: Column, size: int, step: int) -> Column:
@@ -95,8 +94,18 @@ def merge_adjacent(boxes: DataFrame, cell: int, gap: int = 48) -> DataFrame:
     return boxes.join(labels, boxes["id"] == labels["node"], "left").select(F.coalesce("label", "id").alias("region"), "id")
 
 
+def region_summary(members: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(region, tiles, x, y, w, h, mean, peak, rank) of merged windows, the highest peak first, ties to the smaller region."""
+    out = members.join(boxes, "id").groupBy("region").agg(
+        F.count("*").alias("tiles"), F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"),
+        F.avg("score").alias("mean"), F.max("score").alias("peak"),
+    )
+    return numbered(out.withColumn("__first", -F.round("peak", 9)), ["__first", "region"], "rank").drop("__first")
+
+
 def rank_tiles(df: DataFrame, kept: Column, score: str, key: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(W.orderBy(kept.desc(), F.desc(score), key)))
+    ordered = df.withColumn("__first", (~kept).cast("int")).withColumn("__second", -F.col(score))
+    return numbered(ordered, ["__first", "__second", key], "rank").drop("__first", "__second")
 
 
 def blend_tiles(cells: DataFrame, by: list[str], p: str, weight: str) -> DataFrame:

@@ -38,8 +38,8 @@ register("t01_alignment_score", lambda s, d: P.alignment_score(pair(s, d), ["sce
     m AS (SELECT corr(a, b) AS p, avg(abs(a - b)) AS mae, corr(ga, gb) AS gp FROM g),
     x AS (SELECT round(0.45 * greatest(0, p) + 0.35 * greatest(0, 1 - 2 * mae) + 0.2 * greatest(0, gp), 4) AS v FROM m)
     SELECT 1 AS scene, v AS alignment, CASE WHEN v >= 0.7 THEN 'optimal' WHEN v >= 0.35 THEN 'acceptable' ELSE 'low_confidence' END AS status FROM x""", "alignment")
-register("t03_best_shift", lambda s, d: P.best_shift(pair(s, d), ["scene"], "a", "b", 2), f"""{BOTH},
-    k AS (SELECT CAST(i AS INT) AS dy, CAST(j AS INT) AS dx FROM range(-2, 3) t(i), range(-2, 3) u(j)),
+register("t03_best_shift", lambda s, d: P.best_shift(pair(s, d), ["scene"], "a", "b"), f"""{BOTH},
+    k AS (SELECT CAST(i AS INT) AS dy, CAST(j AS INT) AS dx FROM range(-12, 13) t(i), range(-12, 13) u(j)),
     f AS (SELECT max(r) - min(r) + 1 AS h, max(c) - min(c) + 1 AS w FROM s),
     q AS (SELECT dy, dx, round(corr(x.red, y.red2), 9) AS peak FROM s x CROSS JOIN k JOIN s y ON y.r = x.r + dy AND y.c = x.c + dx WHERE x.red IS NOT NULL AND y.red2 IS NOT NULL GROUP BY dy, dx)
     SELECT 1 AS scene, dy, dx, peak FROM q, f WHERE abs(dy) <= 0.2 * h AND abs(dx) <= 0.2 * w ORDER BY peak DESC, abs(dy) + abs(dx), dy DESC, dx DESC LIMIT 1""", "peak")
@@ -85,13 +85,20 @@ def _asks(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "customer").select("c_custkey", F.expr(_ASK.replace("VARCHAR", "STRING")).alias("q"))
 
 
-register("x04_is_unclear", lambda s, d: table(s, d, "conversations").select("conv_id", "turn", X.is_unclear(F.substring("text", 1, 2)).alias("short"), X.is_unclear(c("role")).alias("role_unclear")), "SELECT conv_id, turn, length(trim(lower(substr(text, 1, 2)))) < 3 AS short, false AS role_unclear FROM conversations WHERE text IS NOT NULL UNION ALL SELECT conv_id, turn, NULL, false FROM conversations WHERE text IS NULL")
+register(
+    "x04_is_unclear", lambda s, d: table(s, d, "conversations").select("conv_id", "turn", X.is_unclear(c("text")).alias("is_text"), X.is_unclear(F.concat(F.lit(" "), F.element_at(F.array(*map(F.lit, ("Hello", "ok", "no", "show water"))), (c("turn") % 4 + 1).cast("int")))).alias("is_other")),
+    f"""SELECT conv_id, turn, length(trim(lower(text))) < 3 OR trim(lower(text)) IN ({", ".join(f"'{x}'" for x in X.UNCLEAR)}) AS is_text, turn % 4 <> 3 AS is_other FROM conversations""",
+)
 register("x06_extract_place", lambda s, d: _asks(s, d).select("c_custkey", X.place(c("q")).alias("place")), "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) END AS place FROM customer")
 _MARK = lambda: X.coordinates(F.concat(F.lit("mark "), c("p_size") * 3, F.lit(".5, -"), c("p_partkey") % 250))
 register("x07_extract_coordinates", lambda s, d: table(s, d, "part").select("p_partkey", *[x.alias(n) for x, n in zip(_MARK(), ("lat", "lon", "error"), strict=True)]), """WITH q AS (SELECT p_partkey, p_size * 3 + 0.5 AS a, -(p_partkey % 250) AS o FROM part)
     SELECT p_partkey, CASE WHEN a <= 90 AND o >= -180 THEN a END AS lat, CASE WHEN a <= 90 AND o >= -180 THEN o END AS lon, CASE WHEN a > 90 OR o < -180 THEN 'out of range' END AS error FROM q""", "lat lon")
 register("x08_change_direction", lambda s, d: _asks(s, d).select("c_custkey", X.change_direction(c("q")).alias("direction")), "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'decrease' ELSE 'increase' END AS direction FROM customer")
-register("x09_topic_title", lambda s, d: table(s, d, "nation").select("n_nationkey", X.topic_title(F.concat(F.lit("show, the "), "n_name", F.lit("! extra words here"))).alias("title")), "SELECT n_nationkey, CASE WHEN length(t) <= 28 THEN t ELSE t[1:25] || '...' END AS title FROM (SELECT n_nationkey, 'Show The ' || list_aggregate(list_transform(string_split(regexp_replace(n_name || ' Extra Words', '[^\\w\\s]', '', 'g'), ' ')[1:2], lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ' ') AS t FROM nation)")
+register(
+    "x09_topic_title", lambda s, d: table(s, d, "part").select("p_partkey", X.topic_title(F.concat(F.lit("show, the "), "p_name", F.lit("! extra words here"))).alias("title")),
+    """WITH q AS (SELECT p_partkey, 'Show The ' || list_aggregate(list_transform((string_split(p_name, ' ') || ['extra', 'words'])[1:2], lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') AS t FROM part)
+    SELECT p_partkey, CASE WHEN length(t) <= 28 THEN t ELSE t[1:25] || '...' END AS title FROM q""",
+)
 register("x15_parse_time", lambda s, d: table(s, d, "events").select("event_id", F.to_timestamp(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(c("event_id") % 2 == 0, "Z").otherwise("+02:00"))).alias("t")), "SELECT event_id, date_trunc('second', ts) - CASE WHEN event_id % 2 = 0 THEN INTERVAL 0 HOUR ELSE INTERVAL 2 HOUR END AS t FROM events")
 register("x16_json_fields", lambda s, d: table(s, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(-1)).alias("k"), F.coalesce(F.get_json_object("props", "$.verdict"), F.lit("unknown")).alias("verdict")), "SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS INT), -1) AS k, coalesce(json_extract_string(props, '$.verdict'), 'unknown') AS verdict FROM events")
 register("x17_json_payloads", lambda s, d: table(s, d, "events").select("event_type", F.from_json("props", "k int").alias("p")).groupBy("event_type").agg(F.sum("p.k").alias("k"), F.count("p.k").alias("n")), "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS INT)) AS BIGINT) AS k, count(json_extract_string(props, '$.k')) AS n FROM events GROUP BY 1")
@@ -179,8 +186,10 @@ register("v10_confidence_weighted", lambda s, d: table(s, d, "lineitem").select(
     w AS (SELECT *, least(0.99, greatest(0, CASE WHEN l_linenumber % 2 = 0 THEN o * 0.85 + 0.9 * 0.15 ELSE o END - l_tax)) AS raw FROM q)
     SELECT l_orderkey, l_linenumber, CASE WHEN raw > 0 AND raw < 1 THEN {clip_sql('1 / (1 + exp(-ln(raw / (1 - raw)) / 1.32))', 0.05, 0.98)} ELSE raw END AS p FROM w""", "p")
 register("v16_dataset_summary", lambda s, d: E.distinct_sorted(table(s, d, "documents"), ["source"], "lang", "langs").join(table(s, d, "documents").groupBy("source").count(), "source").select("source", F.array_join("langs", ",").alias("langs"), c("count").alias("samples")), "SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs, count(*) AS samples FROM documents WHERE source IS NOT NULL GROUP BY 1 HAVING count(lang) > 0")
-_TOP = lambda: E.top_class(F.slice("embedding", 1, 4), ["a", "b", "c", "d"])
-register("v19_top_class", lambda s, d: table(s, d, "embeddings").select("vec_id", _TOP()[0].alias("id"), _TOP()[1].alias("name"), _TOP()[2].alias("p")), "WITH q AS (SELECT vec_id, embedding[1:4] AS e FROM embeddings) SELECT vec_id, CAST(list_position(e, list_max(e)) - 1 AS INT) AS id, ['a', 'b', 'c', 'd'][list_position(e, list_max(e))] AS name, round(CAST(list_max(e) AS DOUBLE), 4) AS p FROM q", "p")
+register(
+    "v19_top_class", lambda s, d: table(s, d, "embeddings").select("vec_id", *[x.alias(n) for n, x in zip(("id", "name", "p"), E.top_class(c("embedding"), [f"class {i}" for i in range(64)]), strict=True)]),
+    "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS id, 'class ' || (list_position(embedding, list_max(embedding)) - 1) AS name, round(CAST(list_max(embedding) AS DOUBLE), 4) AS p FROM embeddings", "p",
+)
 register("q06_counts_agree", lambda s, d: E.reported_counts(table(s, d, "orders").select("o_orderkey", (c("o_orderkey") % 7 + 1).alias("n")), table(s, d, "lineitem").groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n")), ["o_orderkey"], "n", 1), "SELECT coalesce(o_orderkey, l_orderkey) AS o_orderkey, o_orderkey % 7 + 1 AS reported, n AS recomputed FROM orders FULL JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE o_orderkey IS NULL OR n IS NULL OR abs(o_orderkey % 7 + 1 - n) > 1")
 register("q05_mask_inside_valid", lambda s, d: S.derived_scene(s, d).agg(F.count_if((c("red") > 0.5) & ~(c("green") > 0.4)).alias("violations")), f"WITH {PX} SELECT count(*) FILTER (red > 0.5 AND NOT green > 0.4) AS violations FROM s")
 register("q09_class_partition", lambda s, d: E.class_partition(table(s, d, "lineitem"), ["l_linenumber"], "l_returnflag", c("l_quantity") > 5, ["A", "N"]), "SELECT l_linenumber, count(*) FILTER (l_quantity > 5 AND l_returnflag NOT IN ('A', 'N')) AS \"foreign\", 0::BIGINT AS unlabelled, count(*) FILTER (l_quantity > 5 AND l_returnflag NOT IN ('A', 'N')) = 0 AS whole FROM lineitem GROUP BY 1")

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import aggregates as A
 from ..operators import catalog as C
 from ..operators import grids as K
 from ..operators import matching as M
@@ -276,3 +277,15 @@ register(
     "x26_order_coverage", lambda s, d: C.in_order(table(s, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.sum("l_quantity").alias("p")), ["l_orderkey"], [(c("l_returnflag") == "N").cast("int"), F.desc("p"), "l_returnflag"]).select("l_orderkey", "l_returnflag", "place"),
     "WITH q AS (SELECT l_orderkey, l_returnflag, sum(l_quantity) AS p FROM lineitem GROUP BY ALL) SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag = 'N', p DESC, l_returnflag) AS place FROM q",
 )
+_CELLS = "WITH q AS (SELECT label AS t, CAST((list_position(embedding, list_max(embedding)) - 1) % 10 AS INT) AS p FROM embeddings WHERE label NOT IN (3, 7)), k AS (SELECT * FROM q WHERE p NOT IN (3, 7)), c AS (SELECT CAST(i AS INT) AS class FROM range(10) t(i) WHERE i NOT IN (3, 7))"
+register(
+    "v02_percent_metrics_weighted", lambda s, d: A.percent_metrics(A.confusion(table(s, d, "embeddings").select("label", ((F.array_position("embedding", F.array_max("embedding")) - 1) % 10).cast("int").alias("p")), "label", "p", 10), {i: 0.0 if i in (3, 7) else 1.0 for i in range(10)}),
+    _CELLS + """, m AS (SELECT class, (SELECT count(*) FROM k WHERE t = class AND p = class) AS tp, (SELECT count(*) FROM k WHERE t = class) AS a, (SELECT count(*) FROM k WHERE p = class) AS b FROM c)
+    SELECT class, coalesce(100.0 * tp / nullif(a + b - tp, 0), 0) AS iou, coalesce(100.0 * tp / nullif(b, 0), 0) AS precision, coalesce(100.0 * tp / nullif(a, 0), 0) AS recall, coalesce(200.0 * tp / nullif(a + b, 0), 0) AS f1,
+        100.0 * (SELECT count(*) FROM k WHERE t = p) / (SELECT count(*) FROM k) AS accuracy FROM m""", "iou precision recall f1 accuracy",
+)
+register(
+    "f10_sensor_masks", lambda s, d: K.sensor_masks(px(s, d).select("scene", "r", "c", (c("green") - c("nir")).alias("ndwi"), (c("swir") - c("nir")).alias("ndbi"), (60 * c("red") - 48).alias("db")), ["scene"], c("ndwi"), c("ndbi"), c("db")).select("r", "c", "is_water", "is_dark", "is_built", "is_bright"),
+    f"""WITH {PX}, q AS (SELECT r, c, green - nir AS ndwi, swir - nir AS ndbi, 60 * red - 48 AS db FROM s), m AS (SELECT quantile_cont(ndbi, 0.75) AS cut FROM q)
+    SELECT r, c, coalesce(ndwi >= 0.12, false) AS is_water, coalesce(db <= -20, false) AS is_dark, coalesce(ndbi >= cut, false) AS is_built, coalesce(db >= -10, false) AS is_bright FROM q, m""",
+)

@@ -223,7 +223,11 @@ register("a12_weighted_blend", lambda s, d: A.weighted_blend(table(s, d, "lineit
 register("a13_collapse_classes", lambda s, d: A.collapse_classes(S.derived_pixels(s, d), ["r", "c"], "b", "v", s.range(8).select(F.col("id").cast("int").alias("fine"), (F.col("id") % 3).cast("int").alias("coarse"))), f"WITH {PX} SELECT r, c, b % 3 AS coarse, sum(v) / sum(sum(v)) OVER (PARTITION BY r, c) AS p FROM px GROUP BY r, c, b % 3", "p")
 register("a14_agreement", lambda s, d: A.agreement(table(s, d, "lineitem"), ["l_linenumber"], F.col("l_quantity") > 25, F.col("l_discount") > 0.05), "WITH q AS (SELECT l_linenumber, count(*) FILTER (l_quantity > 25 AND l_discount > 0.05) AS both, count(*) FILTER (l_quantity > 25 OR l_discount > 0.05) AS either, count(*) FILTER (l_quantity > 25 AND NOT l_discount > 0.05) AS only_a, count(*) FILTER (NOT l_quantity > 25 AND l_discount > 0.05) AS only_b FROM lineitem GROUP BY 1) SELECT *, both / either AS iou FROM q".replace("AS both", 'AS "both"').replace("both / either", '"both" / either'), "iou")
 register("a15_bounding_box_agg", lambda s, d: A.bounding_boxes(windows(s, d).withColumn("g", F.col("id") % 7), ["g"], "x", "y", "w", "h", "score", "id"), f"SELECT id % 7 AS g, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1, count(*) AS tiles, avg(score) AS mean_score, max(score) AS best_score, min(id) AS first_tile FROM ({_WIN}) GROUP BY 1", "mean_score best_score")
-register("a16_monthly_composite", lambda s, d: A.period_composite(table(s, d, "lineitem").where("month(l_shipdate) <> 5"), ["l_returnflag"], F.month("l_shipdate"), F.col("l_quantity")), "WITH o AS (SELECT l_returnflag, month(l_shipdate) AS period, avg(l_quantity) AS v FROM lineitem WHERE month(l_shipdate) <> 5 GROUP BY ALL), g AS (SELECT DISTINCT l_returnflag, CAST(i AS INT) AS period FROM o, unnest(range(1, 13)) t(i)) SELECT l_returnflag, period, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY l_returnflag ORDER BY period), 0) AS v FROM g LEFT JOIN o USING (l_returnflag, period)", "v")
+register(
+    "a16_monthly_composite", lambda s, d: A.period_composite(table(s, d, "lineitem"), ["l_returnflag"], F.month("l_shipdate"), F.when(F.month("l_shipdate") != 5, F.col("l_quantity"))),
+    """WITH o AS (SELECT l_returnflag, month(l_shipdate) AS period, avg(l_quantity) FILTER (month(l_shipdate) <> 5) AS v FROM lineitem GROUP BY ALL), g AS (SELECT DISTINCT l_returnflag, CAST(i AS INT) AS period FROM o, unnest(range(1, 13)) t(i))
+    SELECT l_returnflag, period, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY l_returnflag ORDER BY period), 0) AS v FROM g LEFT JOIN o USING (l_returnflag, period)""", "v",
+)
 _TP = "SELECT label AS t, CAST((list_position(embedding, list_max(embedding)) - 1) % 10 AS INT) AS p FROM embeddings"
 
 
@@ -235,12 +239,19 @@ _CM = f"SELECT CAST(i AS INT) AS truth, CAST(j AS INT) AS pred, count(q.t) AS n
 register("a18_confusion_matrix", lambda s, d: A.confusion(truth_pred(s, d), "t", "p", 10), _CM)
 register("v01_metrics_from_confusion", lambda s, d: A.class_metrics(A.confusion(truth_pred(s, d), "t", "p", 10)), f"WITH m AS ({_CM}), q AS (SELECT truth, pred, n AS tp, sum(n) OVER (PARTITION BY truth) AS t, sum(n) OVER (PARTITION BY pred) AS p, sum(n) OVER () AS a FROM m) SELECT truth AS class, coalesce(tp / nullif(t + p - tp, 0), 0.0) AS iou, coalesce(tp / nullif(p, 0), 0.0) AS precision, coalesce(tp / nullif(t, 0), 0.0) AS recall, coalesce(2 * tp / nullif(t + p, 0), 0.0) AS f1, coalesce((a - t - p + tp) / nullif(a - t, 0), 0.0) AS specificity FROM q WHERE truth = pred", "iou precision recall f1 specificity")
 register("v03_binary_metrics", lambda s, d: A.binary_metrics(table(s, d, "lineitem"), ["l_linestatus"], F.col("l_quantity") > 25, F.col("l_discount") > 0.05).select("l_linestatus", "tp", "fp", "fn", "tn", "f1", "iou"), "WITH q AS (SELECT l_linestatus, count(*) FILTER (l_quantity > 25 AND l_discount > 0.05) AS tp, count(*) FILTER (NOT l_quantity > 25 AND l_discount > 0.05) AS fp, count(*) FILTER (l_quantity > 25 AND NOT l_discount > 0.05) AS fn, count(*) FILTER (NOT l_quantity > 25 AND NOT l_discount > 0.05) AS tn FROM lineitem GROUP BY 1) SELECT *, 2 * tp / (2 * tp + fp + fn) AS f1, tp / (tp + fp + fn) AS iou FROM q", "f1 iou")
-register("v07_calibration_error", lambda s, d: A.calibration_error(table(s, d, "events").where("value <= 500"), F.col("value") / 500, F.col("event_type").isin("click", "purchase")), "WITH q AS (SELECT least(floor(value / 500 * 5), 4) AS b, value / 500 AS p, CASE WHEN event_type IN ('click', 'purchase') THEN 1.0 ELSE 0 END AS y FROM events WHERE value <= 500), z AS (SELECT b, count(*) AS n, avg(y) AS a, avg(p) AS p FROM q GROUP BY b) SELECT round(sum(n * abs(a - p)) / sum(n), 4) AS ece, CAST(sum(n) AS BIGINT) AS samples FROM z", "ece")
+register(
+    "v07_calibration_error", lambda s, d: A.calibration_error(table(s, d, "events"), F.least(F.col("value") / 500, F.lit(1.0)), F.col("event_type").isin("click", "purchase")),
+    """WITH q AS (SELECT least(value / 500, 1) AS p, CASE WHEN event_type IN ('click', 'purchase') THEN 1.0 ELSE 0 END AS y FROM events), z AS (SELECT least(floor(p * 5), 4) AS b, count(*) AS n, avg(y) AS a, avg(p) AS p FROM q GROUP BY ALL)
+    SELECT round(sum(n * abs(a - p)) / sum(n), 4) AS ece, CAST(sum(n) AS BIGINT) AS samples FROM z""", "ece",
+)
 register("v11_confidence_weakest", lambda s, d: A.confidence_weakest(table(s, d, "events"), ["user_id"], F.col("value") / 500, 0.9, 0.8, 0.1), "SELECT user_id, min(least(value / 500, 0.98)) * 0.9 * 0.8 * 0.9 AS confidence FROM events GROUP BY user_id", "confidence")
 _O = lambda: [F.desc("o_totalprice"), F.col("o_orderkey")]
 register("w01_rank_features", lambda s, d: A.top_per_group(table(s, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), ["o_orderpriority"], _O(), 1_000_000_000), "SELECT o_orderkey, o_orderpriority, o_totalprice, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS rank FROM orders", "o_totalprice")
 register("w03_share_of_total", lambda s, d: A.share_of_total(table(s, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), ["o_orderpriority"], "o_totalprice", "share").select("o_orderkey", (F.col("share") * 1000).alias("share")), "SELECT o_orderkey, 1000 * o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_orderpriority) AS share FROM orders", "share")
-register("w04_relative_to_first", lambda s, d: A.relative_to_first(table(s, d, "orders"), ["o_orderpriority"], _O(), "o_totalprice", "x").select("o_orderkey", "x"), "SELECT o_orderkey, o_totalprice / first_value(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS x FROM orders", "x")
+register(
+    "w04_relative_to_first", lambda s, d: A.relative_to_first(table(s, d, "orders"), ["o_orderpriority"], [-F.col("o_totalprice"), F.col("o_orderkey")], "o_totalprice", "x").select("o_orderkey", "x"),
+    "SELECT o_orderkey, o_totalprice / first_value(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS x FROM orders", "x",
+)
 register("w05_cumulative", lambda s, d: A.cumulative(table(s, d, "lineitem").groupBy("l_returnflag", F.month("l_shipdate").alias("m")).agg(F.count("*").alias("n")), ["l_returnflag"], [F.col("m")], "n", "upto"), "SELECT l_returnflag, month(l_shipdate) AS m, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY l_returnflag ORDER BY month(l_shipdate)) AS BIGINT) AS upto FROM lineitem GROUP BY l_returnflag, month(l_shipdate)")
 register("w06_forward_fill", lambda s, d: A.forward_fill(table(s, d, "conversations").withColumn("x", F.when(F.col("role") == "user", F.col("turn"))), ["conv_id"], [F.col("turn")], "x", "last_user").select("conv_id", "turn", "last_user"), "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS last_user FROM conversations")
 register("l01_latest_runs", lambda s, d: C.latest(table(s, d, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus"), [F.desc("o_orderdate"), F.col("o_orderkey")], 50, F.col("o_orderstatus") == "O"), "SELECT o_orderkey, o_orderdate, o_orderstatus FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
@@ -255,8 +266,21 @@ _TAGS = [("colour", ["red", "blue", "green"]), ("size", ["small", "large"]), ("t
 register("x01_tag_targets", lambda s, d: table(s, d, "part").select("p_partkey", C.tag_first(F.col("p_name"), _TAGS).alias("tag")), "SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name), '\\b(red|blue|green)\\b') THEN 'colour' WHEN regexp_matches(lower(p_name), '\\b(small|large)\\b') THEN 'size' WHEN regexp_matches(lower(p_name), '\\b(widget|gadget)\\b') THEN 'thing' END AS tag FROM part")
 register("x02_tag_intents", lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(C.tag_all(F.col("p_name"), _TAGS), ",").alias("tags")), "SELECT p_partkey, concat_ws(',', CASE WHEN regexp_matches(lower(p_name), '\\b(red|blue|green)\\b') THEN 'colour' END, CASE WHEN regexp_matches(lower(p_name), '\\b(small|large)\\b') THEN 'size' END, CASE WHEN regexp_matches(lower(p_name), '\\b(widget|gadget)\\b') THEN 'thing' END) AS tags FROM part")
 register("x05_extract_years", lambda s, d: table(s, d, "orders").select("o_orderkey", C.extract_years(F.concat(F.lit("from "), F.year("o_orderdate").cast("string"), F.lit(" to 2001, not 1850"))).alias("y")).select("o_orderkey", F.col("y")[0].alias("first"), F.size("y").alias("n")), "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS first, 2 AS n FROM orders")
-register("x10_token_overlap", lambda s, d: table(s, d, "documents").join(table(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("b")), "doc_id").select("doc_id", *[x.cast("long").alias(a) for x, a in zip(C.token_overlap(F.col("text"), F.col("b")), ("both_n", "either_n"), strict=True)]), "WITH q AS (SELECT doc_id, list_distinct([x FOR x IN string_split_regex(lower(d.text), '[^a-z0-9]+') IF x <> '']) AS a, list_distinct([x FOR x IN string_split_regex(lower(b.text), '[^a-z0-9]+') IF x <> '']) AS b FROM documents d JOIN benchmark b ON doc_id = item_id) SELECT doc_id, len(list_intersect(a, b)) AS both_n, len(list_distinct(list_concat(a, b))) AS either_n FROM q")
-register("x11_exact_match", lambda s, d: table(s, d, "nation").select("n_nationkey", C.exact_match(F.concat(F.lit(" "), F.upper("n_name")), F.col("n_name")).alias("hit")), "SELECT n_nationkey, true AS hit FROM nation")
+register(
+    "x10_token_overlap", lambda s, d: table(s, d, "part").select("p_partkey", *[x.cast("long").alias(a) for x, a in zip(C.token_overlap(F.col("p_name"), F.concat(F.lower("p_type"), F.lit(" small, "), F.reverse(F.split("p_name", " "))[0])), ("both_n", "either_n"), strict=True)]),
+    """WITH q AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct([lower(p_type), 'small', lower(string_split(p_name, ' ')[-1])]) AS b FROM part)
+    SELECT p_partkey, len(list_intersect(a, b)) AS both_n, len(list_distinct(list_concat(a, b))) AS either_n FROM q""",
+)
+register(
+    "x10_keyword_similarity", lambda s, d: table(s, d, "part").select("p_partkey", C.keyword_similarity(F.col("p_name"), F.when(F.col("p_partkey") % 4 == 0, F.upper("p_name")).otherwise(F.concat(F.lit("small, "), F.reverse(F.split("p_name", " "))[0])), ("small", "widget", "re")).alias("score")),
+    """WITH q AS (SELECT p_partkey, lower(p_name) AS p, CASE WHEN p_partkey % 4 = 0 THEN lower(p_name) ELSE 'small, ' || lower(string_split(p_name, ' ')[-1]) END AS t FROM part),
+    w AS (SELECT *, list_distinct(string_split(p, ' ')) AS a, list_distinct(string_split(replace(t, ',', ''), ' ')) AS b FROM q)
+    SELECT p_partkey, CASE WHEN p = t THEN 1 ELSE round(0.6 * (CAST(contains(p, 'small') AS INT) + CAST(contains(p, 'widget') AS INT) + CAST(contains(p, 're') AS INT)) / 3 + 0.4 * len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 3) END AS score FROM w""", "score",
+)
+register(
+    "x11_exact_match", lambda s, d: table(s, d, "part").select("p_partkey", C.exact_match(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), F.upper("p_name"))).otherwise(F.col("p_type")), F.col("p_name")).alias("hit")),
+    "SELECT p_partkey, p_partkey % 3 = 0 OR trim(lower(p_type)) = trim(lower(p_name)) AS hit FROM part",
+)
 register("x12_perplexity", lambda s, d: table(s, d, "embeddings").select("vec_id", C.perplexity(F.transform("embedding", lambda x: -F.abs(x.cast("double")))).alias("x")), "SELECT vec_id, round(exp(list_avg([abs(CAST(x AS DOUBLE)) FOR x IN embedding])), 3) AS x FROM embeddings", "x")
 register("x13_preview_url", lambda s, d: table(s, d, "pages").select("page_id", C.preview_url(F.concat("url", F.lit(".tif"))).alias("u")), "SELECT page_id, url || '_preview.png' AS u FROM pages")
 register("x14_normalize_name", lambda s, d: table(s, d, "part").select("p_partkey", C.normalize_name(F.col("p_brand")).alias("x")), "SELECT p_partkey, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS x FROM part")
@@ -270,7 +294,22 @@ _COS = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUB
 register("r10_cosine_topk", lambda s, d: T.cosine_topk(table(s, d, "embeddings"), table(s, d, "embeddings").where("vec_id = 0"), 25), f"SELECT a.vec_id, {_COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0 ORDER BY round(score, 9) DESC, a.vec_id LIMIT 25", "score")
 register("r11_relevance_cut", lambda s, d: T.relevance_cut(windows(s, d).select("id", "score"), "score", 0.1), f"SELECT id, score FROM ({_WIN}) WHERE score >= greatest(0.1, least(0.68, 0.75 * (SELECT max(score) FROM ({_WIN}))))", "score")
 register("r12_non_max_suppression", lambda s, d: T.non_max_suppression(windows(s, d), 448).select("id"), None)
-register("r13_merge_adjacent", lambda s, d: T.merge_adjacent(windows(s, d).where("id % 7 = 0"), 448, 20), None)
+
+
+def spread_windows(s, d):
+    """All windows, moved apart: a third of the rows of the grid lie within the gap of each other."""
+    i, third = F.col("id"), F.floor(F.col("id") / 20)
+    return windows(s, d).select("id", (i % 20 * (460 + (i * 7 % 3) * 60)).cast("int").alias("x"), (third * (460 + (third * 5 % 4) * 40)).cast("int").alias("y"), "w", "h", "score")
+
+
+_MERGED = """WITH RECURSIVE b AS (SELECT vec_id AS id, CAST(vec_id % 20 * (460 + (vec_id * 7 % 3) * 60) AS INT) AS x, CAST(vec_id // 20 * (460 + (vec_id // 20 * 5 % 4) * 40) AS INT) AS y, 448 AS w, 448 AS h, CAST(embedding[1] AS DOUBLE) AS score FROM embeddings),
+    e AS (SELECT p.id AS u, q.id AS v FROM b p JOIN b q ON p.id <> q.id AND abs(p.x - q.x) <= 468 AND abs(p.y - q.y) <= 468), k AS (SELECT id AS u, id AS label FROM b UNION SELECT e.v, k.label FROM k JOIN e ON e.u = k.u WHERE k.label < e.v)"""
+register("r13_merge_adjacent", lambda s, d: T.merge_adjacent(spread_windows(s, d), 448, 20), _MERGED + " SELECT min(label) AS region, u AS id FROM k GROUP BY u")
+register(
+    "r13_region_summary", lambda s, d: T.region_summary(T.merge_adjacent(spread_windows(s, d), 448, 20), spread_windows(s, d)),
+    _MERGED + """, l AS (SELECT min(label) AS region, u AS id FROM k GROUP BY u), t AS (SELECT region, count(*) AS tiles, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, avg(score) AS mean, max(score) AS peak FROM l JOIN b USING (id) GROUP BY region)
+    SELECT *, row_number() OVER (ORDER BY round(peak, 9) DESC, region) AS rank FROM t""", "mean peak",
+)
 register("t14_cover_change", lambda s, d: S.derived_scene(s, d).agg(F.count_if(g > 0.55).alias("before_n"), F.count_if(g2 > 0.55).alias("after_n"), F.count_if((g2 > 0.55) & ~(g > 0.55)).alias("gain"), F.count_if((g > 0.55) & ~(g2 > 0.55)).alias("loss")), f"WITH {PX} SELECT count(*) FILTER (green > 0.55) AS before_n, count(*) FILTER (green2 > 0.55) AS after_n, count(*) FILTER (green2 > 0.55 AND NOT green > 0.55) AS gain, count(*) FILTER (green > 0.55 AND NOT green2 > 0.55) AS loss FROM s")
 register("t20_visual_correlation", lambda s, d: S.derived_scene(s, d).agg(F.corr("red", "red2").alias("corr")), f"WITH {PX} SELECT corr(red, red2) AS corr FROM s", "corr")
 # Proxies, confidence, bounds -----------------------------------------------------------------------------------------

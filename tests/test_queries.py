@@ -28,20 +28,62 @@ def test_non_max_suppression_is_greedy(spark, sf):
     assert sorted(r.id for r in registry.QUERIES["r12_non_max_suppression"](spark, sf).collect()) == sorted(b.id for b in kept)
 
 
-def test_merge_adjacent(spark, sf):
-    boxes = {b.id: b for b in registry.windows(spark, sf).collect() if b.id % 7 == 0}
-    left, regions = set(boxes), {}
-    while left:
-        name = min(left)
-        todo, seen = [name], {name}
-        while todo:
-            a = boxes[todo.pop()]
-            near = {i for i, b in boxes.items() if abs(a.x - b.x) <= 468 and abs(a.y - b.y) <= 468} - seen
-            seen |= near
-            todo += near
-        regions |= {i: name for i in seen}
-        left -= seen
-    assert {r.id: r.region for r in registry.QUERIES["r13_merge_adjacent"](spark, sf).collect()} == regions
+def test_labels_of_several_scenes(spark):
+    """Scenes never touch; tiles of one cell make every border a seam; diagonal neighbours count where asked for."""
+    import numpy as np
+    from orbitframe.operators import regions
+
+    rng = np.random.default_rng(2)
+    cells = {(s, int(r), int(c)) for s in range(3) for r, c in zip(*np.nonzero(rng.random((14, 17)) < 0.55), strict=True)}
+    df = spark.createDataFrame(sorted(cells), "scene int, r int, c int")
+    for diagonal, tile in ((False, 5), (True, 5), (True, 1), (False, 64)):
+        left, want = set(cells), {}
+        while left:
+            todo = [min(left)]
+            left.discard(todo[0])
+            seen = []
+            while todo:
+                s, r, c = todo.pop()
+                seen.append((s, r, c))
+                for dr in (-1, 0, 1):
+                    for dc in (-1, 0, 1):
+                        near = (s, r + dr, c + dc)
+                        if near in left and (diagonal or abs(dr) + abs(dc) == 1):
+                            left.discard(near)
+                            todo.append(near)
+            want |= {x: min(r * 17 + c for _, r, c in seen) for x in seen}
+        got = regions.label_components(df, 17, diagonal, tile, by=("scene",))
+        assert {(x.scene, x.r, x.c): x.label for x in got.collect()} == want
+
+
+def test_percentiles_and_numbers(spark):
+    import numpy as np
+    from orbitframe.operators import aggregates, regions
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    data = [(int(k), float(x)) for k in range(3) for x in rng.lognormal(sigma=4, size=400)] + [(5, 1.0)] * 50 + [(6, None), (7, float("nan")), (8, 3.0)]
+    df = spark.createDataFrame(data, "k int, x double")
+    got = {r.k: (r.a, r.b, r.c) for r in aggregates.exact_percentiles(df, ["k"], F.col("x"), {"a": 0.0, "b": 0.37, "c": 1.0}, cells=7).collect()}
+    for k in (0, 1, 2, 5, 8):
+        want = np.percentile([x for q, x in data if q == k], [0, 37, 100])
+        assert np.allclose(got[k], want, rtol=1e-12)
+    assert set(got) == {0, 1, 2, 5, 8}
+    out = regions.numbered(df.where("k < 3"), ["x", "k"], "n").orderBy("n").collect()
+    assert [r.n for r in out] == list(range(1, 1201)) and [r.x for r in out] == sorted(r.x for r in out)
+
+
+def test_shift_is_found_coarse_to_fine(spark):
+    import numpy as np
+    from orbitframe.operators import pairs
+
+    rng = np.random.default_rng(3)
+    field = np.cumsum(np.cumsum(rng.normal(size=(70, 80)), axis=0), axis=1)
+    a, b = field[10:58, 10:66], field[3:51, 5:61]
+    rows = [(1, r, c, float(a[r, c]), float(b[r, c])) for r in range(48) for c in range(56)]
+    df = spark.createDataFrame(rows, "scene int, r int, c int, a double, b double")
+    for base in (64, 16):
+        assert [tuple(x)[:3] for x in pairs.best_shift(df, ["scene"], "a", "b", base=base).collect()] == [(1, 7, 5)]
 
 
 def test_entry(spark):
