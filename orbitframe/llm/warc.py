@@ -57,23 +57,29 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return head.encode("utf-8", "replace") + block + b"\r\n\r\n"
 
 
-def train_dictionary(pages: DataFrame, id_col: str = "page_id", size: int = 65_536, sample_rows: int = 400, sample_bytes: int = 4 << 20) -> bytes:
-    """A dictionary from a bounded sample: about ``sample_rows`` records chosen by a hash of the id, ``sample_bytes`` in all.
+def train_dictionary(pages: DataFrame, id_col: str = "page_id", size: int = 65_536, sample_rows: int = 1_600, sample_bytes: int = 4 << 20) -> bytes:
+    """A dictionary from a bounded sample of whole records: those with the least hash of id and address in the whole table,
+    at most ``sample_rows`` of them and ``sample_bytes`` in all.
 
-    Empty when the sample is too small to learn from; records are then compressed without one.
+    Records over a sixteenth of ``sample_bytes`` gain nothing from a dictionary and are no samples. Where the records are too
+    few to train on, they are themselves the dictionary's content, which Zstandard takes as well. Empty only for a table
+    that has no such record.
     """
-    step = max(1, pages.count() // sample_rows)
-    picked = pages.where(F.pmod(F.xxhash64(F.lit(2), id_col), F.lit(step)) == 0).select(id_col, "url", "html")
-    samples, held = [], 0
-    for r in picked.toLocalIterator():
-        if held >= sample_bytes or len(samples) >= 4 * sample_rows:
+    rows = pages.select(id_col, "url", "html", F.xxhash64(F.lit(2), id_col, "url").alias("hash"))
+    sizes = rows.select("hash", F.coalesce(F.octet_length("html"), F.lit(0)).alias("n")).where(F.col("n") <= sample_bytes // 16)
+    least = sizes.groupBy("hash").agg(F.min("n").alias("n")).orderBy("hash").limit(sample_rows).collect()
+    held, chosen = 0, []
+    for r in least:
+        held += r["n"] + 512
+        if chosen and held > sample_bytes:
             break
-        samples.append(record(r[0], r["url"], (r["html"] or "").encode("utf-8", "replace"), None)[: sample_bytes // 16])
-        held += len(samples[-1])
+        chosen.append(r["hash"])
+    picked = rows.where(F.col("hash").isin(chosen) & (F.coalesce(F.octet_length("html"), F.lit(0)) <= sample_bytes // 16)).dropDuplicates(["hash"]).orderBy("hash").collect()
+    samples = [record(r[0], r["url"], (r["html"] or "").encode("utf-8", "replace"), None) for r in picked]
     try:
-        return zstandard.train_dictionary(size, samples, level=3).as_bytes() if len(samples) >= 16 else b""
-    except zstandard.ZstdError:
-        return b""
+        return zstandard.train_dictionary(size, samples, level=3).as_bytes()
+    except zstandard.ZstdError:  # too few
+        return b"".join(samples)[-size:]
 
 
 def _writer(folder: str, dictionary: bytes, archive_bytes: int, level: int):

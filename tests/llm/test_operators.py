@@ -77,6 +77,21 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_warc_dictionary_of_small_and_odd_tables(spark):
+    page = lambda i: f"<html><head><title>page {i}</title></head><body>{'some words of page ' * (3 + i % 4)}{i}</body></html>"
+    few = spark.createDataFrame([(i, f"http://x/{i}", page(i)) for i in range(6)], "page_id long, url string, html string")
+    made = warc.train_dictionary(few)
+    assert len(made) > 0 and made == warc.train_dictionary(few.repartition(4))  # the order of the rows does not count
+    many = spark.createDataFrame([(i, f"http://x/{i}", page(i)) for i in range(500)], "page_id long, url string, html string")
+    # what the records take, the dictionaries at the archives' heads aside
+    with_one, without = (warc.write_archives(many, dictionary=d).agg(F.sum(F.col("bytes") - len(d))).first()[0] for d in (warc.train_dictionary(many), b""))
+    assert with_one < 0.8 * without
+    nulls = spark.createDataFrame([(None, None, None)] * 3 + [(1, None, None)], "page_id long, url string, html string")
+    assert [r.record_type for r in warc.read_archives(warc.write_archives(nulls)).collect()] == ["response"] * 4
+    clash = few.withColumn("payload", F.lit("mine")).withColumn("record_type", F.lit(1)).withColumn("hash", F.lit(2)).withColumn("first", F.lit(3))
+    assert sorted(r.page_id for r in warc.read_archives(warc.write_archives(clash)).collect()) == list(range(6))
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------
 def test_url_aliases(spark):
     page = lambda i, url, html=None: (i, url, html, "extra")
