@@ -10,6 +10,7 @@ from ..operators import aggregates as A
 from ..operators import catalog as C
 from ..operators import grids as K
 from ..operators import matching as M
+from ..operators import polygons as O
 from ..operators import regions as G
 from ..operators import tiles as T
 from ..sources import scenes as S
@@ -289,3 +290,30 @@ register(
     f"""WITH {PX}, q AS (SELECT r, c, green - nir AS ndwi, swir - nir AS ndbi, 60 * red - 48 AS db FROM s), m AS (SELECT quantile_cont(ndbi, 0.75) AS cut FROM q)
     SELECT r, c, coalesce(ndwi >= 0.12, false) AS is_water, coalesce(db <= -20, false) AS is_dark, coalesce(ndbi >= cut, false) AS is_built, coalesce(db >= -10, false) AS is_bright FROM q, m""",
 )
+
+
+def _corner_sums(rings):
+    """Shoelace area and outline length of a polygon's rings."""
+    plus = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x)
+    turned = lambda r: F.concat(F.slice(r, F.lit(2), F.size(r) - 1), F.slice(r, 1, 1))
+    total = lambda of: plus(F.transform(rings, lambda r: plus(F.zip_with(r, turned(r), of))))
+    area = total(lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]) / 2
+    return area.cast("long"), total(lambda a, b: F.abs(a["x"] - b["x"]) + F.abs(a["y"] - b["y"]))
+
+
+def _polygons(s, d: str) -> DataFrame:
+    return O.polygonize(labels(s, d))
+
+
+register(
+    "g16_polygonize", lambda s, d: _polygons(s, d).select("label", *[x.alias(n) for n, x in zip(("area", "length"), _corner_sums(c("rings")), strict=True)]),
+    f"""{_CC}, n AS (SELECT a.r, a.c, a.label, count(b.r) AS near FROM l a LEFT JOIN l b ON a.label = b.label AND abs(a.r - b.r) + abs(a.c - b.c) = 1 GROUP BY ALL)
+    SELECT label, count(*) AS area, CAST(sum(4 - near) AS BIGINT) AS length FROM n GROUP BY label HAVING count(*) >= 4""",
+)
+register(
+    "q08_geometry_matches_mask",
+    lambda s, d: O.geometry_matches_mask(_polygons(s, d).withColumn("rings", F.transform("rings", lambda r: F.transform(r, lambda p: F.struct((p["x"] + (c("label") % 2)).alias("x"), p["y"].alias("y"))))), G.filter_small(labels(s, d), 4)),
+    f"""{_CC}, own AS (SELECT * FROM l WHERE label IN (SELECT label FROM l GROUP BY label HAVING count(*) >= 4)), p AS (SELECT r, CAST(c + label % 2 AS INT) AS c, label FROM own),
+    f AS (SELECT coalesce(own.label, p.label) AS label, p.label IS NULL AS missing, own.label IS NULL AS extra FROM own FULL JOIN p ON own.label = p.label AND own.r = p.r AND own.c = p.c)
+    SELECT label, count(*) FILTER (missing) AS missing, count(*) FILTER (extra) AS extra FROM f GROUP BY label HAVING count(*) FILTER (missing OR extra) > 0""",
+)

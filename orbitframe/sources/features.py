@@ -62,3 +62,18 @@ def read_manifests(spark: SparkSession, folder: str, schema: str, entries: str)
 def write_grid(df: DataFrame, path: str, parts: list[str]) -> None:
     """A pixel table by product and scene, so that a reader of one scene opens only its files."""
     df.write.partitionBy(*parts).parquet(path)
+
+
+def read_sectioned_text(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, section, key, value, parts) of texts with ``[SECTION]`` headers, ``#`` remarks, ``key: value`` lines and
+    ``a | b | c`` rows. A file is one row at first, as its lines' order matters; such files are small."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    lines = files.withColumn("text", F.btrim("text")).where((F.col("text") != "") & ~F.col("text").startswith("#"))
+    head = F.regexp_extract("text", r"^\[(.*)\]$", 1)
+    order = W.partitionBy("file").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    lines = lines.withColumn("head", F.col("text").rlike(r"^\[.*\]$")).withColumn("section", F.last(F.when(F.col("head"), head), True).over(order)).where("NOT head")
+    row, pair = F.contains("text", F.lit("|")), F.contains("text", F.lit(":"))
+    return lines.select(
+        "file", "line", "section", F.when(pair & ~row, F.btrim(F.regexp_extract("text", "^([^:]*):", 1))).alias("key"), F.when(pair & ~row, F.btrim(F.regexp_extract("text", "^[^:]*:(.*)$", 1))).alias("value"),
+        F.when(row, F.transform(F.split("text", r"\|"), lambda x: F.btrim(x))).alias("parts"),
+    )

@@ -58,3 +58,26 @@ def test_flat_scene_and_missing_model(spark):
     assert pairs.alignment_score(px, ["scene"], "a", "b").first().alignment == 0.8
     one = spark.range(1).select(rules.weighted_confidence(*[F.lit(1.0)] * 4, F.lit(0.0), F.lit(None).cast("double")).alias("p"))
     assert 0.95 < one.first().p <= 0.98
+
+
+def test_sectioned_text(spark, tmp_path):
+    from orbitframe.sources import features
+
+    (tmp_path / "a.txt").write_text("# remark\n\n[META]\nName: one: two\n[CLASSES]\n0: Urban\n 1: Water \n[PATCHES]\np1 | x | 3\n")
+    got = [(r.section, r.key, r.value, r.parts) for r in features.read_sectioned_text(spark, str(tmp_path / "a.txt")).orderBy("line").collect()]
+    assert got == [("META", "Name", "one: two", None), ("CLASSES", "0", "Urban", None), ("CLASSES", "1", "Water", None), ("PATCHES", None, None, ["p1", "x", "3"])]
+
+
+def test_polygons_with_holes_and_corners(spark):
+    from orbitframe.operators import polygons
+
+    ring = [(1, r, c) for r in range(5) for c in range(5) if not (1 <= r <= 3 and 1 <= c <= 3)]
+    corner = [(2, 10, 10), (2, 10, 11), (2, 11, 11), (2, 12, 11), (2, 12, 10), (2, 12, 9), (2, 11, 9)]
+    df = spark.createDataFrame(ring + corner + [(3, 20, 20)], "label long, r long, c long")
+    out = polygons.polygonize(df)
+    got = {r.label: [[(p.x, p.y) for p in x] for x in r.rings] for r in out.collect()}
+    assert got[1] == [[(0, 0), (5, 0), (5, 5), (0, 5)], [(1, 1), (1, 4), (4, 4), (4, 1)]]
+    assert set(got) == {1, 2} and sum(polygons.signed_area(x) for x in got[2]) == 7
+    assert {(r.label, r.r, r.c) for r in polygons.rasterize(out).collect()} == set(ring + corner)
+    assert polygons.geometry_matches_mask(out, df.where("label < 3")).count() == 0
+    assert [tuple(r) for r in polygons.geometry_matches_mask(out, df.where("label < 3 AND NOT (label = 2 AND c = 9)")).collect()] == [(2, 0, 2)]
