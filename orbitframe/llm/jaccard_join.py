@@ -8,7 +8,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialize, release_memory, small_batches
@@ -27,6 +27,8 @@ SALTS = 8
 BANDS, ROWS = 10, 3
 #: Partners that a set tries in each of its lists, round by round, before the last round takes all that remain.
 PICKS = (8, 64, 512)
+#: Sets of one component that meet in one task, from each side, and tokens compared at once, where links are counted.
+CROWD, WIDE = 512, 2048
 LAST = np.iinfo(np.int32).max
 
 _rng = np.random.default_rng(5)
@@ -386,9 +388,124 @@ def _verify(percent: int):
     return run
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+def _differences(percent: int):
+    """Each set as its difference from the reference of its component: (comp, key, w, d, room, tokens).
+
+    With r tokens of the reference missing in a set and a added, let d = 100 r + percent a. Two sets S and T that share x
+    tokens of their differences link just when (100 + percent) x >= d(S) + d(T) - room, where room is (100 - percent) times
+    the size of the reference; any set of tokens can be the reference.
+    """
+
+    def run(batches):
+        for batch in batches:
+            comp, key, n, w, tokens, ref = (batch.column(i) for i in range(6))
+            d, room, apart = [], [], []
+            for size, own, of in zip(n.to_pylist(), tokens.to_pylist(), ref.to_pylist(), strict=True):
+                x, y = np.frombuffer(own, "<u8"), np.frombuffer(of, "<u8")
+                both = np.setxor1d(x, y, assume_unique=True)
+                same = (len(x) + len(y) - len(both)) // 2
+                d.append(100 * (len(y) - same) + percent * (size - same))
+                room.append((100 - percent) * len(y))
+                apart.append(both.tobytes())
+            made = [pa.array(d, pa.int64()), pa.array(room, pa.int64()), pa.array(apart, pa.binary())]
+            yield pa.RecordBatch.from_arrays([comp, key, w, *made], names=["comp", "key", "w", "d", "room", "tokens"])
+        release_memory()
+
+    return run
+
+
+def _shared(lists: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many tokens each list of ``left`` shares with each of ``right``."""
+    owner, tokens = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
+    _, where, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    keep = times[where] > 1
+    owner, where = owner[keep], number[where[keep]]
+    order = np.argsort(where, kind="stable")
+    owner, where = owner[order], where[order]
+    found = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(where[-1]) + 1 if len(where) else 0, WIDE):
+        at, to = np.searchsorted(where, [low, low + WIDE])
+        has = np.zeros((len(lists), WIDE), np.float32)
+        has[owner[at:to], where[at:to] - low] = 1
+        found += has[left] @ has[right].T
+    return found.astype(np.int64)
+
+
+def _crowd_links(percent: int):
+    """(key, links): links of the sets of one cell that only their shared differences decide, weighed by rows."""
+
+    def count(grid: np.ndarray, lists: list[np.ndarray]):
+        _, i, j, key, w, d, room, side = grid
+        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        total = d[left][:, None] + d[right] - room[0]
+        link = (total > 0) & ((100 + percent) * _shared(lists, left, right) >= total)
+        link &= left[:, None] != right
+        links = np.zeros(len(key), np.int64)
+        links[left] += link @ w[right]
+        if i[0] != j[0]:
+            links[right] += w[left] @ link
+        return _batch("key links", [pa.int64()] * 2, [key, links])
+
+    def run(batches):
+        grids: list[np.ndarray] = []
+        lists: list[np.ndarray] = []
+        for batch in batches:
+            grid = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(8)])
+            if not grid.shape[1]:
+                continue
+            tokens = [np.frombuffer(x, "<u8") for x in batch.column(8).to_pylist()]
+            cuts = np.flatnonzero(np.r_[True, (grid[:3, 1:] != grid[:3, :-1]).any(axis=0), True])
+            for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+                if grids and (grids[0][:3, 0] != grid[:3, at]).any():
+                    yield count(np.concatenate(grids, axis=1), lists)
+                    grids, lists = [], []
+                grids.append(grid[:, at:to])
+                lists.extend(tokens[at:to])
+        if grids:
+            yield count(np.concatenate(grids, axis=1), lists)
+        release_memory()
+
+    return run
+
+
+def _count_links(ready: DataFrame, known: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(key, links): with how many rows of other classes the rows of a class link.
+
+    All links lie inside components. A component's sets derive their answers from those of its least set, the reference:
+    where the differences of two sets from it are small enough together, they link whatever the differences hold, and a
+    running sum over the sizes of differences counts such pairs without forming them. Pairs that the sizes leave open are
+    compared by their differences, in cells of bounded size; no pair is written.
+    """
+    named = known.select("key", F.col("component").alias("comp"))
+    own = ready.select("key", "n", "tokens").join(named, "key").join(classes.select("key", "w"), "key").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    reference = ready.join(named.where("key = comp").select("key"), "key").select(F.col("key").alias("comp"), F.col("tokens").alias("ref"))
+    reference = reference.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    apart = own.join(reference, ["comp", "salt"]).select("comp", "key", "n", "w", "tokens", "ref")
+    apart = materialize(apart.mapInArrow(_differences(percent), "comp long, key long, w long, d long, room long, tokens binary"), "differences")
+
+    sizes = apart.groupBy("comp", "d", "room").agg(F.sum("w").alias("w"), F.count("*").alias("c"))
+    marks = sizes.select("comp", F.col("d").alias("at"), F.lit(0).alias("asks"), "w", "d")
+    marks = marks.unionByName(sizes.select("comp", (F.col("room") - F.col("d")).alias("at"), F.lit(1).alias("asks"), F.lit(0).cast("long").alias("w"), "d"))
+    near = marks.withColumn("near", F.sum("w").over(Window.partitionBy("comp").orderBy("at", "asks"))).where("asks = 1").select("comp", "d", "near")
+    sure = apart.select("comp", "key", "w", "d", "room").join(near, ["comp", "d"])
+    sure = sure.select("key", (F.col("near") - F.when(2 * F.col("d") <= F.col("room"), F.col("w")).otherwise(0)).alias("links"))
+
+    most = sizes.withColumn("most", F.max("d").over(Window.partitionBy("comp"))).where("d + most > room")
+    crowds = most.groupBy("comp").agg(F.first("most").alias("most"), F.sum("c").alias("c")).where("c > 1")
+    crowds = crowds.select("comp", "most", F.ceil(F.col("c") / CROWD).alias("t")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    left = apart.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS))).join(crowds, ["comp", "salt"]).where("d + most > room")
+    left = left.withColumn("side", F.pmod(F.xxhash64(F.lit(1), "key"), F.col("t"))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1)))
+    left = left.select("comp", F.least("side", "k").alias("i"), F.greatest("side", "k").alias("j"), "key", "w", "d", "room", "side", "tokens")
+    left = left.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    rest = left.mapInArrow(_crowd_links(percent), "key long, links long")
+    return sure.unionByName(rest).groupBy("key").agg(F.sum("links").alias("links"))
+
+
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, links: bool = False) -> DataFrame:
     """(id, text_hash, n_shingles, component_id, component_key) per row: size of its shingle set, the smallest id reachable
-    by links, and a number that names the component even where ids are null (null for empty sets).
+    by links, and a number that names the component even where ids are null (null for empty sets). With ``links`` also
+    n_links: with how many other rows it links, rows of equal sets included.
 
     Sets link when their Jaccard similarity is at least ``percent`` / 100. Classes of equal sets have 128-bit names; shingles
     are 64-bit hashes, so a link is wrong only if two shingles of one pair of texts collide.
@@ -400,7 +517,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prefix token has a list of its classes by size; lists skip by size and position and leave out pairs known to be
     connected, and long lists are split into cells of bounded size. A few rounds try some partners of each class, so that
     near copies without a common representative join; the last takes all pairs that remain. Every pair is verified.
-    5. Connected components run over the links.
+    5. Connected components run over the links. 6. With ``links``, the links inside each component are counted
+    (see ``_count_links``), those of pairs never compared before included.
 
     A very frequent token never meets the others of its value in one task for counting (see ``COMMON_TIMES``). Null or blank
     texts have empty sets and are alone. Rows with null id belong to their class but name no component. Rows that repeat
@@ -410,14 +528,14 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark)
     told = materialize(describe(docs, id_col, text_col, width), "sets")
     sets = told.where("n >= 0").select("id", "text_hash", "n", "key", "other")
-    classes = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.min("other").alias("lo"), F.max("other").alias("hi"))
+    classes = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("w"), F.min("other").alias("lo"), F.max("other").alias("hi"))
     classes = materialize(classes, "classes")
     # different sets with one name: about one in 2^64 pairs, so a few at most; they take their other hash for a name
     renamed = frozenset(r["key"] for r in classes.where("lo <> hi").select("key").collect())
     if renamed:
         sets = sets.withColumn("key", F.when(F.col("key").isin(*renamed), F.col("other")).otherwise(F.col("key")))
-        classes = materialize(sets.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")
-    classes = classes.select("key", "rep", "n")
+        classes = materialize(sets.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("w")), "classes")
+    classes = classes.select("key", "rep", "n", "w")
     total, tokens = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     pairs = told.where("often IS NOT NULL").select(F.explode(F.arrays_zip("often", "times")).alias("x"))
     common = pairs.groupBy("x.often").agg(F.sum("x.times").alias("times")).where(F.col("times") >= max(64, min(COMMON_TIMES, int(COMMON * total))))
@@ -437,12 +555,12 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = ready.select("key", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a < z").select("band", "a")
     alike = materialize(banded.join(heads, "band").where("key > a").select("a", F.col("key").alias("b")).distinct(), "alike")
-    links = verified(alike.groupBy("b").agg(F.min("a").alias("a")))
-    known = components(links)
+    found = verified(alike.groupBy("b").agg(F.min("a").alias("a")))
+    known = components(found)
     side = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     other = alike.join(side("a"), "a", "left").join(side("b"), "b", "left").where("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b")
-    links = links.unionByName(verified(other))
-    known, lists = materialize(components(links), "known"), None
+    found = found.unionByName(verified(other))
+    known, lists = materialize(components(found), "known"), None
     for picks in (*PICKS, None):
         named = known.select(F.col("node").alias("key"), "component")
         if lists is None:
@@ -461,10 +579,17 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             known = materialize(components(found.unionByName(known.select(F.col("node").alias("u"), F.col("component").alias("v")))), "known")
     known = known.withColumnRenamed("node", "key")
     least = known.join(classes, "key").groupBy("component").agg(F.min("rep").alias("least"))
-    names = classes.join(known.join(least, "component").select("key", "component", "least"), "key", "left").select("key", F.coalesce("least", "rep").alias("least"), F.coalesce("component", "key").alias("component"))
+    names = classes.join(known.join(least, "component").select("key", "component", "least"), "key", "left")
+    if links:
+        names = names.join(_count_links(ready, known, classes, percent), "key", "left")
+    else:
+        names = names.withColumn("links", F.lit(0))
+    names = names.select("key", F.coalesce("least", "rep").alias("least"), F.coalesce("component", "key").alias("component"), (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     out = sets.join(names, "key", "left")
-    return out.select(F.col("id").alias(id_col), "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"), F.col("component").alias("component_key"))
+    alone = F.col("key").isNull()
+    columns = [F.col("id").alias(id_col), "text_hash", F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("least")).alias("component_id"), F.col("component").alias("component_key")]
+    return out.select(*columns, *([F.when(alone, 0).otherwise(F.col("links")).cast("long").alias("n_links")] if links else []))
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    return link_components(docs).drop("text_hash", "component_key")
+    return link_components(docs, links=True).drop("text_hash", "component_key")

@@ -173,7 +173,8 @@ def test_quality_of_another_column(spark):
 
 # 5 ------------------------------------------------------------------------------------------------------------------
 def brute_components(docs):
-    sets = {}
+    """Per id: set size, component, number of links."""
+    sets, links = {}, Counter()
     for i, text in docs:
         low = (text or "").translate({k: k + 32 for k in range(65, 91)})
         w = re.findall(r"[^\x20\x09-\x0D]+", low)
@@ -194,12 +195,18 @@ def brute_components(docs):
             if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
                 a, b = sorted((root(i), root(j)))
                 up[b] = a
-    return {i: (len(s), root(i)) for i, s in sets.items()}
+                links.update((i, j))
+    return {i: (len(s), root(i), links[i]) for i, s in sets.items()}
+
+
+def linked(docs):
+    found = jaccard_join.link_components(docs, links=True)
+    return {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in found.collect()}
 
 
 def test_jaccard_join_matches_brute_force(spark):
     docs = rows(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.op5(docs).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.op5(docs).collect()}
     assert got == brute_components([tuple(r) for r in docs.collect()])
 
 
@@ -219,12 +226,14 @@ def test_jaccard_join_on_hot_groups(spark, monkeypatch):
     docs += [(400, "a b"), (401, "A B"), (402, None), (403, " "), (404, "a b c d e"), (405, "A b c d E")]
     monkeypatch.setattr(jaccard_join, "COMMON", 0.3)
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "CROWD", 16)
+    monkeypatch.setattr(jaccard_join, "WIDE", 32)
     monkeypatch.setattr(jaccard_join, "COMMON_TOKENS", 20)
     monkeypatch.setattr(jaccard_join, "BUCKET_TOKENS", 2000)
     monkeypatch.setattr(jaccard_join, "TOKENS", 500)
     monkeypatch.setattr(jaccard_join, "BYTES", 700)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_components(df).collect()}
+    got = linked(df)
     assert got == brute_components(docs)
 
 
@@ -242,9 +251,9 @@ def test_jaccard_join_copies_with_a_common_passage(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TOKENS", 500)
     monkeypatch.setattr(jaccard_join, "BYTES", 700)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(9)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_components(df).collect()}
+    got = linked(df)
     want = brute_components(docs)
-    assert len({c for _, c in want.values()}) > 60 and got == want
+    assert len({c for _, c, _ in want.values()}) > 60 and got == want
 
 
 def test_jaccard_join_tells_sets_of_one_name_apart(spark, monkeypatch):
@@ -261,16 +270,16 @@ def test_jaccard_join_tells_sets_of_one_name_apart(spark, monkeypatch):
 
     cloudpickle.register_pickle_by_value(jaccard_join)
     try:
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_components(df).collect()}
+        got = linked(df)
     finally:
         cloudpickle.unregister_pickle_by_value(jaccard_join)
     assert got == brute_components(docs)
 
 
 def test_jaccard_join_edges(odd, none):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_components(odd).collect()}
-    assert got[1] == (0, 1) and got[3] == (0, 3) and got[4] == (29_996, 4) and got[6] == (2, 6) and got[None] == (2, 6)
-    assert jaccard_join.link_components(none).count() == 0
+    got = linked(odd)
+    assert got[1] == (0, 1, 0) and got[3] == (0, 3, 0) and got[4][:2] == (29_996, 4) and got[6] == got[None] and got[6][:2] == (2, 6) and got[6][2] > 0
+    assert jaccard_join.link_components(none, links=True).count() == 0
 
 
 # 6 ------------------------------------------------------------------------------------------------------------------

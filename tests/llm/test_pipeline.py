@@ -28,7 +28,7 @@ def test_stages(spark, sf):
             kept = {r[0]: "\n".join(x for x in r[1].split("\n") if not ((k := line_dedup._key(x.encode(), 40)) and seen[k] >= 5 and last[k] != r[0])) for r in before}
             assert {r[0]: r[1] for r in after} == kept and all(r[4] == len(r[1]) for r in after)
         elif name == "near_copies":
-            assert ids == {c for _, c in brute_components([r[:2] for r in before]).values()}
+            assert ids == {c for _, c, _ in brute_components([r[:2] for r in before]).values()}
         elif name == "mixture":
             copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
             assert Counter(r[0] for r in after) == Counter({i: c for i, c in copies.items() if c})
