@@ -1,6 +1,6 @@
 """Every query with its SQL twin; importing the package registers them all."""
 
 from . import registry
-from . import analysis, decisions, grids  # noqa: I001  register on top of it
+from . import analysis, changes, decisions, grids  # noqa: I001  register on top of it
 
-__all__ = ["analysis", "decisions", "grids", "registry"]
+__all__ = ["analysis", "changes", "decisions", "grids", "registry"]
