@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import aggregates as A
 from . import focal as N
 from .pairs import radiometric_normalization
+from .regions import _written
 from .tiles import rank_tiles
 
 
@@ -27,7 +28,7 @@ def change_baseline(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     grid = N.Grid(scene=tuple(by))
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, "r", "c", F.col(a).alias("__a"), F.col(b).alias("__b"))
     both = N.ssim(radiometric_normalization(both, by, "__a", "__b", "__moved"), "__a", "__moved", "__s", grid=grid)
-    both = both.select(*by, "r", "c", (0.55 * F.abs(F.col("__a") - F.col("__moved")) + 0.45 * F.col("__s")).alias("p"))
+    both = _written(both.select(*by, "r", "c", (0.55 * F.abs(F.col("__a") - F.col("__moved")) + 0.45 * F.col("__s")).alias("p")))
     bins = F.floor(F.least(F.col("p"), F.lit(1.0)) * 256)
     flat = both.groupBy(*by).agg((F.min(bins) == F.max(bins)).alias("__flat"))
     cut = A.with_group(A.otsu(both, by, F.col("p"), clip=(0.0, 1.0)), flat, by)
@@ -38,15 +39,18 @@ def change_baseline(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
 
 def change_radiometric(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """(by, r, c, d, changed): differences on one stretch of both dates (2nd to 98th percentile, else least to most) against a
-    robust threshold, without lone cells."""
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, "r", "c", F.col(a).alias("__a"), F.col(b).alias("__b"))
+    robust threshold, without lone cells.
+
+    Percentiles read their input several times, so both grids of values are written to the shared folder.
+    """
+    both = _written(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, "r", "c", F.col(a).alias("__a"), F.col(b).alias("__b")))
     values = both.select(*by, F.explode(F.array("__a", "__b")).alias("__v"))
     ends = A.with_group(A.exact_percentiles(values, by, F.col("__v"), {"__lo": 0.02, "__hi": 0.98}), values.groupBy(*by).agg(F.min("__v").alias("__least"), F.max("__v").alias("__most")), by)
     wide = F.col("__hi") > F.col("__lo")
     ends = ends.select(*by, F.when(wide, F.col("__lo")).otherwise(F.col("__least")).alias("__lo"), F.when(wide, F.col("__hi")).otherwise(F.col("__most")).alias("__hi"))
     unit = lambda x: F.when(F.col("__hi") > F.col("__lo"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(F.col(x) - F.col("__lo"), F.col("__hi") - F.col("__lo"))))).otherwise(0.0)
     both = A.with_group(both, ends, by).withColumns({"__a": unit("__a"), "__b": unit("__b")}).drop("__lo", "__hi")
-    both = radiometric_normalization(both, by, "__a", "__b", "__moved").select(*by, "r", "c", F.abs(F.col("__a") - F.col("__moved")).alias("d"))
+    both = _written(radiometric_normalization(both, by, "__a", "__b", "__moved").select(*by, "r", "c", F.abs(F.col("__a") - F.col("__moved")).alias("d")))
     limit = A.robust_threshold(both, by, F.col("d")).select(*by, "threshold")
     marked = A.with_group(both, limit, by).withColumn("__m", F.col("d") > F.col("threshold"))
     return N.denoise(marked, "__m", "changed", grid=N.Grid(scene=tuple(by))).select(*by, "r", "c", "d", "changed")
