@@ -6,11 +6,14 @@ from .common import table
 from .jaccard_join import op5
 from .langid import op6
 from .line_dedup import op1
+from .merkle import op13
 from .mixing import op10
 from .packing import op7
+from .periodic_runs import op11
 from .permutation_index import op8
 from .quality import op4
 from .secrets import op9
+from .token_files import op12
 from .url_filter import op3
 from .warc import op2
 
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_permutation_index": lambda spark, d: op8(table(spark, d, "embeddings")),
     "op9_secret_scan": lambda spark, d: op9(table(spark, d, "documents")),
     "op10_mixing": lambda spark, d: op10(table(spark, d, "documents")),
+    "op11_periodic_runs": lambda spark, d: op11(table(spark, d, "documents")),
+    "op12_token_files": lambda spark, d: op12(table(spark, d, "documents")),
+    "op13_merkle_manifest": lambda spark, d: op13(table(spark, d, "documents")),
 }
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -39,6 +45,35 @@ def _case(result: str) -> str:
     return "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{result.format(rule=h + p, action=a)}'" for h, p, a in _RULES) + " END"
 
 
+def _climb(made: str, depth: int) -> str:
+    """Tables made0 .. of nodes (g, i, h, c) by level, from made0 on, and of their runs: maderun0 .. (g, j, a)."""
+    return ", ".join(
+        f"""{made}run{k} AS (SELECT g, i // 16 AS j, list(h ORDER BY i) AS a, (any_value(c) + 15) // 16 AS c FROM {made}{k} WHERE c > 1 GROUP BY g, i // 16),
+        {made}{k + 1} AS (SELECT g, j AS i, sha256(array_to_string(a, '')) AS h, c FROM {made}run{k} UNION ALL SELECT * FROM {made}{k} WHERE c = 1)"""
+        for k in range(depth)
+    )
+
+
+def _fold(table: str, made: str, place: str, depth: int) -> str:
+    """Tables table1 .. from table0 on (x: the digest so far, p: the proof so far), a level each."""
+    return ", ".join(
+        f"""{table}{k + 1} AS (SELECT f.* EXCLUDE (x, p, q), CASE WHEN a IS NULL THEN x ELSE sha256(array_to_string(a[1:q], '') || x || array_to_string(a[q + 2:], '')) END AS x,
+            CASE WHEN a IS NULL THEN p ELSE p || array_to_string(a[1:q], '') || array_to_string(a[q + 2:], '') END AS p
+        FROM (SELECT *, {place} // {16**k} % 16 AS q FROM {table}{k}) f LEFT JOIN {made}run{k} r ON f.{made}_g = r.g AND f.{place} // {16 ** (k + 1)} = r.j)"""
+        for k in range(depth)
+    )
+
+
+#: CRC-32 of the decimal digits of doc_id, bit by bit: -1 in the list stands for one shift.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+    lambda x: list_concat([ascii(x)::BIGINT], [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))),
+    lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+_FIELDS = ("doc_id", "source", "lang", "n_chars")
+_field = lambda x: f"coalesce(strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR, '-')"
+_leaf = lambda text: "sha256(" + " || ".join(map(_field, (*_FIELDS, text))) + ")"
+#: Levels that the SQL climbs: 16^6 documents a source, 16^4 sources.
+_DEEP, _WIDE = 6, 4
+
 ORACLE_SQL = {
     "op1_line_dedup": f"""
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
@@ -84,4 +119,16 @@ ORACLE_SQL = {
                 OR 20 * len(list_distinct(ws)) < n_words
                 OR 10 * len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^[ \t]*[-•*]'))) > 9 * len(string_split(t, chr(10)))) AS kept
         FROM f""",
+    "op13_merkle_manifest": f"""
+        WITH b AS (SELECT doc_id, coalesce('s' || source, '') AS s_g, {_leaf("text")} AS leaf,
+            CASE WHEN {_CRC} % 5 = 0 THEN {_leaf(f"translate(text, {_LOWER})")} END AS told FROM documents),
+        f0 AS (SELECT *, row_number() OVER (PARTITION BY s_g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, coalesce(told, leaf) AS x, '' AS p FROM b),
+        s0 AS (SELECT s_g AS g, i, leaf AS h, count(*) OVER (PARTITION BY s_g) AS c FROM f0),
+        {_climb("s", _DEEP)},
+        {_fold("f", "s", "i", _DEEP)},
+        t0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g) - 1 AS i, h, count(*) OVER () AS c FROM s{_DEEP}),
+        {_climb("t", _WIDE)},
+        e0 AS (SELECT f.*, 0 AS t_g, row_number, h AS subroot FROM f{_DEEP} f JOIN (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS row_number FROM s{_DEEP}) o ON s_g = o.g),
+        {_fold("e", "t", "row_number", _WIDE)}
+        SELECT doc_id, leaf, subroot, h AS root, sha256(p) AS proof_sha256, x AS folded_root, x = h AS verified FROM e{_WIDE}, t{_WIDE}""",
 }
