@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .grids import on_halo_tiles
+
 
 class Grid:
     """Names of a pixel table's keys: scene columns, row and column."""
@@ -138,11 +141,28 @@ def adjacency_zone(df: DataFrame, mask: str, out: str, n: int = 1, grid: Grid =
     return dilate(df, mask, "__z", n, grid=grid).withColumn(out, F.col("__z") & ~F.col(mask)).drop("__z")
 
 
-def median_filter(df: DataFrame, value: str, k: int, out: str, grid: Grid = GRID) -> DataFrame:
-    """Median of the k x k cells there are: every cell is sent to its window's centres, k * k rows each."""
-    h = k // 2
-    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-h, h + 1) for dx in range(-h, h + 1)])
+def window_median(grid: np.ndarray, k: int) -> np.ndarray:
+    """Median of the k x k cells around each inner cell of a padded grid, of those that are not NaN; NaN where none is."""
+    sides = np.lib.stride_tricks.sliding_window_view(grid, (k, k))
+    out = np.empty(sides.shape[:2])
+    for i in range(len(out)):  # a row of windows at a time bounds the copy
+        row = np.sort(sides[i].reshape(out.shape[1], -1), axis=1)  # NaN last
+        n = (~np.isnan(row)).sum(axis=1)
+        at = np.arange(len(row))
+        out[i] = (row[at, np.maximum(n - 1, 0) // 2] + row[at, np.minimum(n // 2, k * k - 1)]) / 2
+        out[i, n == 0] = np.nan
+    return out
+
+
+def median_filter(df: DataFrame, value: str, k: int, out: str, grid: Grid = GRID, tile: int = 256) -> DataFrame:
+    """df with the median of the k x k cells there are; missing and NULL cells have no weight.
+
+    Each tile is filtered with the cells of a halo around it: one shuffle of (1 + (k - 1) / tile)^2 rows a cell.
+    """
+    if k % 2 == 0:
+        raise ValueError("a window has a middle")
     keys = [*grid.scene, grid.row, grid.col]
-    sent = df.select(*grid.scene, grid.row, grid.col, F.col(value).alias("__v"), F.explode(offsets).alias("__o"))
-    sent = sent.withColumn(grid.row, (F.col(grid.row) + F.col("__o.dy")).cast(df.schema[grid.row].dataType)).withColumn(grid.col, (F.col(grid.col) + F.col("__o.dx")).cast(df.schema[grid.col].dataType))
-    return df.join(sent.groupBy(*keys).agg(F.median("__v").alias(out)), keys)
+    cells = df.select(*grid.scene, F.col(grid.row).cast("long").alias("r"), F.col(grid.col).cast("long").alias("c"), F.col(value).alias("__v"))
+    made = on_halo_tiles(cells, "__v", max(tile, k // 2), k // 2, lambda g: window_median(g, k), tuple(grid.scene), out)
+    typed = made.select(*grid.scene, F.col("r").cast(df.schema[grid.row].dataType).alias(grid.row), F.col("c").cast(df.schema[grid.col].dataType).alias(grid.col), out)
+    return df.join(typed, keys)

@@ -175,31 +175,36 @@ def score_tiles(tiles: DataFrame, key: list[str], values: str, predict: Callable
     return tiles.select(*key, values).mapInArrow(run, f"{kept}, scores array<double>")
 
 
-def on_halo_tiles(px: DataFrame, value: str, tile: int, halo: int, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(r, c, value) after ``fn`` on each tile with ``halo`` cells around it; cells that don't exist are NaN.
+def on_halo_tiles(px: DataFrame, value: str, tile: int, halo: int, fn: Callable[[np.ndarray], np.ndarray], by: tuple[str, ...] = (), out: str | None = None) -> DataFrame:
+    """(by, r, c, out) after ``fn`` on each tile with ``halo`` cells around it; cells that don't exist, or are null, are NaN.
 
-    A cell is sent to the tiles whose halo it lies in, at most nine where the halo is no wider than a tile.
+    A cell is sent to the tiles whose halo it lies in, at most nine where the halo is no wider than a tile. NaN results
+    are null.
     """
     if halo > tile:
         raise ValueError("the halo is wider than a tile")
+    by, out = list(by), out or value
     near = lambda x: F.array_distinct(F.transform(F.array(F.lit(-halo), F.lit(0), F.lit(halo)), lambda d: F.floor((F.col(x) + d) / tile)))
-    sent = px.select("r", "c", F.col(value).cast("double").alias("v")).withColumn("ty", F.explode(near("r"))).withColumn("tx", F.explode(near("c")))
+    sent = px.select(*by, "r", "c", F.col(value).cast("double").alias("v")).withColumn("ty", F.explode(near("r"))).withColumn("tx", F.explode(near("c")))
+    kinds = [f"`{k}` {px.schema[k].dataType.simpleString()}" for k in by]
 
     def run(key, table):
-        ty, tx = key[0].as_py(), key[1].as_py()
+        *scene, ty, tx = (k.as_py() for k in key)
         r, c = (table.column(n).to_numpy() - t * tile + halo for n, t in (("r", ty), ("c", tx)))
         grid = np.full((tile + 2 * halo,) * 2, np.nan)
-        grid[r, c] = table.column("v").to_numpy()
-        out = np.asarray(fn(grid), np.float64)
-        if out.shape not in (grid.shape, (tile, tile)):
+        grid[r, c] = table.column("v").to_numpy(zero_copy_only=False)
+        made = np.asarray(fn(grid), np.float64)
+        if made.shape not in (grid.shape, (tile, tile)):
             raise ValueError("a tile function gave another shape")
-        out = out[halo : halo + tile, halo : halo + tile] if out.shape == grid.shape else out
+        made = made[halo : halo + tile, halo : halo + tile] if made.shape == grid.shape else made
         own = (r >= halo) & (r < halo + tile) & (c >= halo) & (c < halo + tile)
         r, c = r[own] - halo, c[own] - halo
-        return pa.table({"r": pa.array(r + ty * tile, pa.int64()), "c": pa.array(c + tx * tile, pa.int64()), value: out[r, c]})
+        cells = {"r": pa.array(r + ty * tile, pa.int64()), "c": pa.array(c + tx * tile, pa.int64()), out: pa.array(made[r, c], from_pandas=True)}
+        names = {k: pa.array([v] * len(r), table.schema.field(k).type) for k, v in zip(by, scene, strict=True)}
+        return pa.table(names | cells)
 
-    cells = sent.select(F.col("ty").cast("long").alias("ty"), F.col("tx").cast("long").alias("tx"), F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "v")
-    return cells.groupBy("ty", "tx").applyInArrow(run, f"r long, c long, `{value}` double")
+    cells = sent.select(*by, F.col("ty").cast("long").alias("ty"), F.col("tx").cast("long").alias("tx"), F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "v")
+    return cells.groupBy(*by, "ty", "tx").applyInArrow(run, ", ".join([*kinds, "r long", "c long", f"`{out}` double"]))
 
 
 def region_fn(cells: DataFrame, key: str, fn, schema: str) -> DataFrame:
@@ -207,10 +212,35 @@ def region_fn(cells: DataFrame, key: str, fn, schema: str) -> DataFrame:
     return cells.groupBy(key).applyInPandas(fn, schema)
 
 
+def nearest_squares(at: np.ndarray, known: np.ndarray, height: np.ndarray) -> np.ndarray:
+    """For each of the ascending places at, the least (at - known)^2 + height^2 over the ascending known places.
+
+    The parabolas' lower envelope in its matrix form: the best known place never moves back as at grows, so every solved
+    place bounds the search of those beside it. Halving the gaps between solved places takes log2(n) numpy passes over at
+    most n + m candidates each; no pairs are formed.
+    """
+    n, best, square = len(at), np.empty(len(at), np.int64), height.astype(np.int64) ** 2
+    found, gap = np.empty(n, np.int64), 1 << max(0, n - 1).bit_length()
+    while gap:
+        i = np.arange(gap - 1, n, 2 * gap)
+        lo = np.where(i >= gap, best[np.maximum(i - gap, 0)], 0)
+        hi = np.where(i + gap < n, best[np.minimum(i + gap, n - 1)], len(known) - 1)
+        many = hi - lo + 1
+        start = np.cumsum(many) - many
+        k = np.repeat(lo - start, many) + np.arange(many.sum())
+        value = (np.repeat(at[i], many) - known[k]) ** 2 + square[k]
+        least = np.minimum.reduceat(value, start) if len(i) else value
+        first = np.flatnonzero(value == np.repeat(least, many))
+        best[i], found[i] = k[first[np.searchsorted(first, start)]], least
+        gap //= 2
+    return found
+
+
 def distance_to_background(px: DataFrame, by: list[str], mask: Column) -> DataFrame:
     """(by, r, c, distance): the exact distance of each mask cell to the nearest other cell; null where there is none.
 
-    The nearest background up and down a column comes from windows; then a row, whose width is the scene's, is one task's.
+    The nearest background up and down a column comes from windows; then a row, whose width is the scene's, is one task's,
+    in time that grows with its width (``nearest_squares``).
     """
     df = px.select(*by, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.coalesce(mask, F.lit(False)).alias("m"))
     line = W.partitionBy(*by, "c").orderBy("r")
@@ -221,49 +251,50 @@ def distance_to_background(px: DataFrame, by: list[str], mask: Column) -> DataFr
     names = [*by, "r", "c", "distance"]
 
     def run(table):
-        c, g, m = (table.column(n).to_numpy(zero_copy_only=False).astype(float) for n in ("c", "g", "m"))
-        inside = m > 0
+        table = table.sort_by("c")
+        c, m = table.column("c").to_numpy(), table.column("m").to_numpy(zero_copy_only=False).astype(bool)
+        g = table.column("g").cast(pa.float64()).to_numpy(zero_copy_only=False)
         known = ~np.isnan(g)
-        found = np.full(int(inside.sum()), np.nan)
-        if known.any():
-            at = c[inside]
-            for i in range(0, len(at), 1024):
-                found[i : i + 1024] = np.sqrt(((at[i : i + 1024, None] - c[known]) ** 2 + g[known] ** 2).min(axis=1))
-        out = table.filter(pa.array(inside)).select([*by, "r", "c"]).append_column("distance", pa.array(found, from_pandas=True))
+        found = np.full(int(m.sum()), np.nan)
+        if known.any() and m.any():
+            found = np.sqrt(nearest_squares(c[m], c[known], g[known]))
+        out = table.filter(pa.array(m)).select([*by, "r", "c"]).append_column("distance", pa.array(found, from_pandas=True))
         return out.rename_columns(names)
 
     kept = "".join(f"`{k}` {px.schema[k].dataType.simpleString()}, " for k in by)
     return df.select(*by, "r", "c", "g", "m").groupBy(*by, "r").applyInArrow(run, f"{kept}r long, c long, distance double")
 
 
-def fill_holes(px: DataFrame, mask: Column, width: int, most: int = 150, tile: int = 256) -> DataFrame:
-    """(r, c, is_mask): regions outside the mask of at most ``most`` cells join it."""
-    df = px.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.coalesce(mask, F.lit(False)).alias("m"))
-    labels = label_components(df.where("NOT m").select("r", "c"), width, tile=tile)
-    small = labels.groupBy("label").count().where(F.col("count") <= most).select("label")
-    holes = labels.join(small, "label", "left_semi").select("r", "c", F.lit(True).alias("hole"))
-    return df.join(holes, ["r", "c"], "left").select("r", "c", (F.col("m") | F.coalesce("hole", F.lit(False))).alias("is_mask"))
-
-
-def border_padding(px: DataFrame, black: Column, height: int, width: int, tile: int = 256) -> DataFrame:
-    """(r, c, is_valid): exact-black regions that touch the scene's edge are padding; black cells inside stay valid."""
-    df = px.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.coalesce(black, F.lit(False)).alias("m"))
-    labels = label_components(df.where("m").select("r", "c"), width, tile=tile)
-    rim = labels.where((F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == height - 1) | (F.col("c") == width - 1)).select("label").distinct()
-    out = labels.join(rim, "label", "left_semi").select("r", "c", F.lit(True).alias("pad"))
-    return df.join(out, ["r", "c"], "left").select("r", "c", F.col("pad").isNull().alias("is_valid"))
-
-
-def region_shape(labels: DataFrame) -> DataFrame:
-    """(label, pixels, perimeter, elongation, compactness): perimeter counts cells with a side neighbour outside the region."""
-    steps = [(0, 1), (1, 0), (0, -1), (-1, 0)]
-    sent = labels.select("label", F.explode(F.array(*[F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c")) for a, b in steps])).alias("x")).select("label", "x.r", "x.c")
-    inner = sent.groupBy("label", "r", "c").count().where("count = 4").select("label", "r", "c", F.lit(1).alias("inner"))
-    df = labels.join(inner, ["label", "r", "c"], "left").groupBy("label").agg(
+def fill_holes(px: DataFrame, mask: Column, width: int, most: int = 150, tile: int = 256, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, r, c, is_mask): regions outside the mask of at most ``most`` cells join it."""
+    cell, key = [*by, "r", "c"], [*by, "label"]
+    df = px.select(*by, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.coalesce(mask, F.lit(False)).alias("m"))
+    labels = label_components(df.where("NOT m").select(*cell), width, tile=tile, by=by)
+    small = labels.groupBy(*key).count().where(F.col("count") <= most).select(*key)
+    holes = labels.join(small, key, "left_semi").select(*cell, F.lit(True).alias("hole"))
+    return df.join(holes, cell, "left").select(*cell, (F.col("m") | F.coalesce("hole", F.lit(False))).alias("is_mask"))
+
+
+def border_padding(px: DataFrame, black: Column, height: int, width: int, tile: int = 256, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, r, c, is_valid): exact-black regions that touch the scene's edge are padding; black cells inside stay valid."""
+    cell, key = [*by, "r", "c"], [*by, "label"]
+    df = px.select(*by, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.coalesce(black, F.lit(False)).alias("m"))
+    labels = label_components(df.where("m").select(*cell), width, tile=tile, by=by)
+    rim = labels.where((F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == height - 1) | (F.col("c") == width - 1)).select(*key).distinct()
+    out = labels.join(rim, key, "left_semi").select(*cell, F.lit(True).alias("pad"))
+    return df.join(out, cell, "left").select(*cell, F.col("pad").isNull().alias("is_valid"))
+
+
+def region_shape(labels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, label, pixels, perimeter, elongation, compactness): perimeter counts cells with a side neighbour outside the region."""
+    steps, key = [(0, 1), (1, 0), (0, -1), (-1, 0)], [*by, "label"]
+    sent = labels.select(*key, F.explode(F.array(*[F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c")) for a, b in steps])).alias("x")).select(*key, "x.r", "x.c")
+    inner = sent.groupBy(*key, "r", "c").count().where("count = 4").select(*key, "r", "c", F.lit(1).alias("inner"))
+    df = labels.join(inner, [*key, "r", "c"], "left").groupBy(*key).agg(
         F.count("*").alias("pixels"), F.count_if(F.col("inner").isNull()).alias("perimeter"), (F.max("r") - F.min("r") + 1).alias("h"), (F.max("c") - F.min("c") + 1).alias("w")
     )
     long, short = F.greatest("h", "w"), F.least("h", "w")
-    return df.select("label", "pixels", "perimeter", (long / short).alias("elongation"), (4 * np.pi * F.col("pixels") / F.col("perimeter") ** 2).alias("compactness"))
+    return df.select(*key, "pixels", "perimeter", (long / short).alias("elongation"), (4 * np.pi * F.col("pixels") / F.col("perimeter") ** 2).alias("compactness"))
 
 
 def mask_join(px: DataFrame, mask: DataFrame, by: list[str], value: str) -> tuple[DataFrame, DataFrame]:

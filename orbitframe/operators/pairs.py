@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,12 +57,55 @@ def _averaged(df: DataFrame, by: list[str], a: str, b: str, factor: int) -> Data
     return df.groupBy(*by, square("r"), square("c")).agg(F.avg(a).alias("__a"), F.avg(b).alias("__b"))
 
 
+def shift_scores(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Correlation of a[r, c] with b[r + dy, c + dx] for all shifts of up to ``most``, NaN cells left out, as one square.
+
+    Six cross-correlations by Fourier transform give the number of common cells and their sums for every shift at once.
+    NaN where fewer than two cells meet or either side is flat there.
+    """
+    size = tuple(n + most for n in a.shape)
+    masks = [~np.isnan(x) for x in (a, b)]
+    centred = [np.where(m, x - (x[m].mean() if m.any() else 0), 0) for x, m in zip((a, b), masks, strict=True)]
+    turned = lambda x: np.fft.rfft2(x, size)
+    fa, fb = ([turned(m), turned(x), turned(x * x)] for m, x in zip(masks, centred, strict=True))
+    shifts = np.arange(-most, most + 1)
+    met = lambda x, y: np.fft.irfft2(np.conj(x) * y, size)[np.ix_(shifts, shifts)]
+    n = np.round(met(fa[0], fb[0]))
+    sa, sb, saa, sbb, sab = met(fa[1], fb[0]), met(fa[0], fb[1]), met(fa[2], fb[0]), met(fa[0], fb[2]), met(fa[1], fb[1])
+    va, vb = n * saa - sa * sa, n * sbb - sb * sb
+    flat = (n < 2) | (va <= 1e-12 * n * np.abs(saa)) | (vb <= 1e-12 * n * np.abs(sbb))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(flat, np.nan, (n * sab - sa * sb) / np.sqrt(va * vb))
+
+
+def _all_shifts(grid: DataFrame, by: list[str], most: int) -> DataFrame:
+    """(by, dy, dx, peak) of every shift of up to ``most`` cells; a scene's grid, coarse and so bounded, is one group."""
+
+    def run(table):
+        r, c = (table.column(n).to_numpy() for n in ("r", "c"))
+        r, c = r - r.min(), c - c.min()
+        grids = []
+        for name in ("__a", "__b"):
+            cells = np.full((int(r.max()) + 1, int(c.max()) + 1), np.nan)
+            cells[r, c] = table.column(name).to_numpy(zero_copy_only=False)
+            grids.append(cells)
+        score = shift_scores(*grids, most).ravel()
+        dy, dx = (x.ravel() for x in np.meshgrid(*[np.arange(-most, most + 1)] * 2, indexing="ij"))
+        scene = table.select(by).take(pa.array(np.zeros(len(score), np.int64)))
+        for name, column in (("dy", pa.array(dy)), ("dx", pa.array(dx)), ("peak", pa.array(np.round(score, 9), from_pandas=True))):
+            scene = scene.append_column(name, column)
+        return scene
+
+    kept = "".join(f"`{k}` {grid.schema[k].dataType.simpleString()}, " for k in by)
+    return grid.groupBy(*by).applyInArrow(run, f"{kept}dy long, dx long, peak double")
+
+
 def best_shift(df: DataFrame, by: list[str], a: str, b: str, share: float = 0.2, base: int = 64) -> DataFrame:
     """(by, dy, dx, peak): the displacement of b against a with the largest correlation, the shortest on ties; NULL if flat.
 
     All displacements of up to ``share`` of either side of a scene are searched, coarse to fine: on grids averaged to sides
-    of at most ``base`` cells every one, then, with cells half as large each time, those next to the best. Scenes of up to
-    ``base`` cells a side are searched in full. Each cell of b meets a fixed number of candidates in an equi-join.
+    of at most ``base`` cells every one, by Fourier transform; then, with cells half as large each time, those next to the
+    best, nine candidates a cell in an equi-join. Scenes of up to ``base`` cells a side are searched in full.
     """
     if not by:
         return best_shift(df.withColumn("__scene", F.lit(1)), ["__scene"], a, b, share, base).drop("__scene")
@@ -72,14 +117,12 @@ def best_shift(df: DataFrame, by: list[str], a: str, b: str, share: float = 0.2,
     while True:
         grid = _averaged(df, by, a, b, factor)
         if best is None:
-            most = int(share * min(longest, base * factor) / factor)
-            moves = F.array(*[F.struct(F.lit(y).cast("long").alias("dy"), F.lit(x).cast("long").alias("dx")) for y in range(-most, most + 1) for x in range(-most, most + 1)])
-            moved = grid.where("__b IS NOT NULL").select(*by, "r", "c", "__b", F.explode(moves).alias("__m"))
+            score = _all_shifts(grid, by, int(share * min(longest, base * factor) / factor))
         else:
             near = F.array(*[F.struct((2 * F.col("dy") + y).alias("dy"), (2 * F.col("dx") + x).alias("dx")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
             moved = grid.where("__b IS NOT NULL").join(best, by).select(*by, "r", "c", "__b", F.explode(near).alias("__m"))
-        moved = moved.select(*by, (F.col("r") - F.col("__m.dy")).alias("r"), (F.col("c") - F.col("__m.dx")).alias("c"), "__m.dy", "__m.dx", "__b")
-        score = moved.join(grid.where("__a IS NOT NULL").select(*by, "r", "c", "__a"), [*by, "r", "c"]).groupBy(*by, "dy", "dx").agg(F.round(correlation("__a", "__b"), 9).alias("peak"))
+            moved = moved.select(*by, (F.col("r") - F.col("__m.dy")).alias("r"), (F.col("c") - F.col("__m.dx")).alias("c"), "__m.dy", "__m.dx", "__b")
+            score = moved.join(grid.where("__a IS NOT NULL").select(*by, "r", "c", "__a"), [*by, "r", "c"]).groupBy(*by, "dy", "dx").agg(F.round(correlation("__a", "__b"), 9).alias("peak"))
         fits = (F.abs("dy") * factor <= share * F.col("__h")) & (F.abs("dx") * factor <= share * F.col("__w"))
         order = F.struct(F.col("peak"), (-F.abs("dy") - F.abs("dx")).alias("near"), F.col("dy"), F.col("dx"))
         best = score.join(size, by).where(fits).groupBy(*by).agg(F.max(order).alias("t")).select(*by, "t.dy", "t.dx", "t.peak")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .aggregates import exact_percentiles
+
 
 def _written(df: DataFrame) -> DataFrame:
     """A table in the shared folder, read back: each round's plan stays short and survives lost executors."""
@@ -124,22 +126,48 @@ def label_components(mask: DataFrame, width: int, diagonal: bool = False, tile:
     return local.join(joined, [*by, "part"], "left").select(*by, "r", "c", F.coalesce("label", "part").alias("label"))
 
 
-def filter_small(labels: DataFrame, least: int) -> DataFrame:
-    return labels.join(labels.groupBy("label").count().where(F.col("count") >= least).select("label"), "label", "left_semi")
+def filter_small(labels: DataFrame, least: int, by: tuple[str, ...] = ()) -> DataFrame:
+    key = [*by, "label"]
+    return labels.join(labels.groupBy(*key).count().where(F.col("count") >= least).select(*key), key, "left_semi")
+
 
+def reconstruct(labels: DataFrame, seeds: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """All cells of components that hold a seed (by, r, c)."""
+    cell, key = [*by, "r", "c"], [*by, "label"]
+    return labels.join(labels.join(seeds.select(*cell), cell, "left_semi").select(*key).distinct(), key, "left_semi")
 
-def reconstruct(labels: DataFrame, seeds: DataFrame) -> DataFrame:
-    """All cells of components that hold a seed (r, c)."""
-    return labels.join(labels.join(seeds.select("r", "c"), ["r", "c"], "left_semi").select("label").distinct(), "label", "left_semi")
 
+def region_medians(cells: DataFrame, key: list[str], value: Column, out: str = "median", bins: int = 64) -> DataFrame:
+    """(key, out): the exact median of each region's values, of all regions at once; regions without a value are left out.
 
-def region_stats(labels: DataFrame, value: Column, height: int, width: int) -> DataFrame:
-    """One row per label: pixels, box, centroid, solidity, aspect, statistics of the value, border contact."""
-    out = labels.groupBy("label").agg(
+    Most regions are small: those of at most ``bins`` values are sorted in an array, a bounded one. For the others,
+    histograms narrow down the middle ranks (``exact_percentiles``) and combine before each shuffle, so that no task ever
+    holds the values of a large region.
+    """
+    src = _written(cells.select(*key, value.cast("double").alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x")))
+    sizes = src.groupBy(*key).agg(F.count("*").alias("__n"))
+    large = _written(sizes.where(F.col("__n") > bins).select(*key))
+    lists = src.join(large, key, "left_anti").groupBy(*key).agg(F.sort_array(F.collect_list("__x")).alias("v"))
+    n = F.size("v")
+    middle = (F.element_at("v", (F.floor((n - 1) / 2) + 1).cast("int")) + F.element_at("v", (F.floor(n / 2) + 1).cast("int"))) / 2
+    small = lists.select(*key, middle.alias(out))
+    if large.isEmpty():
+        return small
+    return small.unionByName(exact_percentiles(src.join(large, key, "left_semi"), key, F.col("__x"), {out: 0.5}, cells=bins * bins).select(*key, out))
+
+
+def region_stats(labels: DataFrame, value: Column, height: int, width: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per label: pixels, box, centroid, solidity, aspect, statistics of the value, border contact.
+
+    The median comes from histograms that narrow, of all regions at once, so no task buffers a region's values.
+    """
+    key, df = [*by, "label"], labels.withColumn("__x", value)
+    out = df.groupBy(*key).agg(
         F.count("*").alias("pixels"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"),
-        F.avg("r").alias("centre_r"), F.avg("c").alias("centre_c"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_pop(value).alias("std"),
+        F.avg("r").alias("centre_r"), F.avg("c").alias("centre_c"), F.avg("__x").alias("mean"), F.stddev_pop("__x").alias("std"),
         F.bool_or((F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == height - 1) | (F.col("c") == width - 1)).alias("border"),
     )
+    out = out.join(region_medians(df, key, F.col("__x")), key, "left")
     h, w = F.col("r1") - F.col("r0") + 1, F.col("c1") - F.col("c0") + 1
     return out.withColumn("solidity", F.col("pixels") / (h * w)).withColumn("aspect", F.greatest(h, w) / F.least(h, w))
 
@@ -160,39 +188,48 @@ def keep_relative_to_primary(stats: DataFrame, by: list[str], share: float = 0.0
     return df.where((F.col("__n") == 1) | ok).drop("__n", "__p")
 
 
-def largest_region(labels: DataFrame) -> DataFrame:
-    top = labels.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1).select("label")
-    return labels.join(top, "label", "left_semi")
+def largest_region(labels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The cells of the largest region of each scene, ties to the smaller label."""
+    sizes = labels.groupBy(*by, "label").count()
+    top = sizes.groupBy(*by).agg(F.max(F.struct("count", (-F.col("label")).alias("l"))).alias("t")).select(*by, (-F.col("t.l")).alias("label"))
+    return labels.join(top, [*by, "label"], "left_semi")
 
 
-def compact_ids(labels: DataFrame) -> DataFrame:
-    """Numbers 1..n in the order of the labels. The numbering runs over the regions, not the pixels."""
-    return labels.join(numbered(labels.select("label").distinct(), ["label"], "id"), "label")
+def compact_ids(labels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Numbers 1..n in the order of the labels, in each scene. The numbering runs over the regions, not the pixels."""
+    key = [*by, "label"]
+    names = numbered(labels.select(*key).distinct(), key, "id")
+    if by:
+        names = names.join(names.groupBy(*by).agg((F.min("id") - 1).alias("__less")), list(by)).withColumn("id", F.col("id") - F.col("__less")).drop("__less")
+    return labels.join(names, key)
 
 
-def instance_scores(labels: DataFrame, value: Column) -> DataFrame:
-    return labels.groupBy("label").agg(F.avg(value).alias("score"))
+def instance_scores(labels: DataFrame, value: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    return labels.groupBy(*by, "label").agg(F.avg(value).alias("score"))
 
 
-def exclude_by_overlap(labels: DataFrame, mask: DataFrame, most: float = 0.5, least_rest: int = 1) -> DataFrame:
-    """Drops labels covered by the mask (r, c) to at least a share, or whose rest is too small; trims the others."""
-    df = labels.join(mask.select("r", "c").withColumn("__m", F.lit(1)), ["r", "c"], "left")
-    share = df.groupBy("label").agg(F.count("__m").alias("__in"), F.count("*").alias("__all")).where((F.col("__in") < most * F.col("__all")) & (F.col("__all") - F.col("__in") >= least_rest))
-    return df.where("__m IS NULL").join(share.select("label"), "label", "left_semi").drop("__m")
+def exclude_by_overlap(labels: DataFrame, mask: DataFrame, most: float = 0.5, least_rest: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """Drops labels covered by the mask (by, r, c) to at least a share, or whose rest is too small; trims the others."""
+    cell, key = [*by, "r", "c"], [*by, "label"]
+    df = labels.join(mask.select(*cell).withColumn("__m", F.lit(1)), cell, "left")
+    share = df.groupBy(*key).agg(F.count("__m").alias("__in"), F.count("*").alias("__all")).where((F.col("__in") < most * F.col("__all")) & (F.col("__all") - F.col("__in") >= least_rest))
+    return df.where("__m IS NULL").join(share.select(*key), key, "left_semi").drop("__m")
 
 
-def confirm_by_witness(labels: DataFrame, support: DataFrame, least: int = 25, share: float = 0.6) -> DataFrame:
-    """(label, pixels, supported, confirmed): a component needs pixels and the support (r, c) of a second grid."""
-    df = labels.join(support.select("r", "c").withColumn("__m", F.lit(1)), ["r", "c"], "left")
-    out = df.groupBy("label").agg(F.count("*").alias("pixels"), F.count("__m").alias("supported"))
+def confirm_by_witness(labels: DataFrame, support: DataFrame, least: int = 25, share: float = 0.6, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, label, pixels, supported, confirmed): a component needs pixels and the support (by, r, c) of a second grid."""
+    cell = [*by, "r", "c"]
+    df = labels.join(support.select(*cell).withColumn("__m", F.lit(1)), cell, "left")
+    out = df.groupBy(*by, "label").agg(F.count("*").alias("pixels"), F.count("__m").alias("supported"))
     return out.withColumn("confirmed", (F.col("pixels") >= least) & (F.col("supported") >= share * F.col("pixels")))
 
 
-def representative_point(labels: DataFrame) -> DataFrame:
+def representative_point(labels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Of each label the pixel nearest its centroid, ties to the smaller row and column."""
-    centre = labels.groupBy("label").agg(F.avg("r").alias("__y"), F.avg("c").alias("__x"))
+    key = [*by, "label"]
+    centre = labels.groupBy(*key).agg(F.avg("r").alias("__y"), F.avg("c").alias("__x"))
     d = (F.col("r") - F.col("__y")) ** 2 + (F.col("c") - F.col("__x")) ** 2
-    return labels.join(centre, "label").groupBy("label").agg(F.min(F.struct(F.round(d, 9), "r", "c")).alias("p")).select("label", F.col("p.r").alias("r"), F.col("p.c").alias("c"))
+    return labels.join(centre, key).groupBy(*key).agg(F.min(F.struct(F.round(d, 9), "r", "c")).alias("p")).select(*key, F.col("p.r").alias("r"), F.col("p.c").alias("c"))
 
 
 def multi_part_union(parts: DataFrame, key: str, part: str, area: str) -> DataFrame:
