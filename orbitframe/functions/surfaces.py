@@ -52,11 +52,8 @@ def corrected_water(kind: Column, red: Column, green: Column, blue: Column) -> C
     return F.when(kind != 5, kind).when(soil, 4).when(plant, 2).when(asphalt, 6).otherwise(kind)
 
 
-def land_cover_candidates(ndvi: Column, ndwi: Column, ndbi: Column, red: Column, green: Column, blue: Column, edges: Column, drop: Column) -> Column:
-    """Seven classes by ordered rules: water 1, forest 2, vegetation 3, road 4, built-up 5, farmland 6, bare 7.
-
-    Candidates only: cleaning by opening, closing and denoising is done on the masks (``focal``).
-    """
+def land_cover_conditions(ndvi: Column, ndwi: Column, ndbi: Column, red: Column, green: Column, blue: Column, edges: Column, drop: Column) -> dict[str, Column]:
+    """What makes a cell water, forest, vegetation, road, built-up or farmland, each without regard to the others."""
     light = (red + green + blue) / 3
     shadow = (drop > 0.20) & ((edges > 0.03) | (light < 0.25))
     plant = (2.0 * green - red - blue > 0.03) | ((green > blue * 1.30) & (green > red * 1.05))
@@ -64,10 +61,22 @@ def land_cover_candidates(ndvi: Column, ndwi: Column, ndbi: Column, red: Column,
     grass = (green > red * 1.05) & (green > blue)
     wet = (ndwi >= 0.18) & (ndvi < 0.05) & (blue > red * 1.15) & ~plant & ~dark_soil & ~grass & ~shadow & (light < 0.55) & (edges < 0.10)
     neutral = (F.abs(red - blue) < 0.09) & (F.abs(green - blue) < 0.09) & light.between(0.18, 0.68)
-    built = (ndbi >= 0.06) | (edges > 0.12) | ((light > 0.55) & (ndvi < 0.15))
-    farm = (ndvi >= 0.08) & (ndvi < 0.28) & (red > 0.18)
-    rules = F.when(wet, 1).when(ndvi >= 0.38, 2).when(ndvi >= 0.16, 3).when((ndvi < 0.08) & neutral & (edges > 0.06), 4)
-    return rules.when(built, 5).when(farm, 6).otherwise(7)
+    return {
+        "water": wet, "forest": ndvi >= 0.38, "vegetation": ndvi >= 0.16, "road": (ndvi < 0.08) & neutral & (edges > 0.06),
+        "built": (ndbi >= 0.06) | (edges > 0.12) | ((light > 0.55) & (ndvi < 0.15)), "farm": (ndvi >= 0.08) & (ndvi < 0.28) & (red > 0.18),
+    }
+
+
+def land_cover_candidates(ndvi: Column, ndwi: Column, ndbi: Column, red: Column, green: Column, blue: Column, edges: Column, drop: Column) -> Column:
+    """Seven classes by ordered rules: water 1, forest 2, vegetation 3, road 4, built-up 5, farmland 6, bare 7.
+
+    Candidates only; ``optical.land_cover`` cleans the masks between the rules.
+    """
+    holds = land_cover_conditions(ndvi, ndwi, ndbi, red, green, blue, edges, drop)
+    rules = F.when(holds["water"], 1)
+    for number, name in enumerate(("forest", "vegetation", "road", "built", "farm"), 2):
+        rules = rules.when(holds[name], number)
+    return rules.otherwise(7)
 
 
 def composed_land_cover(valid: Column, water: Column, buildings: Column, vegetation: Column, model: Column, detailed: bool = True) -> Column:

@@ -243,10 +243,10 @@ def distance_to_background(px: DataFrame, by: list[str], mask: Column) -> DataFr
     in time that grows with its width (``nearest_squares``).
     """
     df = px.select(*by, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.coalesce(mask, F.lit(False)).alias("m"))
-    line = W.partitionBy(*by, "c").orderBy("r")
+    column = W.partitionBy(*by, "c")
     back = F.when(~F.col("m"), F.col("r"))
-    up = F.col("r") - F.last(back, True).over(line.rowsBetween(W.unboundedPreceding, 0))
-    down = F.first(back, True).over(line.rowsBetween(0, W.unboundedFollowing)) - F.col("r")
+    run_of = lambda order: F.last(back, True).over(column.orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    up, down = F.col("r") - run_of("r"), run_of(F.desc("r")) - F.col("r")
     df = df.withColumn("g", F.least(up, down))
     names = [*by, "r", "c", "distance"]
 
