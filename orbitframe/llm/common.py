@@ -69,6 +69,16 @@ def word_count(text: Column) -> Column:
     return F.size(trimmed_words(text)).cast("long")
 
 
+def sampled(rows: DataFrame, salt: int, id_col: str, text_col: str, step: Column | int) -> DataFrame:
+    """About one in ``step`` of the rows, by a hash of id and text over the whole table; of rows equal in both, one at most.
+
+    So null ids, or one id in all rows, give a sample like any other, and copies of one row cannot fill it.
+    """
+    step = F.lit(step) if isinstance(step, int) else step
+    picked = rows.withColumn("__of_hash", F.xxhash64(F.lit(salt), id_col, text_col)).where(F.pmod("__of_hash", step) == 0)
+    return picked.dropDuplicates(["__of_hash"]).drop("__of_hash")
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory, small_batches
+from .common import release_memory, sampled, small_batches
 
 BITS = 16
 ORDERS = 3
@@ -83,7 +83,7 @@ def in_fold(id_col: Column, folds: int = 5) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1500, max_langs: int = 500, alpha: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log priors, log probabilities [2^16, languages]) learnt from labelled documents.
 
-    About ``docs_per_lang`` documents of each language are used, chosen by a hash of the id: a bounded sample. Each task
+    About ``docs_per_lang`` documents of each language are used, chosen by a hash of id and text, rows equal in both once: a bounded sample. Each task
     streams its texts into count arrays, so long texts cost no memory. Null labels and null texts teach nothing.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
@@ -95,7 +95,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return [], np.zeros(0), np.zeros((1 << BITS, 0))
     total = {r["lang"]: r["count"] for r in counted}
     step = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(max(1, total[lang] // docs_per_lang)))])
-    sample = known.where(F.pmod(F.xxhash64(F.lit(6), "id"), F.element_at(step, F.col("lang"))) == 0).select("lang", "text")
+    sample = sampled(known, 6, "id", "text", F.element_at(step, F.col("lang"))).select("lang", "text")
 
     def count(batches):
         now, counts = None, None

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, trimmed_words
+from .common import BLANKS, sampled, trimmed_words
 
 #: Characters that count as symbols.
 SYMBOLS = r"[#*$%&|<>]"
@@ -103,7 +103,7 @@ def calibrate(sample: DataFrame, rules: list[Rule]) -> list[tuple[str, float, fl
 def cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 1000, text_col: str = "text", id_col: str = "doc_id", order: list[str] | None = None) -> DataFrame:
     """docs with the base counts, base_failed, kept and rejected_by (the first rule of the cascade that rejects, else null).
 
-    On about ``sample_rows`` rows (chosen by a hash of the id over the whole table) each rule's cost and selectivity are
+    On about ``sample_rows`` rows (chosen by a hash of id and text over the whole table, copies of a row once) each rule's cost and selectivity are
     measured; then all rows run through one CASE expression in the order of rejection per cost, whose later branches are not
     evaluated once one rejects. ``order`` fixes the order instead, without a sample.
 
@@ -116,7 +116,7 @@ def cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int =
     df = base_counts(docs, text_col)
     if order is None and rules:
         step = max(1, docs.count() // sample_rows)
-        picked = base_counts(docs.where(F.pmod(F.xxhash64(F.lit(4), id_col), F.lit(step)) == 0), text_col).persist()
+        picked = base_counts(sampled(docs, 4, id_col, text_col, step), text_col).persist()
         order = [name for name, _, _ in calibrate(picked.where(~base_failed()), rules)]
         picked.unpersist()
     by_name = {r.name: r.fails for r in rules}

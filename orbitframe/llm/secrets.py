@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release_memory, small_batches
+from .common import materialize, release_memory, sampled, small_batches
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 HINTS = ("password", "passwd", "secret", "token", "api")
@@ -216,6 +217,22 @@ class Automaton:
         return self.bits(s) / max(1, len(s))
 
 
+class Untouched:
+    """The gaps between spans (start, kind, end), sorted by start, that may overlap."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts, self.reach, far = [], [], 0
+        for start, _, end in spans:
+            far = max(far, end)
+            self.starts.append(start)
+            self.reach.append(far)
+
+    def holds(self, start: int, end: int) -> bool:
+        """Does no span share a character with start..end? Of those that begin before its end, none may reach beyond its start."""
+        before = bisect_left(self.starts, end)
+        return not before or self.reach[before - 1] <= start
+
+
 def secret_like(s: str, credentials: list[Automaton], plain: Automaton | None, margin: float) -> bool:
     """Does a credential automaton find s typical and at least ``margin`` bits likelier than ordinary runs of characters?"""
     for automaton in credentials:
@@ -226,15 +243,15 @@ def secret_like(s: str, credentials: list[Automaton], plain: Automaton | None, m
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, examples: int = 2_000, margin: float = 20.0) -> dict[str, Automaton]:
-    """An automaton per base kind and one of ordinary runs, from about ``sample_docs`` documents chosen by a hash of the id.
+    """An automaton per base kind and one of ordinary runs, from about ``sample_docs`` documents chosen by a hash of id
+    and text; of rows equal in both, one is taken.
 
     What the base patterns find there are the labelled credentials, at most ``examples`` of each kind (the least by hash),
     whole. Ordinary runs are those that touch no base span: ``examples`` of letters only and as many others, again the
     least by hash; of those others, runs that a credential automaton takes for its own are left out. One scan of the
     sample finds all of them. A kind that does not occur has no automaton.
     """
-    step = max(1, docs.count() // sample_docs)
-    sample = docs.where(F.pmod(F.xxhash64(F.lit(9), id_col), F.lit(step)) == 0).where(F.col(text_col).isNotNull()).select(text_col)
+    sample = sampled(docs.where(F.col(text_col).isNotNull()), 9, id_col, text_col, max(1, docs.count() // sample_docs)).select(text_col)
     kinds = (*KINDS[:3], "word", "other")
 
     def run(batches):
@@ -246,8 +263,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
                 for start, kind, end in spans:
                     value = text[start:end]
                     seen[KINDS[kind]].add(ASSIGN.match(value)[2] if kind == 0 else value)
+                free = Untouched(spans)
                 for m in CANDIDATE.finditer(text):
-                    if not any(a < m.end() and m.start() < b for a, _, b in spans):
+                    if free.holds(m.start(), m.end()):
                         seen["word" if m[0].isalpha() else "other"].add(m[0])
             # what is not among the least of a batch is not among the least of all
             chosen = [(kind, h, v) for kind, own in seen.items() for h, v in heapq.nsmallest(2 * examples, ((xxhash.xxh3_64_intdigest(v) >> 1, v) for v in own))]
@@ -271,7 +289,8 @@ def scan(docs: DataFrame, automata: dict[str, Automaton], text_col: str = "text"
     them is scored, whole; it gets kind ``grammar`` when some credential automaton finds it typical (its score a character
     reaches the automaton's floor) and at least ``margin`` bits likelier than the automaton of ordinary runs does.
 
-    Null text has no spans; rows are judged one by one, so repeated rows agree and an empty table gives an empty result.
+    A text of any length is scanned once: each run is looked up among the base spans by bisection, and scored in time that
+    grows with its length. Null text has no spans; rows are judged one by one, so repeated rows agree and an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast({k: (a.counts, a.moves, a.floor) for k, a in automata.items()})
@@ -287,8 +306,10 @@ def scan(docs: DataFrame, automata: dict[str, Automaton], text_col: str = "text"
             for text in batch.column(batch.schema.names.index(text_col)):
                 text = text.as_py() or ""
                 spans = base_spans(text)
-                found = []
+                found, free = [], Untouched(spans)
                 for m in CANDIDATE.finditer(text) if models else ():
+                    if not free.holds(m.start(), m.end()):
+                        continue
                     s = m[0]
                     hit = known.get(s)
                     if hit is None:
@@ -297,7 +318,7 @@ def scan(docs: DataFrame, automata: dict[str, Automaton], text_col: str = "text"
                             known.clear()
                         if len(s) <= 64:  # longer ones hardly repeat
                             known[s] = hit
-                    if hit and not any(a < m.end() and m.start() < b for a, _, b in spans):
+                    if hit:
                         found.append((m.start(), 3, m.end()))
                 spans += found
                 out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(spans)])
