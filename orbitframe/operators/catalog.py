@@ -43,6 +43,12 @@ def patch(table: DataFrame, updates: DataFrame, key: str, columns: list[str]) ->
     return table.join(new, key, "left").withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).drop(*[f"__{c}" for c in columns])
 
 
+def patch_report(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """(key, found): whether each key of a partial update existed."""
+    known = table.select(key).distinct().withColumn("found", F.lit(True))
+    return updates.select(key).distinct().join(known, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def delete_cascade(parent: DataFrame, children: list[DataFrame], gone: DataFrame, key: str) -> tuple[DataFrame, list[DataFrame]]:
     return parent.join(gone, key, "left_anti"), [c.join(gone, key, "left_anti") for c in children]
 
@@ -104,6 +110,11 @@ def token_overlap(a: Column, b: Column) -> tuple[Column, Column]:
     return F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
 
 
+def turn_pairs(turns: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """turns that follow another one, with its text as ``before``; nulls on either side are left out."""
+    return turns.withColumn("before", F.lag(text).over(W.partitionBy(key).orderBy(order))).where(F.col("before").isNotNull() & F.col(text).isNotNull())
+
+
 def keyword_similarity(predicted: Column, target: Column, keywords: tuple[str, ...]) -> Column:
     """1 for equal texts, case aside; else 0.6 of the share of keywords found and 0.4 of the words' Jaccard similarity."""
     a, b = F.lower(predicted), F.lower(target)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import aggregates as A
 from . import focal as N
 from .pairs import radiometric_normalization
-from .regions import _written
+from .regions import _written, label_components
 from .tiles import rank_tiles
 
 
@@ -100,3 +100,24 @@ def retrieval_summary(tiles: DataFrame, kept: Column, threshold: float | Column,
         "tiles", "relevant", (F.col("tiles") - F.col("relevant")).alias("excluded"), "threshold", F.when(found, F.round("__mean", 3)).otherwise(0.0).alias("mean"), "peak",
         F.when(found, F.round(0.4 * external + 0.6 * F.col("peak"), 3)).otherwise(0.35).alias("confidence"),
     )
+
+
+def index_change(df: DataFrame, by: list[str], before: Column, after: Column, width: int, floor: float = 0.05, step: float = 0.12, increase: bool = True, tile: int = 256) -> DataFrame:
+    """(by, changed_pixels, valid_pixels, changed_percent, regions, mean_changed, strength, confidence) of an index between two dates.
+
+    A cell has changed that moved by ``step`` in the wanted direction and lies above ``floor`` at the date when there is
+    more; cells with fewer than four changed ones among their 3 x 3 do not count. Regions are by side. Cells without both
+    dates are left out; a scene without change has strength 0 and confidence 0.58.
+    """
+    cells = df.select(*by, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), before.alias("__a"), after.alias("__b")).where("__a IS NOT NULL AND __b IS NOT NULL")
+    move = F.col("__b") - F.col("__a")
+    mask = (move >= step) & (F.col("__b") >= floor) if increase else (move <= -step) & (F.col("__a") >= floor)
+    cells = _written(N.denoise(cells.withColumn("__m", mask), "__m", "changed", 4, N.Grid(scene=tuple(by))).select(*by, "r", "c", "changed", F.abs(move).alias("__d")))
+    hit = F.when(F.col("changed"), F.col("__d"))
+    told = cells.groupBy(*by).agg(F.count_if("changed").alias("changed_pixels"), F.count("*").alias("valid_pixels"), F.coalesce(F.avg(hit), F.lit(0.0)).alias("mean_changed"))
+    labels = label_components(cells.where("changed").select(*by, "r", "c"), width, tile=tile, by=tuple(by))
+    regions = labels.groupBy(*by).agg(F.count_distinct("label").alias("regions"))
+    strength = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("mean_changed") / 0.4))
+    out = (told.join(regions, by, "left") if by else told.crossJoin(F.broadcast(regions))).withColumn("regions", F.coalesce("regions", F.lit(0)))
+    confidence = F.when(F.col("changed_pixels") > 0, F.round(0.67 + 0.18 * strength, 3)).otherwise(0.58)
+    return out.select(*by, "changed_pixels", "valid_pixels", (100.0 * F.col("changed_pixels") / F.col("valid_pixels")).alias("changed_percent"), "regions", "mean_changed", strength.alias("strength"), confidence.alias("confidence"))

@@ -29,15 +29,29 @@ def item_passed(similarity: Column, exact: Column, iou: Column) -> Column:
     return ((similarity >= 0.45) | exact) & (iou.isNull() | (iou >= 0.5))
 
 
-def benchmark_summary(items: DataFrame, by: list[str], passed: Column, similarity: Column, iou: Column, category: Column, categories: list[str]) -> DataFrame:
-    """Totals, pass rate, means, and the pass rate per category; a category without items counts as 100."""
+def benchmark_summary(items: DataFrame, by: list[str], passed: Column, similarity: Column, iou: Column, category: Column, categories: list[str], confidence: Column, latency: Column, grounding: str, model: Column) -> DataFrame:
+    """Totals, pass rate, means, and the pass rate per category; a category without items counts as 100.
+
+    ``grounding`` names the category whose mean IoU is given, 0 where none of its items has one; ``models`` lists the models
+    that took part, of which there are few.
+    """
     rate = lambda c: F.coalesce(F.round(100 * F.avg(F.when(category == c, passed.cast("double"))), 2), F.lit(100.0)).alias(f"{c}_accuracy")
     return items.groupBy(*by).agg(
         F.count("*").alias("total"), F.count_if(passed).alias("passed"), F.round(100 * F.avg(passed.cast("double")), 2).alias("accuracy"),
         F.round(F.avg(similarity), 3).alias("similarity"), F.round(F.avg(iou), 3).alias("iou"), *[rate(c) for c in categories],
+        F.round(F.avg(confidence), 3).alias("confidence"), F.round(F.avg(latency), 1).alias("latency"),
+        F.coalesce(F.round(F.avg(F.when(category == grounding, iou)), 3), F.lit(0.0)).alias("grounding_iou"), F.array_join(F.array_sort(F.collect_set(model)), ",").alias("models"),
     )
 
 
+def dataset_summary(items: DataFrame, dataset: str, lists: dict[str, str]) -> DataFrame:
+    """(dataset, samples, and per name of ``lists`` the sorted distinct values of its column) of each named dataset."""
+    out = items.where(F.col(dataset).isNotNull()).groupBy(dataset).agg(F.count("*").alias("samples"))
+    for name, column in lists.items():
+        out = out.join(distinct_sorted(items, [dataset], column, name), dataset, "left").withColumn(name, F.coalesce(name, F.array().cast(f"array<{items.schema[column].dataType.simpleString()}>")))
+    return out
+
+
 def distinct_sorted(df: DataFrame, by: list[str], x: str, out: str) -> DataFrame:
     """Sorted distinct values per group: distinct first, so a group holds each value once."""
     return df.where(F.col(x).isNotNull()).select(*by, x).distinct().groupBy(*by).agg(F.array_sort(F.collect_list(x)).alias(out))

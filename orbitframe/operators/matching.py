@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .regions import min_label
+from .regions import _written, min_label
 
 
 def assign(score: np.ndarray) -> list[tuple[int, int]]:
@@ -42,22 +45,96 @@ def assign(score: np.ndarray) -> list[tuple[int, int]]:
     return sorted((j, int(i)) if flip else (int(i), j) for j, i in enumerate(owner) if i >= 0)
 
 
-def one_to_one_match(edges: DataFrame, least: float = 0.3) -> DataFrame:
+def assign_sparse(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Places of the edges (a, b, score) of the matching with the largest total score, by augmenting paths over the edges.
+
+    Each node of a in turn takes the path of least reduced cost to a free node of b, or to staying alone, by Dijkstra's
+    search with potentials; it ends at the first free node, so a long chain costs what its paths cost. Memory follows the
+    edges; no matrix is made.
+    """
+    rows, row_of = np.unique(a, return_inverse=True)
+    cols, col_of = np.unique(b, return_inverse=True)
+    out: list[list[tuple[int, float, int]]] = [[] for _ in rows]
+    for e, (i, j, w) in enumerate(zip(row_of.tolist(), col_of.tolist(), score.tolist(), strict=True)):
+        out[i].append((j, -w, e))
+    row_price, col_price, owner = [0.0] * len(rows), [0.0] * len(cols), [-1] * len(cols)
+    taken = [-1] * len(rows)  # the edge of each row, -1 alone
+    for row in range(len(rows)):
+        best, via, heap, done, order = {}, {}, [], set(), []
+        at, so_far, alone, alone_row = row, 0.0, np.inf, row
+        while True:
+            if so_far - row_price[at] < alone:
+                alone, alone_row = so_far - row_price[at], at
+            for j, cost, e in out[at]:
+                reach = so_far + cost - row_price[at] - col_price[j]
+                if j not in done and reach < best.get(j, np.inf):
+                    best[j], via[j] = reach, (at, e)
+                    heapq.heappush(heap, (reach, j))
+            while heap and heap[0][1] in done:
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= alone:
+                so_far, last = alone, -1
+                break
+            so_far, last = heapq.heappop(heap)
+            done.add(last)
+            order.append(last)
+            if owner[last] < 0:
+                break
+            at = owner[last]
+        row_price[row] += so_far
+        for j in order:
+            gain = so_far - best[j]
+            if owner[j] >= 0:
+                row_price[owner[j]] += gain
+            col_price[j] -= gain
+        if last < 0:  # the path ends where a row lets its column go
+            last = next((j for j in order if owner[j] == alone_row), -1)
+            taken[alone_row] = -1
+        while last >= 0:
+            i, e = via[last]
+            before = next((j for j in order if owner[j] == i), -1) if i != row else -1
+            owner[last], taken[i], last = i, e, before
+    return np.array([e for e in taken if e >= 0], np.int64)
+
+
+def settled_pairs(edges: DataFrame, rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(pairs that some best matching holds, edges left over): a pair that weighs at least as much as the best other edges of
+    both its nodes together can always be exchanged in. Settled nodes leave, so others may settle in the next round."""
+    chosen, left = None, _written(edges)
+    for _ in range(rounds):
+        found = left
+        for side, key in (("x", "a"), ("y", "b")):
+            top = W.partitionBy(key).orderBy(F.desc("iou"), "a", "b")
+            found = found.withColumn(f"__n{side}", F.row_number().over(top)).withColumn(side, F.coalesce(F.lead("iou").over(top), F.lit(0.0)))
+        pairs = _written(found.where((F.col("__nx") == 1) & (F.col("__ny") == 1) & (F.col("iou") >= F.col("x") + F.col("y"))).select("a", "b", "iou"))
+        if pairs.isEmpty():
+            break
+        chosen = pairs if chosen is None else chosen.unionByName(pairs)
+        left = _written(left.join(pairs.select("a"), "a", "left_anti").join(pairs.select("b"), "b", "left_anti"))
+    return (left.limit(0) if chosen is None else chosen), left
+
+
+def one_to_one_match(edges: DataFrame, least: float = 0.3, most_pairs: bool = False) -> DataFrame:
     """(a, b, iou): of overlaps (a, b, iou), the assignment with the largest total, then only pairs of at least ``least``.
 
-    Overlaps fall into connected clusters, found in distributed rounds; each cluster is assigned by itself. The names of
-    both sides are independent numbers.
+    With ``most_pairs`` only overlaps of at least ``least`` count, and of the assignments with the most pairs that with the
+    largest total. Pairs that are best beyond doubt, such as all above one half where neither side overlaps itself, are
+    settled in distributed rounds. What is left falls into connected clusters, each assigned by itself over its edges
+    (``assign_sparse``): a cluster of n nodes and m edges takes memory for m and at most n searches of m log m. The names of
+    both sides are independent numbers; of repeated pairs the largest overlap counts.
     """
-    near = edges.where("iou > 0").select("a", "b", F.col("iou").cast("double").alias("iou"))
+    near = edges.where(F.col("iou") >= least if most_pairs else F.col("iou") > 0).groupBy("a", "b").agg(F.max("iou").cast("double").alias("iou"))
+    settled, near = (near.limit(0), _written(near)) if most_pairs else settled_pairs(near)
     labels = min_label(near.select((2 * F.col("a")).alias("u"), (2 * F.col("b") + 1).alias("v")))
     groups = near.join(labels, 2 * near["a"] == labels["node"]).select("label", "a", "b", "iou")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = pdf.pivot_table(index="a", columns="b", values="iou", fill_value=0.0).sort_index().sort_index(axis=1)
-        found = [(grid.index[i], grid.columns[j], grid.iat[i, j]) for i, j in assign(grid.to_numpy())]
-        return pd.DataFrame([x for x in found if x[2] >= least], columns=["a", "b", "iou"])
+    def run(table: pa.Table) -> pa.Table:
+        table = table.select(["a", "b", "iou"]).sort_by([("a", "ascending"), ("b", "ascending")])
+        a, b, iou = (table.column(n).to_numpy() for n in ("a", "b", "iou"))
+        return table.take(pa.array(np.sort(assign_sparse(a, b, iou + len(iou) if most_pairs else iou))))
 
-    return groups.groupBy("label").applyInPandas(run, "a long, b long, iou double")
+    found = groups.groupBy("label").applyInArrow(run, "a long, b long, iou double")
+    return settled.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "iou").unionByName(found).where(F.col("iou") >= least)
 
 
 def _counts(truth: DataFrame, found: DataFrame, matches: DataFrame, by: list[str]) -> DataFrame:

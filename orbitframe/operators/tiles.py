@@ -108,6 +108,13 @@ def rank_tiles(df: DataFrame, kept: Column, score: str, key: str) -> DataFrame:
     return numbered(ordered, ["__first", "__second", key], "rank").drop("__first", "__second")
 
 
+def window_polygon(x: Column, y: Column, w: Column, h: Column, affine: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)) -> Column:
+    """The rectangle of a pixel window as five world coordinates, closed; x' = a x + b y + c and y' = d x + e y + f."""
+    a, b, c, d, e, f = affine
+    at = lambda px, py: F.array(a * px + b * py + c, d * px + e * py + f)
+    return F.array(at(x, y), at(x + w, y), at(x + w, y + h), at(x, y + h), at(x, y))
+
+
 def blend_tiles(cells: DataFrame, by: list[str], p: str, weight: str) -> DataFrame:
     """Overlapping tiles' predictions as one value a cell: their mean by weight."""
     return cells.groupBy(*by).agg((F.sum(F.col(p) * F.col(weight)) / F.sum(weight)).alias(p))

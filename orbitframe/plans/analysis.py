@@ -10,6 +10,7 @@ from ..functions import rules as D
 from ..functions import text as X
 from ..operators import aggregates as A
 from ..operators import catalog as C
+from ..operators import change as H
 from ..operators import evaluation as E
 from ..operators import pairs as P
 from ..operators import tiles as T
@@ -62,7 +63,13 @@ _CHANGED = "abs(red2 - red) > 0.1"
 register("t12_change_kind", lambda s, d: P.change_kind(S.derived_scene(s, d), ["c"], F.abs(c("red2") - c("red")) > 0.1, (2 * c("green2") - c("red2") - c("nir2")) - (2 * c("green") - c("red") - c("nir")), c("red2") - c("red")), f"""WITH {PX},
     q AS (SELECT c, avg((2 * green2 - red2 - nir2) - (2 * green - red - nir)) FILTER ({_CHANGED}) AS greenness, avg(red2 - red) FILTER ({_CHANGED}) AS light FROM s GROUP BY c)
     SELECT *, CASE WHEN greenness < -0.05 THEN 'vegetation_loss' WHEN greenness > 0.05 THEN 'vegetation_growth' WHEN light > 0.08 THEN 'built_up_expansion' WHEN light < -0.1 THEN 'water_expansion' ELSE 'surface_modification' END AS kind FROM q""", "greenness light")
-register("t13_index_change", lambda s, d: S.derived_scene(s, d).groupBy("r").agg(F.count_if(F.abs(c("red2") - c("red")) >= 0.1).alias("pixels"), (100 * F.avg((F.abs(c("red2") - c("red")) >= 0.1).cast("double"))).alias("percent"), F.avg(F.abs(c("red2") - c("red"))).alias("mean_abs")), f"WITH {PX} SELECT r, count(*) FILTER (abs(red2 - red) >= 0.1) AS pixels, 100 * avg(CAST(abs(red2 - red) >= 0.1 AS DOUBLE)) AS percent, avg(abs(red2 - red)) AS mean_abs FROM s GROUP BY r", "percent mean_abs")
+register("t13_index_change", lambda s, d: H.index_change(S.derived_scene(s, d).withColumn("scene", F.floor(c("r") / 21).cast("int")), ["scene"], 6 * (c("red") - 0.5), 6 * (c("red2") - 0.5), 64, 0.05, 0.12, tile=16).drop("strength"),
+    f"""WITH RECURSIVE {PX}, m AS (SELECT r // 21 AS scene, r, c, 6 * (red - 0.5) AS a, 6 * (red2 - 0.5) AS b FROM s WHERE red IS NOT NULL AND red2 IS NOT NULL), h AS (SELECT *, b - a >= 0.12 AND b >= 0.05 AS m FROM m),
+    k AS MATERIALIZED (SELECT h.scene, h.r, h.c, any_value(abs(h.b - h.a)) AS d, any_value(h.m) AND count(*) FILTER (o.m) >= 4 AS m FROM h JOIN h o ON o.scene = h.scene AND o.r BETWEEN h.r - 1 AND h.r + 1 AND o.c BETWEEN h.c - 1 AND h.c + 1 GROUP BY h.scene, h.r, h.c),
+    z AS (SELECT scene, r, c, r * 64 + c AS label FROM k WHERE m UNION SELECT n.scene, n.r, n.c, z.label FROM z JOIN k n ON n.m AND n.scene = z.scene AND abs(n.r - z.r) + abs(n.c - z.c) = 1),
+    l AS (SELECT scene, count(DISTINCT label) AS regions FROM (SELECT scene, r, c, min(label) AS label FROM z GROUP BY scene, r, c) GROUP BY scene),
+    t AS (SELECT scene, count(*) FILTER (m) AS changed_pixels, count(*) AS valid_pixels, coalesce(avg(d) FILTER (m), 0) AS mean_changed FROM k GROUP BY scene)
+    SELECT scene, changed_pixels, valid_pixels, 100.0 * changed_pixels / valid_pixels AS changed_percent, coalesce(regions, 0) AS regions, mean_changed, CASE WHEN changed_pixels > 0 THEN round(0.67 + 0.18 * least(1, mean_changed / 0.4), 3) ELSE 0.58 END AS confidence FROM t LEFT JOIN l USING (scene)""", "changed_percent mean_changed confidence")
 register("t15_class_shift", lambda s, d: P.class_shift(table(s, d, "lineitem"), "l_returnflag", F.when(F.month("l_shipdate") < 7, 0).otherwise(1), 0.01), """WITH n AS (SELECT l_returnflag, count(*) FILTER (month(l_shipdate) < 7) AS b, count(*) FILTER (NOT month(l_shipdate) < 7) AS a FROM lineitem GROUP BY 1),
     q AS (SELECT l_returnflag, 100.0 * b / sum(b) OVER () AS before, 100.0 * a / sum(a) OVER () AS after FROM n)
     SELECT l_returnflag, before, after, after - before AS shift FROM q WHERE abs(round(after - before, 9)) >= 0.01""", "before after shift")
@@ -170,8 +177,9 @@ register("a11_image_quality", lambda s, d: E.image_quality(S.derived_scene(s, d)
 _ITEM = lambda: E.item_passed(c("l_quantity") / 50, c("l_tax") == 0, F.when(c("l_linenumber") % 2 == 0, 10 * c("l_discount")))
 _ITEM_SQL = "((l_quantity / 50 >= 0.45 OR l_tax = 0) AND (l_linenumber % 2 = 1 OR 10 * l_discount >= 0.5))"
 register("v15_benchmark_item_score", lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", _ITEM().alias("passed")), f"SELECT l_orderkey, l_linenumber, {_ITEM_SQL} AS passed FROM lineitem")
-register("a17_benchmark_summary", lambda s, d: E.benchmark_summary(table(s, d, "lineitem"), ["l_linestatus"], _ITEM(), c("l_quantity") / 50, F.when(c("l_linenumber") % 2 == 0, 10 * c("l_discount")), c("l_returnflag"), ["A", "R", "X"]), f"""SELECT l_linestatus, count(*) AS total, count(*) FILTER {_ITEM_SQL.replace('((', '(WHERE (', 1)} AS passed, round(100 * avg(CAST({_ITEM_SQL} AS DOUBLE)), 2) AS accuracy, round(avg(l_quantity / 50), 3) AS similarity,
-    round(avg(10 * l_discount) FILTER (WHERE l_linenumber % 2 = 0), 3) AS iou, coalesce(round(100 * avg(CAST({_ITEM_SQL} AS DOUBLE)) FILTER (WHERE l_returnflag = 'A'), 2), 100) AS "A_accuracy", coalesce(round(100 * avg(CAST({_ITEM_SQL} AS DOUBLE)) FILTER (WHERE l_returnflag = 'R'), 2), 100) AS "R_accuracy", CAST(100 AS DOUBLE) AS "X_accuracy" FROM lineitem GROUP BY 1""", "accuracy similarity iou A_accuracy R_accuracy")
+register("a17_benchmark_summary", lambda s, d: E.benchmark_summary(table(s, d, "lineitem"), ["l_linestatus"], _ITEM(), c("l_quantity") / 50, F.when(c("l_linenumber") % 2 == 0, 10 * c("l_discount")), c("l_returnflag"), ["A", "R", "X"], c("l_tax"), c("l_extendedprice"), "R", c("l_returnflag")), f"""SELECT l_linestatus, round(avg(l_tax), 3) AS confidence, round(avg(l_extendedprice), 1) AS latency,
+    coalesce(round(avg(10 * l_discount) FILTER (WHERE l_linenumber % 2 = 0 AND l_returnflag = 'R'), 3), 0) AS grounding_iou, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS models, count(*) AS total, count(*) FILTER {_ITEM_SQL.replace('((', '(WHERE (', 1)} AS passed, round(100 * avg(CAST({_ITEM_SQL} AS DOUBLE)), 2) AS accuracy, round(avg(l_quantity / 50), 3) AS similarity,
+    round(avg(10 * l_discount) FILTER (WHERE l_linenumber % 2 = 0), 3) AS iou, coalesce(round(100 * avg(CAST({_ITEM_SQL} AS DOUBLE)) FILTER (WHERE l_returnflag = 'A'), 2), 100) AS "A_accuracy", coalesce(round(100 * avg(CAST({_ITEM_SQL} AS DOUBLE)) FILTER (WHERE l_returnflag = 'R'), 2), 100) AS "R_accuracy", CAST(100 AS DOUBLE) AS "X_accuracy" FROM lineitem GROUP BY 1""", "accuracy similarity iou A_accuracy R_accuracy confidence latency grounding_iou")
 register("a19_distinct_sorted", lambda s, d: E.distinct_sorted(table(s, d, "orders"), ["o_custkey"], "o_orderpriority", "xs").select("o_custkey", F.array_join("xs", "|").alias("xs")), "SELECT o_custkey, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS xs FROM orders GROUP BY 1")
 register("a20_run_timing", lambda s, d: E.run_timing(table(s, d, "events"), "event_type", c("value")), "SELECT event_type, count(*) AS runs, avg(value) AS mean, quantile_cont(value, 0.95) AS p95, max(value) AS most FROM events GROUP BY 1", "mean p95 most")
 register("v06_threshold_sweep", lambda s, d: E.threshold_sweep(table(s, d, "embeddings").select((c("label") % 4).alias("t"), (R.argmax(c("embedding")) % 4).alias("p"), F.array_max("embedding").cast("double").alias("x")), "t", "p", c("x"), [0.2, 0.25, 0.3]), """WITH q AS (SELECT label % 4 AS t, (list_position(embedding, list_max(embedding)) - 1) % 4 AS p, CAST(list_max(embedding) AS DOUBLE) AS x FROM embeddings),
@@ -185,7 +193,8 @@ register("v08_logprob_probability", lambda s, d: table(s, d, "embeddings").selec
 register("v10_confidence_weighted", lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", D.weighted_confidence(c("l_quantity") / 50, 10 * c("l_discount"), F.lit(0.7), F.lit(0.5), c("l_tax"), F.when(c("l_linenumber") % 2 == 0, F.lit(0.9))).alias("p")), f"""WITH q AS (SELECT l_orderkey, l_linenumber, l_tax, l_quantity / 50 * 0.28 + 10 * l_discount * 0.22 + 0.7 * 0.3 + 0.5 * 0.2 AS o FROM lineitem),
     w AS (SELECT *, least(0.99, greatest(0, CASE WHEN l_linenumber % 2 = 0 THEN o * 0.85 + 0.9 * 0.15 ELSE o END - l_tax)) AS raw FROM q)
     SELECT l_orderkey, l_linenumber, CASE WHEN raw > 0 AND raw < 1 THEN {clip_sql('1 / (1 + exp(-ln(raw / (1 - raw)) / 1.32))', 0.05, 0.98)} ELSE raw END AS p FROM w""", "p")
-register("v16_dataset_summary", lambda s, d: E.distinct_sorted(table(s, d, "documents"), ["source"], "lang", "langs").join(table(s, d, "documents").groupBy("source").count(), "source").select("source", F.array_join("langs", ",").alias("langs"), c("count").alias("samples")), "SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs, count(*) AS samples FROM documents WHERE source IS NOT NULL GROUP BY 1 HAVING count(lang) > 0")
+register("v16_dataset_summary", lambda s, d: E.dataset_summary(table(s, d, "documents").withColumn("model", F.concat(F.lit("m"), c("n_chars") % 3)), "source", {"categories": "lang", "models": "model"}).select("source", "samples", F.array_join("categories", ",").alias("categories"), F.array_join("models", ",").alias("models")),
+    "SELECT source, count(*) AS samples, coalesce(string_agg(DISTINCT lang, ',' ORDER BY lang), '') AS categories, coalesce(string_agg(DISTINCT 'm' || n_chars % 3, ',' ORDER BY 'm' || n_chars % 3), '') AS models FROM documents WHERE source IS NOT NULL GROUP BY 1")
 register(
     "v19_top_class", lambda s, d: table(s, d, "embeddings").select("vec_id", *[x.alias(n) for n, x in zip(("id", "name", "p"), E.top_class(c("embedding"), [f"class {i}" for i in range(64)]), strict=True)]),
     "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS id, 'class ' || (list_position(embedding, list_max(embedding)) - 1) AS name, round(CAST(list_max(embedding) AS DOUBLE), 4) AS p FROM embeddings", "p",

@@ -223,8 +223,8 @@ register(
     f"WITH {PX} SELECT r, c AS x, sum(v * ({_BLEND})) / sum({_BLEND}) AS p FROM px GROUP BY r, c", "p",
 )
 register(
-    "r07_crop_margin_mosaic", lambda s, d: K.crop_margin_mosaic(S.derived_pixels(s, d).where("r % 16 < 8").select((F.floor(c("r") / 16) * 4 - 2).cast("int").alias("y"), (c("b") * 60 - 2).alias("x"), (c("r") % 16).alias("i"), c("c").alias("j"), "v"), 64, 2).select("r", "c", "v"),
-    f"WITH {PX}, q AS (SELECT r // 16 * 4 - 2 AS y, b * 60 - 2 AS x, r % 16 AS i, c AS j, v FROM px WHERE r % 16 < 8) SELECT CAST(y + i AS INT) AS r, x + j AS c, v FROM q WHERE i BETWEEN 2 AND 61 AND j BETWEEN 2 AND 61", "v",
+    "r07_crop_margin_mosaic", lambda s, d: K.crop_margin_mosaic(S.derived_pixels(s, d).select((F.floor(c("r") / 16) * 14 - 2).cast("int").alias("y"), (c("b") * 60 - 2).alias("x"), (c("r") % 16).alias("i"), c("c").alias("j"), "v"), 64, 2).select("r", "c", "v"),
+    f"WITH {PX}, q AS (SELECT r // 16 * 14 - 2 AS y, b * 60 - 2 AS x, r % 16 AS i, c AS j, v FROM px) SELECT CAST(y + i AS INT) AS r, x + j AS c, v FROM q WHERE i BETWEEN 2 AND 61 AND j BETWEEN 2 AND 61", "v",
 )
 
 

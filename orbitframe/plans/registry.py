@@ -93,7 +93,7 @@ register("p26_one_hot", lambda s, d: table(s, d, "embeddings").select("vec_id",
 register("p14_minmax_stretch", lambda s, d: A.minmax_stretch(S.derived_pixels(s, d), ["b"], F.col("v"), "x"), f"WITH {PX} SELECT *, (v - min(v) OVER q) / greatest(max(v) OVER q - min(v) OVER q, 1e-5) AS x FROM px WINDOW q AS (PARTITION BY b)", "v x")
 _PCT = f"WITH {PX}, q AS (SELECT b, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM px GROUP BY b)"
 register("p15_percentile_stretch", lambda s, d: A.percentile_stretch(S.derived_pixels(s, d), ["b"], F.col("v"), "x"), f"{_PCT} SELECT r, c, px.b, v, least(1.0, greatest(0.0, (v - lo) / (hi - lo))) AS x FROM px JOIN q USING (b)", "v x")
-register("p16_to_byte", lambda s, d: A.to_byte(S.derived_pixels(s, d), ["b"], F.col("v"), "x").groupBy("b").agg(F.min("x").alias("least"), F.max("x").alias("most")), "SELECT b, 0 AS least, 255 AS most FROM unnest(range(8)) t(i), (SELECT CAST(i AS INT) AS b)")
+register("p16_to_byte", lambda s, d: A.to_byte(S.derived_pixels(s, d), ["b"], F.col("v"), "x").select("r", "c", "b", "x"), f"WITH {PX}, q AS (SELECT b, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM px GROUP BY b) SELECT r, c, b, CAST(round_even(255 * CASE WHEN hi > lo THEN least(1, greatest(0, (v - lo) / (hi - lo))) ELSE 0 END, 0) AS INT) AS x FROM px JOIN q USING (b)")
 register("p19_unit_scale", lambda s, d: A.unit_scale(table(s, d, "lineitem"), ["l_linenumber"], F.col("l_quantity")), "SELECT l_linenumber, CASE WHEN max(l_quantity) > 1.5 THEN 1 / 255.0 ELSE 1.0 END AS factor FROM lineitem GROUP BY l_linenumber", "factor")
 _RW = lambda: R.rescale_window((F.col("p_size") * 100).cast("int"), (F.col("p_size") * 37).cast("int"), 1024)
 register("p30_rescale_window", lambda s, d: table(s, d, "part").select("p_partkey", _RW()[0].alias("tw"), _RW()[1].alias("th")), "SELECT p_partkey, CAST(greatest(1, round_even(p_size * 100 * least(1.0, 1024.0 / (p_size * 100)), 0)) AS INT) AS tw, CAST(greatest(1, round_even(p_size * 37 * least(1.0, 1024.0 / (p_size * 100)), 0)) AS INT) AS th FROM part")
@@ -267,9 +267,10 @@ register("x01_tag_targets", lambda s, d: table(s, d, "part").select("p_partkey",
 register("x02_tag_intents", lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(C.tag_all(F.col("p_name"), _TAGS), ",").alias("tags")), "SELECT p_partkey, concat_ws(',', CASE WHEN regexp_matches(lower(p_name), '\\b(red|blue|green)\\b') THEN 'colour' END, CASE WHEN regexp_matches(lower(p_name), '\\b(small|large)\\b') THEN 'size' END, CASE WHEN regexp_matches(lower(p_name), '\\b(widget|gadget)\\b') THEN 'thing' END) AS tags FROM part")
 register("x05_extract_years", lambda s, d: table(s, d, "orders").select("o_orderkey", C.extract_years(F.concat(F.lit("from "), F.year("o_orderdate").cast("string"), F.lit(" to 2001, not 1850"))).alias("y")).select("o_orderkey", F.col("y")[0].alias("first"), F.size("y").alias("n")), "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS first, 2 AS n FROM orders")
 register(
-    "x10_token_overlap", lambda s, d: table(s, d, "part").select("p_partkey", *[x.cast("long").alias(a) for x, a in zip(C.token_overlap(F.col("p_name"), F.concat(F.lower("p_type"), F.lit(" small, "), F.reverse(F.split("p_name", " "))[0])), ("both_n", "either_n"), strict=True)]),
-    """WITH q AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct([lower(p_type), 'small', lower(string_split(p_name, ' ')[-1])]) AS b FROM part)
-    SELECT p_partkey, len(list_intersect(a, b)) AS both_n, len(list_distinct(list_concat(a, b))) AS either_n FROM q""",
+    "x10_token_overlap", lambda s, d: C.turn_pairs(table(s, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", *[x.cast("long").alias(a) for x, a in zip(C.token_overlap(F.col("text"), F.col("before")), ("both_n", "either_n"), strict=True)]),
+    r"""WITH q AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+    w AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(before), '[^a-z0-9]+'), lambda x: x <> '')) AS b FROM q WHERE before IS NOT NULL AND text IS NOT NULL)
+    SELECT conv_id, turn, len(list_intersect(a, b)) AS both_n, len(list_distinct(list_concat(a, b))) AS either_n FROM w""",
 )
 register(
     "x10_keyword_similarity", lambda s, d: table(s, d, "part").select("p_partkey", C.keyword_similarity(F.col("p_name"), F.when(F.col("p_partkey") % 4 == 0, F.upper("p_name")).otherwise(F.concat(F.lit("small, "), F.reverse(F.split("p_name", " "))[0])), ("small", "widget", "re")).alias("score")),

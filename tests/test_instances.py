@@ -324,3 +324,41 @@ def test_shift_scores_equal_plain_correlations():
             both = np.array([x for x in both if not np.isnan(x).any()])
             assert got[dy + 4, dx + 4] == pytest.approx(np.corrcoef(both.T)[0, 1], abs=1e-9)
     assert np.isnan(pairs.shift_scores(a, np.ones_like(a), 2)).all()
+
+
+def test_sparse_assignment_equals_the_dense_one():
+    from orbitframe.operators.matching import assign, assign_sparse
+
+    rng = np.random.default_rng(1)
+    for _ in range(400):
+        n, m = rng.integers(1, 9, 2)
+        grid = np.where(rng.random((n, m)) < 0.5, np.round(rng.random((n, m)), int(rng.integers(1, 5))), 0)
+        i, j = np.nonzero(grid)
+        if len(i):
+            got = assign_sparse(i, j, grid[i, j])
+            assert len(set(i[got])) == len(got) == len(set(j[got]))
+            assert grid[i[got], j[got]].sum() == pytest.approx(sum(grid[x] for x in assign(grid)), abs=1e-9)
+    # a chain of 10,000 overlaps: no matrix, and the best total by a plain recurrence
+    a, b = np.repeat(np.arange(10_000), 2)[:-1], np.r_[0, np.repeat(np.arange(1, 10_000), 2)]
+    w, took, left = rng.random(len(a)), 0.0, 0.0
+    for x in w:
+        took, left = left + x, max(left, took)
+    assert w[assign_sparse(a, b, w)].sum() == pytest.approx(max(took, left))
+
+
+@pytest.mark.parametrize("most_pairs", [False, True])
+def test_matches_over_settled_pairs_and_clusters(spark, most_pairs):
+    from orbitframe.operators.matching import assign, one_to_one_match
+
+    rng = np.random.default_rng(2)
+    grid = np.where(rng.random((30, 28)) < 0.12, np.round(rng.random((30, 28)), 3), 0)
+    edges = spark.createDataFrame([(int(i), int(j), float(grid[i, j])) for i, j in zip(*np.nonzero(grid), strict=True)] * 2, "a long, b long, iou double")
+    got = one_to_one_match(edges, 0.3, most_pairs).collect()
+    assert len({x.a for x in got}) == len(got) == len({x.b for x in got}) and all(x.iou >= 0.3 and grid[x.a, x.b] == x.iou for x in got)
+    if most_pairs:
+        likely = np.where(grid >= 0.3, grid + 100, 0)
+        want = [x for x in assign(likely) if likely[x] > 0]
+    else:
+        want = [x for x in assign(grid) if grid[x] >= 0.3]
+    assert len(got) == len(want) and sum(x.iou for x in got) == pytest.approx(sum(grid[x] for x in want))
+    assert one_to_one_match(edges.limit(0)).count() == 0
