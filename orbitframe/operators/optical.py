@@ -232,10 +232,10 @@ def _shifted(mask: np.ndarray):
     return [padded[1 + a : 1 + a + mask.shape[0], 1 + b : 1 + b + mask.shape[1]] for a in (-1, 0, 1) for b in (-1, 0, 1)]
 
 
-def opened_and_closed(mask: np.ndarray) -> np.ndarray:
-    """Opening, then closing, by 3 x 3 cells; outside is false."""
+def opened_and_closed(mask: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Opening, then closing, by 3 x 3 cells; cells that are not there stay false."""
     for grow in (np.minimum, np.maximum, np.maximum, np.minimum):
-        mask = grow.reduce(_shifted(mask))
+        mask = grow.reduce(_shifted(mask)) & there
     return mask
 
 
@@ -265,7 +265,7 @@ def land_cover(df: DataFrame, by: list[str], candidates: dict[str, Column], vali
     cell, key = [*by, "r", "c"], [*by, "label"]
     read = lambda grid: np.nan_to_num(grid).astype(np.int64)
 
-    wet = on_halo_tiles(cells, "bits", tile, 4, lambda grid: opened_and_closed((read(grid) & WET) > 0), tuple(by), "wet").where("wet = 1").select(*cell)
+    wet = on_halo_tiles(cells, "bits", tile, 4, lambda grid: opened_and_closed((read(grid) & WET) > 0, ~np.isnan(grid)), tuple(by), "wet").where("wet = 1").select(*cell)
     labels = label_components(_written(wet), width, tile=tile, by=tuple(by))
     kept = labels.join(labels.groupBy(*key).count().where(F.col("count") >= least_water).select(*key), key, "left_semi").select(*cell, F.lit(True).alias("wet"))
     cells = cells.join(kept, cell, "left").select(*cell, F.col("bits").bitwiseAND(~WET).bitwiseOR(F.when(F.col("wet") & (F.col("bits").bitwiseAND(VALID) > 0), WET).otherwise(0)).alias("bits"))
