@@ -73,16 +73,81 @@ def fusion_masks(target: str, light: Column, radar: Column, index: Column | None
     return light >= 0.30, radar >= 0.35
 
 
-def sensor_fusion(df: DataFrame, by: list[str], optical: Column, radar: Column, multispectral: bool = True) -> DataFrame:
-    """(by, agreement, iou_percent, confirmed_percent, confidence) of two sensors' masks; NULL cells are in neither."""
+# The words by which a question names what two sensors are compared for, first match first.
+FUSION_WORDS = {
+    "built-up": ("built", "urban", "building", "structure", "settlement"),
+    "vegetation": ("vegetation", "forest", "crop", "canopy"),
+    "water": ("water", "river", "lake", "flood", "ocean", "sea"),
+    "general": ("compare", "show", "difference", "information", "additional"),
+}
+
+
+def fusion_target(target: Column, question: Column) -> Column:
+    """What two sensors are compared for: the first target that is given or named by the question, else what is given, else water."""
+    given = F.nullif(target, F.lit(""))
+    out = F
+    for name, words in FUSION_WORDS.items():
+        out = out.when(F.coalesce(given == name, F.lit(False)) | F.coalesce(F.lower(question).rlike("|".join(words)), F.lit(False)), F.lit(name))
+    return out.otherwise(F.coalesce(given, F.lit("water")))
+
+
+def fused_masks(df: DataFrame, target: Column, multispectral: Column, light: Column, radar: Column, ndwi: Column, ndvi: Column, red: Column, green: Column) -> DataFrame:
+    """df with optical and radar masks by each row's own target and ``seen``: both, optical, radar, or NULL where neither is true.
+
+    Spectral indices decide where the scene has them, brightness or colour elsewhere; built-up and general comparison use
+    brightness alone. A cell whose value is NULL or NaN is in no mask. Targets without rules are compared as general.
+    """
+    known = {"water": ndwi, "built-up": None, "vegetation": ndvi, "general": None}
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    clean = lambda x: F.nanvl(x, F.lit(None).cast("double"))
+    light, radar, red, green = map(clean, (light, radar, red, green))
+    optical = echo = F
+    for name, index in known.items():
+        plain, echoed = fusion_masks(name, light, radar, None, red, green)
+        rich = plain if index is None else fusion_masks(name, light, radar, clean(index))[0]
+        here = F.lit(True) if name == "general" else target == name
+        optical, echo = optical.when(here, yes(F.when(multispectral, rich).otherwise(plain))), echo.when(here, yes(echoed))
+    df = df.withColumns({"optical": optical, "radar": echo})
+    return df.withColumn("seen", F.when(F.col("optical") & F.col("radar"), "both").when(F.col("optical"), "optical").when(F.col("radar"), "radar"))
+
+
+def sensor_fusion(df: DataFrame, by: list[str], optical: Column, radar: Column, multispectral: bool | Column = True) -> DataFrame:
+    """(by, agreement, iou_percent, confirmed_percent, confidence) of two sensors' masks; NULL cells are in neither.
+
+    ``multispectral`` may be an expression of the columns in ``by``.
+    """
     optical, radar = (F.coalesce(x, F.lit(False)) for x in (optical, radar))
     out = df.groupBy(*by).agg(F.count_if(optical & radar).alias("i"), F.count_if(optical | radar).alias("u"), F.count("*").alias("n"))
     share = F.col("i") / F.greatest(F.col("u"), F.lit(1))
     agreement = F.round(share, 3)
-    confidence = 0.4 * (0.88 if multispectral else 0.82) + 0.6 * F.least(F.lit(1.0), F.greatest(F.lit(0.1), agreement / 0.60))
+    base = F.when(F.lit(multispectral) if isinstance(multispectral, bool) else multispectral, 0.88).otherwise(0.82)
+    confidence = 0.4 * base + 0.6 * F.least(F.lit(1.0), F.greatest(F.lit(0.1), agreement / 0.60))
     return out.select(*by, agreement.alias("agreement"), F.round(share * 100, 2).alias("iou_percent"), F.round(100 * F.col("i") / F.col("n"), 3).alias("confirmed_percent"), F.round(confidence, 3).alias("confidence"))
 
 
+def counted_regions(cells: DataFrame, by: list[str], width: int, least: int = 4, tile: int = 256) -> DataFrame:
+    """(by, regions, region_pixels): regions by side of the cells (by, r, c) that have at least ``least`` cells."""
+    labels = label_components(cells.select(*by, "r", "c"), width, tile=tile, by=tuple(by))
+    sizes = labels.groupBy(*by, "label").agg(F.count("*").alias("__n")).where(F.col("__n") >= least)
+    return sizes.groupBy(*by).agg(F.count("*").alias("regions"), F.sum("__n").alias("region_pixels"))
+
+
+def _with_regions(told: DataFrame, regions: DataFrame, by: list[str]) -> DataFrame:
+    """told with both counts; 0 where no region is left."""
+    out = told.join(regions, by, "left") if by else told.crossJoin(F.broadcast(regions))  # one row
+    return out.withColumns({x: F.coalesce(x, F.lit(0)) for x in ("regions", "region_pixels")})
+
+
+def fusion_report(cells: DataFrame, by: list[str], width: int, multispectral: Column, tile: int = 256) -> DataFrame:
+    """What ``sensor_fusion`` says of ``fused_masks``' cells, with the regions that both sensors confirm and their cells.
+
+    ``by`` names the scene and whatever is equal in all of it, as the target; its columns may not be NULL.
+    """
+    cells = _written(cells.select(*by, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "optical", "radar"))
+    told = sensor_fusion(cells, by, F.col("optical"), F.col("radar"), multispectral)
+    return _with_regions(told, counted_regions(cells.where("optical AND radar"), by, width, tile=tile), by)
+
+
 def retrieval_report(tiles: DataFrame, kept: Column, threshold: Column, score: str = "score", key: str = "id") -> DataFrame:
     """(key, score, rank, is_relevant, reason): kept tiles first, each group by falling score; why the others were left out."""
     told = tiles.withColumn("__kept", kept).withColumn("__below", F.col(score) < threshold)
@@ -103,11 +168,12 @@ def retrieval_summary(tiles: DataFrame, kept: Column, threshold: float | Column,
 
 
 def index_change(df: DataFrame, by: list[str], before: Column, after: Column, width: int, floor: float = 0.05, step: float = 0.12, increase: bool = True, tile: int = 256) -> DataFrame:
-    """(by, changed_pixels, valid_pixels, changed_percent, regions, mean_changed, strength, confidence) of an index between two dates.
+    """(by, changed_pixels, valid_pixels, changed_percent, regions, region_pixels, mean_changed, strength, confidence) of an index
+    between two dates.
 
     A cell has changed that moved by ``step`` in the wanted direction and lies above ``floor`` at the date when there is
-    more; cells with fewer than four changed ones among their 3 x 3 do not count. Regions are by side. Cells without both
-    dates are left out; a scene without change has strength 0 and confidence 0.58.
+    more; cells with fewer than four changed ones among their 3 x 3 do not count. Regions are by side and have four cells or
+    more, as ``region_pixels`` counts. Cells without both dates are left out; a scene without change has strength 0 and confidence 0.58.
     """
     cells = df.select(*by, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), before.alias("__a"), after.alias("__b")).where("__a IS NOT NULL AND __b IS NOT NULL")
     move = F.col("__b") - F.col("__a")
@@ -115,9 +181,8 @@ def index_change(df: DataFrame, by: list[str], before: Column, after: Column, wi
     cells = _written(N.denoise(cells.withColumn("__m", mask), "__m", "changed", 4, N.Grid(scene=tuple(by))).select(*by, "r", "c", "changed", F.abs(move).alias("__d")))
     hit = F.when(F.col("changed"), F.col("__d"))
     told = cells.groupBy(*by).agg(F.count_if("changed").alias("changed_pixels"), F.count("*").alias("valid_pixels"), F.coalesce(F.avg(hit), F.lit(0.0)).alias("mean_changed"))
-    labels = label_components(cells.where("changed").select(*by, "r", "c"), width, tile=tile, by=tuple(by))
-    regions = labels.groupBy(*by).agg(F.count_distinct("label").alias("regions"))
+    regions = counted_regions(cells.where("changed"), by, width, tile=tile)
     strength = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("mean_changed") / 0.4))
-    out = (told.join(regions, by, "left") if by else told.crossJoin(F.broadcast(regions))).withColumn("regions", F.coalesce("regions", F.lit(0)))
+    out = _with_regions(told, regions, by)
     confidence = F.when(F.col("changed_pixels") > 0, F.round(0.67 + 0.18 * strength, 3)).otherwise(0.58)
-    return out.select(*by, "changed_pixels", "valid_pixels", (100.0 * F.col("changed_pixels") / F.col("valid_pixels")).alias("changed_percent"), "regions", "mean_changed", strength.alias("strength"), confidence.alias("confidence"))
+    return out.select(*by, "changed_pixels", "valid_pixels", (100.0 * F.col("changed_pixels") / F.col("valid_pixels")).alias("changed_percent"), "regions", "region_pixels", "mean_changed", strength.alias("strength"), confidence.alias("confidence"))

@@ -67,9 +67,9 @@ register("t13_index_change", lambda s, d: H.index_change(S.derived_scene(s, d).w
     f"""WITH RECURSIVE {PX}, m AS (SELECT r // 21 AS scene, r, c, 6 * (red - 0.5) AS a, 6 * (red2 - 0.5) AS b FROM s WHERE red IS NOT NULL AND red2 IS NOT NULL), h AS (SELECT *, b - a >= 0.12 AND b >= 0.05 AS m FROM m),
     k AS MATERIALIZED (SELECT h.scene, h.r, h.c, any_value(abs(h.b - h.a)) AS d, any_value(h.m) AND count(*) FILTER (o.m) >= 4 AS m FROM h JOIN h o ON o.scene = h.scene AND o.r BETWEEN h.r - 1 AND h.r + 1 AND o.c BETWEEN h.c - 1 AND h.c + 1 GROUP BY h.scene, h.r, h.c),
     z AS (SELECT scene, r, c, r * 64 + c AS label FROM k WHERE m UNION SELECT n.scene, n.r, n.c, z.label FROM z JOIN k n ON n.m AND n.scene = z.scene AND abs(n.r - z.r) + abs(n.c - z.c) = 1),
-    l AS (SELECT scene, count(DISTINCT label) AS regions FROM (SELECT scene, r, c, min(label) AS label FROM z GROUP BY scene, r, c) GROUP BY scene),
+    l AS (SELECT scene, count(*) AS regions, sum(n) AS region_pixels FROM (SELECT scene, label, count(*) AS n FROM (SELECT scene, r, c, min(label) AS label FROM z GROUP BY scene, r, c) GROUP BY scene, label HAVING count(*) >= 4) GROUP BY scene),
     t AS (SELECT scene, count(*) FILTER (m) AS changed_pixels, count(*) AS valid_pixels, coalesce(avg(d) FILTER (m), 0) AS mean_changed FROM k GROUP BY scene)
-    SELECT scene, changed_pixels, valid_pixels, 100.0 * changed_pixels / valid_pixels AS changed_percent, coalesce(regions, 0) AS regions, mean_changed, CASE WHEN changed_pixels > 0 THEN round(0.67 + 0.18 * least(1, mean_changed / 0.4), 3) ELSE 0.58 END AS confidence FROM t LEFT JOIN l USING (scene)""", "changed_percent mean_changed confidence")
+    SELECT scene, changed_pixels, valid_pixels, 100.0 * changed_pixels / valid_pixels AS changed_percent, coalesce(regions, 0) AS regions, CAST(coalesce(region_pixels, 0) AS BIGINT) AS region_pixels, mean_changed, CASE WHEN changed_pixels > 0 THEN round(0.67 + 0.18 * least(1, mean_changed / 0.4), 3) ELSE 0.58 END AS confidence FROM t LEFT JOIN l USING (scene)""", "changed_percent mean_changed confidence")
 register("t15_class_shift", lambda s, d: P.class_shift(table(s, d, "lineitem"), "l_returnflag", F.when(F.month("l_shipdate") < 7, 0).otherwise(1), 0.01), """WITH n AS (SELECT l_returnflag, count(*) FILTER (month(l_shipdate) < 7) AS b, count(*) FILTER (NOT month(l_shipdate) < 7) AS a FROM lineitem GROUP BY 1),
     q AS (SELECT l_returnflag, 100.0 * b / sum(b) OVER () AS before, 100.0 * a / sum(a) OVER () AS after FROM n)
     SELECT l_returnflag, before, after, after - before AS shift FROM q WHERE abs(round(after - before, 9)) >= 0.01""", "before after shift")

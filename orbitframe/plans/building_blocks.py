@@ -13,7 +13,9 @@ from ..operators import grids as K
 from ..operators import questions as Q
 from ..operators import regions as G
 from ..operators import tiles as T
+from ..sources import features as V
 from ..sources import scenes as S
+from ..streaming.catalog import shared
 from .grids import _BAND, _bands
 from .registry import _BOX, PX, _STATS, register, stats, table
 from .rulings import _ASKED, _re, _sql
@@ -90,3 +92,70 @@ register(
     f"""WITH a AS (SELECT id, trim(lower(coalesce(q, ''))) AS q FROM ({_ASKED})) SELECT id, regexp_matches(q, {_re(Q.PHRASES["change"])}) AS is_change, regexp_matches(q, {_re(Q.PHRASES["fusion"])}) AS is_fusion,
         regexp_matches(q, {_sql("|".join(Q.UNSUPPORTED))}) AS is_unsupported, length(q) < 3 OR q IN ({", ".join(map(_sql, Q.UNCLEAR))}) AS is_unclear FROM a""",
 )
+
+
+# S: files written from the tables and read back; a file holds a block of ids, so blocks and not files grow in number -------
+def _features(s, d: str) -> DataFrame:
+    x, y = c("l_quantity").cast("double"), c("l_linenumber").cast("double")
+    rows = table(s, d, "lineitem").select(F.floor(c("l_orderkey") / 4096).alias("block"), "l_orderkey", "l_linenumber", "l_returnflag", V.rectangle(x, y, x + 10, y + 1).alias("ring"))
+    rows = rows.withColumn("kind", F.when(c("l_returnflag") != "N", c("l_returnflag"))).withColumn("ring", F.when(c("l_linenumber") < 7, c("ring")))
+    path = shared(s, "collections")
+    V.feature_collections(rows, ["block"], ["l_orderkey", "l_linenumber", "kind"], "ring").write.partitionBy("block").text(path)
+    read = V.read_features(s, path, "*.txt")
+    x0, y0, x1, y1 = V.geometry_bounds(c("geometry.coordinates"))
+    named = lambda n: F.element_at("properties", n).cast("long").alias(n)
+    kind = F.when(c("kind") == F.regexp_replace("file", r"\.[^.]*$", ""), "file").otherwise(c("kind"))
+    return read.select(named("l_orderkey"), named("l_linenumber"), kind.alias("kind"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+
+
+register(
+    "s03_read_features", _features,
+    "SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CASE WHEN l_returnflag <> 'N' THEN l_returnflag ELSE 'file' END AS kind, l_quantity AS x0, l_linenumber AS y0, l_quantity + 10 AS x1, l_linenumber + 1 AS y1 FROM lineitem WHERE l_linenumber < 7", "x0 y0 x1 y1",
+)
+
+
+def _manifests(s, d: str) -> DataFrame:
+    """A manifest per order, its line items as entries; orders without any have an empty list."""
+    entries = table(s, d, "lineitem").select(c("l_orderkey").alias("o_orderkey"), F.struct(c("l_linenumber").alias("nth"), c("l_returnflag").alias("name"), c("l_tax").cast("double").alias("cloud")).alias("e")).groupBy("o_orderkey").agg(F.collect_list("e").alias("tiles"))
+    path = shared(s, "manifests")
+    table(s, d, "orders").select(c("o_orderkey"), c("o_orderstatus").alias("state")).join(entries, "o_orderkey", "left").withColumn("tiles", F.coalesce("tiles", F.array())).write.json(path)
+    return V.read_manifests(s, path, "o_orderkey long, state string, tiles array<struct<nth: long, name: string, cloud: double>>", "tiles", lines=True)
+
+
+register(
+    "s05_read_manifests", _manifests,
+    "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_orderstatus AS state, CAST(l_linenumber AS BIGINT) AS nth, l_returnflag AS name, l_tax AS cloud FROM orders JOIN lineitem ON l_orderkey = o_orderkey", "cloud",
+)
+
+
+def _texts(s, d: str) -> DataFrame:
+    """A text per block of parts: sizes as keys and values, brands as rows, and a remark; every tenth line has room around it."""
+    part = table(s, d, "part").withColumn("block", F.floor(c("p_partkey") / 500))
+    key, room = c("p_partkey").cast("string"), F.when(c("p_partkey") % 10 == 0, "  ").otherwise("")
+    line = lambda *x: F.concat(room, *x, room)
+    rows = part.select("block", "p_partkey", F.explode(F.array(
+        F.struct(F.lit("META").alias("section"), line(F.lit("part "), key, F.lit(": "), c("p_size").cast("string"), F.lit(": cm")).alias("line")),
+        F.struct(F.lit("PATCHES").alias("section"), line(key, F.lit(" | "), c("p_brand"), F.lit("|x: "), c("p_type")).alias("line")),
+        F.struct(F.lit("REMARKS").alias("section"), line(F.lit("# "), c("p_name")).alias("line")),
+    )).alias("e")).select("block", "p_partkey", "e.*")
+    path = shared(s, "texts")
+    V.sectioned_text(rows, ["block"], "section", "line", ["p_partkey"]).write.partitionBy("block").text(path)
+    read = V.read_sectioned_text(s, f"{path}/block=*")
+    return read.select("section", "key", "value", F.array_join("parts", ";").alias("parts"))
+
+
+register(
+    "s06_read_sectioned_text", _texts,
+    """SELECT 'META' AS section, 'part ' || p_partkey AS key, p_size || ': cm' AS value, NULL AS parts FROM part
+    UNION ALL SELECT 'PATCHES', NULL, NULL, p_partkey || ';' || p_brand || ';x: ' || p_type FROM part""",
+)
+
+
+def _grid(s, d: str) -> DataFrame:
+    path = shared(s, "grid")
+    px = S.derived_pixels(s, d)
+    V.write_grid(px.repartition("b"), path, ["b"])
+    return V.read_grid(s, path, "r int, c int, v double, b int").select("r", "c", "b", "v")
+
+
+register("s09_write_grid", _grid, f"WITH {PX} SELECT r, c, b, v FROM px", "v")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import change as H
 from ..sources import scenes as S
 from .analysis import BOTH, pair
-from .registry import _WIN, PX, register, windows
+from .registry import _WIN, PX, register, table, windows
 
 c = F.col
 
@@ -66,6 +66,38 @@ register(
     SELECT c, round(x, 3) AS agreement, round(x * 100, 2) AS iou_percent, round(f, 3) AS confirmed_percent,
     round(0.4 * 0.88 + 0.6 * least(1.0, greatest(0.1, round(x, 3) / 0.60)), 3) AS confidence FROM k""", "agreement iou_percent confirmed_percent confidence",
 )
+_TOLD = "CASE " + " ".join(f"WHEN coalesce(given = '{n}', false) OR coalesce(regexp_matches(lower(q), '{'|'.join(w)}'), false) THEN '{n}'" for n, w in H.FUSION_WORDS.items()) + " ELSE coalesce(nullif(given, ''), 'water') END"
+register(
+    "f10_fusion_target", lambda s, d: table(s, d, "conversations").select("conv_id", "turn", H.fusion_target(F.element_at(F.array(F.lit(None), *map(F.lit, ("", "water", "road", "vegetation"))), (c("turn") % 5 + 1).cast("int")), c("text")).alias("target")),
+    f"WITH q AS (SELECT conv_id, turn, text AS q, [NULL, '', 'water', 'road', 'vegetation'][turn % 5 + 1] AS given FROM conversations) SELECT conv_id, turn, {_TOLD} AS target FROM q",
+)
+
+
+def _fused(s, d: str) -> DataFrame:
+    """Scenes of six rows and their targets in turn, every other one without spectral indices; radar and brightness are spread over 0..1."""
+    px = S.derived_scene(s, d).withColumn("scene", F.floor(c("r") / 6).cast("int"))
+    px = px.withColumn("target", F.element_at(F.array(*map(F.lit, ("water", "built-up", "vegetation", "general", "road"))), (c("scene") % 5 + 1).cast("int"))).withColumn("multispectral", c("scene") % 2 == 0)
+    light, radar = 0.3 + 2 * ((c("red") + c("green") + c("nir")) / 3 - 0.5), 0.5 + 4 * (c("swir") - 0.5)
+    return H.fused_masks(px, c("target"), c("multispectral"), light, radar, 4 * (c("green") - c("nir")), 4 * (c("nir") - c("red")), c("red"), c("green"))
+
+
+_FUSED = f"""WITH RECURSIVE {PX}, v AS (SELECT *, r // 6 AS scene, ['water', 'built-up', 'vegetation', 'general', 'road'][r // 6 % 5 + 1] AS target, r // 6 % 2 = 0 AS multispectral, 0.3 + 2 * ((red + green + nir) / 3 - 0.5) AS light, 0.5 + 4 * (swir - 0.5) AS echo FROM s),
+    m AS MATERIALIZED (SELECT CAST(scene AS INT) AS scene, r, c, target, multispectral,
+        coalesce(CASE target WHEN 'water' THEN CASE WHEN multispectral THEN 4 * (green - nir) >= 0.12 ELSE light <= 0.25 END WHEN 'built-up' THEN light >= 0.4 WHEN 'vegetation' THEN CASE WHEN multispectral THEN 4 * (nir - red) >= 0.35 ELSE green > red END ELSE light >= 0.3 END, false) AS optical,
+        coalesce(CASE target WHEN 'water' THEN echo <= 0.28 WHEN 'built-up' THEN echo >= 0.55 WHEN 'vegetation' THEN echo BETWEEN 0.35 AND 0.7 ELSE echo >= 0.35 END, false) AS radar FROM v)"""
+register(
+    "f10_fused_masks", lambda s, d: _fused(s, d).select("scene", "r", "c", "target", "optical", "radar", "seen"),
+    f"{_FUSED} SELECT scene, r, c, target, optical, radar, CASE WHEN optical AND radar THEN 'both' WHEN optical THEN 'optical' WHEN radar THEN 'radar' END AS seen FROM m",
+)
+register(
+    "t18_fusion_report", lambda s, d: H.fusion_report(_fused(s, d), ["scene", "target", "multispectral"], 64, c("multispectral"), tile=16),
+    f"""{_FUSED}, z AS (SELECT scene, r, c, r * 64 + c AS label FROM m WHERE optical AND radar UNION SELECT n.scene, n.r, n.c, z.label FROM z JOIN m n ON n.optical AND n.radar AND n.scene = z.scene AND abs(n.r - z.r) + abs(n.c - z.c) = 1),
+    l AS (SELECT scene, count(*) AS regions, sum(n) AS region_pixels FROM (SELECT scene, label, count(*) AS n FROM (SELECT scene, r, c, min(label) AS label FROM z GROUP BY scene, r, c) GROUP BY scene, label HAVING count(*) >= 4) GROUP BY scene),
+    k AS (SELECT scene, target, multispectral, count(*) FILTER (optical AND radar) / greatest(count(*) FILTER (optical OR radar), 1) AS x, 100.0 * count(*) FILTER (optical AND radar) / count(*) AS f FROM m GROUP BY ALL)
+    SELECT scene, target, multispectral, round(x, 3) AS agreement, round(x * 100, 2) AS iou_percent, round(f, 3) AS confirmed_percent,
+    round(0.4 * CASE WHEN multispectral THEN 0.88 ELSE 0.82 END + 0.6 * least(1.0, greatest(0.1, round(x, 3) / 0.60)), 3) AS confidence,
+    CAST(coalesce(regions, 0) AS BIGINT) AS regions, CAST(coalesce(region_pixels, 0) AS BIGINT) AS region_pixels FROM k LEFT JOIN l USING (scene)""", "agreement iou_percent confirmed_percent confidence",
+)
 #: As if every third tile overlapped a better one.
 _KEPT = lambda: (c("score") >= 0.15) & (c("id") % 3 != 0)
 register(

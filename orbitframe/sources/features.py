@@ -10,14 +10,14 @@ RING = "array<array<array<double>>>"
 FEATURES = f"type string, features array<struct<type: string, properties: map<string, string>, geometry: struct<type: string, coordinates: {RING}>>>"
 
 
-def read_features(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, kind, properties, geometry): one row per feature of every GeoJSON file below the folder.
+def read_features(spark: SparkSession, folder: str, names: str = "*.geojson") -> DataFrame:
+    """(file, kind, properties, geometry): one row per feature of every GeoJSON file below the folder whose name fits.
 
     A kind that is not given is the file's stem. Files that are no JSON and features without geometry are left out.
     """
-    files = spark.read.schema(FEATURES).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.geojson").option("mode", "PERMISSIVE").json(folder)
+    files = spark.read.schema(FEATURES).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", names).option("mode", "PERMISSIVE").json(folder)
     rows = files.select(F.col("_metadata.file_name").alias("file"), F.explode("features").alias("f")).where("f.geometry.coordinates IS NOT NULL")
-    stem = F.regexp_replace("file", r"\.geojson$", "")
+    stem = F.regexp_replace("file", r"\.[^.]*$", "")
     return rows.select("file", F.coalesce(F.element_at("f.properties", "kind"), stem).alias("kind"), F.col("f.properties").alias("properties"), F.col("f.geometry").alias("geometry"))
 
 
@@ -53,12 +53,39 @@ def read_feature_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.element_at("f.properties", "kind").alias("kind"), F.col("f.properties").alias("properties"), F.col("f.geometry").alias("geometry"))
 
 
-def read_manifests(spark: SparkSession, folder: str, schema: str, entries: str) -> DataFrame:
-    """One row per entry of the JSON manifests below a folder."""
-    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(folder)
+def read_manifests(spark: SparkSession, folder: str, schema: str, entries: str, lines: bool = False) -> DataFrame:
+    """One row per entry of the JSON manifests below a folder: a manifest per file, or per line. Manifests without entries have no row."""
+    rows = spark.read.schema(schema).option("multiLine", not lines).option("recursiveFileLookup", True).json(folder)
     return rows.select("*", F.explode(entries).alias("__e")).drop(entries).select("*", "__e.*").drop("__e")
 
 
+def feature_collections(df: DataFrame, by: list[str], properties: list[str], coordinates: str) -> DataFrame:
+    """(by, value): a GeoJSON document per group with a feature per row, in the order of the properties.
+
+    A group is one row, so ``by`` must name bounded groups, such as a scene's block; ``write_features`` has no such bound.
+    """
+    told = F.create_map(*[x for p in properties for x in (F.lit(p), F.col(p).cast("string"))])
+    feature = F.struct(F.lit("Feature").alias("type"), told.alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.col(coordinates).alias("coordinates")).alias("geometry"))
+    lists = df.select(*by, F.struct(*properties, F.to_json(feature).alias("f")).alias("x")).groupBy(*by).agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return lists.select(*by, F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("x.f", ","), F.lit("]}")).alias("value"))
+
+
+def sectioned_text(rows: DataFrame, by: list[str], section: str, line: str, order: list[str]) -> DataFrame:
+    """(by, value): a text per group, a ``[SECTION]`` header before each section's lines; groups and their order as the columns say.
+
+    A text is one row and is read back as one, so ``by`` must name bounded groups.
+    """
+    first = F.row_number().over(W.partitionBy(*by, section).orderBy(*order)) == 1
+    told = F.when(first, F.concat(F.lit("["), F.col(section), F.lit("]\n"), F.col(line))).otherwise(F.col(line))
+    lists = rows.withColumn("__t", told).select(*by, F.struct(section, *order, "__t").alias("x")).groupBy(*by).agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return lists.select(*by, F.array_join("x.__t", "\n").alias("value"))
+
+
+def read_grid(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``write_grid`` wrote; filters on the parts open only their folders."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_grid(df: DataFrame, path: str, parts: list[str]) -> None:
     """A pixel table by product and scene, so that a reader of one scene opens only its files."""
     df.write.partitionBy(*parts).parquet(path)

@@ -81,3 +81,43 @@ def test_polygons_with_holes_and_corners(spark):
     assert {(r.label, r.r, r.c) for r in polygons.rasterize(out).collect()} == set(ring + corner)
     assert polygons.geometry_matches_mask(out, df.where("label < 3")).count() == 0
     assert [tuple(r) for r in polygons.geometry_matches_mask(out, df.where("label < 3 AND NOT (label = 2 AND c = 9)")).collect()] == [(2, 0, 2)]
+
+
+def test_collections_and_texts_come_back(spark, tmp_path):
+    """Features without a shape and properties without a value are left out; an empty table writes nothing that is read."""
+    rows = spark.createDataFrame([(0, "b", None, 1.0), (0, "a", "x", 2.0), (1, "c", "y", None)], "block int, name string, note string, x double")
+    x = F.col("x")
+    shaped = rows.withColumn("ring", F.when(x.isNotNull(), features.rectangle(x, x, x + 1, x + 1)))
+    features.feature_collections(shaped, ["block"], ["name", "note"], "ring").write.partitionBy("block").text(str(tmp_path / "a"))
+    got = features.read_features(spark, str(tmp_path / "a"), "*.txt").collect()
+    assert sorted((r.properties["name"], r.properties.get("note")) for r in got) == [("a", "x"), ("b", None)]
+    features.feature_collections(shaped.where("false"), ["block"], ["name"], "ring").write.partitionBy("block").text(str(tmp_path / "b"))
+    assert features.read_features(spark, str(tmp_path / "b"), "*.txt").count() == 0
+
+    lines = spark.createDataFrame([(0, 1, "A", "k: v"), (0, 2, "B", "1 | 2"), (0, 0, "B", "# no"), (0, 3, "A", "l:m:n")], "block int, nth int, section string, line string")
+    texts = features.sectioned_text(lines, ["block"], "section", "line", ["nth"])
+    assert [r.value for r in texts.collect()] == ["[A]\nk: v\nl:m:n\n[B]\n# no\n1 | 2"]
+
+
+def test_manifests_of_lines(spark, tmp_path):
+    (tmp_path / "m.json").write_text("".join(json.dumps(x) + "\n" for x in ({"scene": "a", "tiles": [{"x": 1}]}, {"scene": "b", "tiles": []}, {"scene": "c"}, {"scene": "d", "tiles": [{"x": 2}, {}]})))
+    rows = features.read_manifests(spark, str(tmp_path), "scene string, tiles array<struct<x: int>>", "tiles", lines=True)
+    assert sorted((tuple(r) for r in rows.collect()), key=str) == [("a", 1), ("d", 2), ("d", None)]
+
+
+def test_fused_masks_and_their_regions(spark):
+    """NULL and NaN cells are in no mask, unknown targets are compared as general, regions of three cells do not count."""
+    from orbitframe.operators import change
+
+    ask = spark.createDataFrame([(None, None), ("", "Which Rivers?"), ("road", None), ("water", "urban water"), ("road", "crop"), ("general", "the sea")], "target string, q string")
+    assert [r[0] for r in ask.select(change.fusion_target(F.col("target"), F.col("q"))).collect()] == ["water", "water", "road", "built-up", "vegetation", "water"]
+
+    nan = float("nan")
+    cells = [(1, "road", r, c, True, 0.9, 0.9) for r, c in ((0, 0), (0, 1), (1, 0), (1, 1), (3, 3), (3, 4), (4, 3))]
+    cells += [(1, "road", 6, 0, True, nan, 0.9), (1, "road", 6, 1, True, 0.9, None), (2, "water", 0, 0, False, 0.1, 0.1), (2, "water", 0, 1, False, None, nan), (3, "water", 0, 0, True, 0.1, 0.1)]
+    df = spark.createDataFrame(cells, "scene int, target string, r int, c int, multi boolean, light double, radar double")
+    none = F.lit(None).cast("double")
+    masks = change.fused_masks(df, F.col("target"), F.col("multi"), F.col("light"), F.col("radar"), none, none, none, none)
+    assert {(r.scene, r.r, r.c): r.seen for r in masks.where("scene > 1 OR r = 6").collect()} == {(1, 6, 0): "radar", (1, 6, 1): "optical", (2, 0, 0): "both", (2, 0, 1): None, (3, 0, 0): "radar"}
+    told = change.fusion_report(masks, ["scene", "target", "multi"], 8, F.col("multi"), tile=4).orderBy("scene").collect()
+    assert [(r.regions, r.region_pixels, r.iou_percent, r.confidence) for r in told] == [(1, 4, 77.78, 0.952), (0, 0, 100.0, 0.928), (0, 0, 0.0, 0.412)]
