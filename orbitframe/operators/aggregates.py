@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.storage import written
+
 
 def class_coverage(df: DataFrame, by: list[str], label: str, p: Column | None = None) -> DataFrame:
     """Pixels and percent per class over valid pixels; with p also the mean probability. The total comes from the groups."""
@@ -31,7 +33,7 @@ def exact_percentiles(df: DataFrame, by: list[str], x: Column, shares: dict[str,
     ranks = [F.struct(F.lit(name).alias("name"), F.lit(i).alias("side"), (F.floor if i == 0 else F.ceil)(spot(q)).cast("long").alias("rank"), (spot(q) - F.floor(spot(q))).alias("part")) for name, q in shares.items() for i in (0, 1)]
     keys = [*by, "name", "side", "rank", "part"]
     state = ends.select(*by, "__lo", "__hi", F.explode(F.array(*ranks)).alias("__k")).select(*by, "__k.*", "__lo", "__hi", F.lit(0).cast("long").alias("__before"))
-    met = lambda now: (src.join(now, by) if by else src.crossJoin(now)).where(F.col("__x").between(F.col("__lo"), F.col("__hi")))
+    met = lambda now: (src.join(now, by) if by else src.crossJoin(F.broadcast(now))).where(F.col("__x").between(F.col("__lo"), F.col("__hi")))
 
     def narrow(groups: DataFrame, order: str) -> DataFrame:
         """Of counted groups in order, the one that holds each rank."""
@@ -50,7 +52,7 @@ def exact_percentiles(df: DataFrame, by: list[str], x: Column, shares: dict[str,
 
 def with_group(df: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
     """df with the columns of small, which has one row per group, or one in all."""
-    return df.join(small, by, "left") if by else df.crossJoin(small)
+    return df.join(small, by, "left") if by else df.crossJoin(F.broadcast(small))
 
 
 def index_summary(df: DataFrame, by: list[str], x: Column) -> DataFrame:
@@ -206,12 +208,51 @@ def relative_to_first(df: DataFrame, by: list[str], order: list[Column], x: str,
     return with_group(df, first, by).withColumn(out, F.try_divide(F.col(x).cast("double"), F.col("__first"))).drop("__first")
 
 
+def in_ranges(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """df as a written table in sorted ranges: __part names the range, __own counts a group's rows in it from 1.
+
+    A group of any size spreads over as many ranges as it fills, so no task holds more than a range; what its ranges add up
+    to passes from one to the next by ``carried``. Rows with equal group and order are in one range.
+    """
+    ranged = df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id())
+    return written(ranged.withColumn("__own", F.row_number().over(W.partitionBy(*by, "__part").orderBy(*order))), "ranges")
+
+
+def carried(ranged: DataFrame, by: list[str], own: dict[str, Column], over: dict[str, Column]) -> DataFrame:
+    """ranged with the columns ``over``: window expressions over a group's ranges in order, one row each, of the aggregates ``own``.
+
+    NULL is a group like any other.
+    """
+    parts = ranged.groupBy(*by, "__part").agg(*[x.alias(n) for n, x in own.items()])
+    keys = [*by, "__part"]
+    parts = parts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[x.alias(n) for n, x in over.items()])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return ranged.join(parts, same).drop(*[f"__k{i}" for i in range(len(keys))])
+
+
+def _ranges(by: list[str]) -> tuple[W, W, W]:
+    """Windows of ``in_ranges``: a group's rows in one range so far, its earlier ranges, and all of them."""
+    parts = W.partitionBy(*by)
+    return W.partitionBy(*by, "__part").orderBy("__own").rowsBetween(W.unboundedPreceding, 0), parts.orderBy("__part").rowsBetween(W.unboundedPreceding, -1), parts
+
+
 def cumulative(df: DataFrame, by: list[str], order: list[Column], x: str, out: str) -> DataFrame:
-    return df.withColumn(out, F.sum(x).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    """df with the running sum of x in each group's order; NULL until there is a value. Groups may be of any size."""
+    here, before, _ = _ranges(by)
+    kind = df.select(F.sum(x).alias("x")).schema["x"].dataType
+    ranged = carried(in_ranges(df, by, order), by, {"__sum": F.sum(x)}, {"__before": F.sum("__sum").over(before)})
+    run = F.sum(x).over(here)
+    return ranged.withColumn(out, F.coalesce(F.col("__before") + run, "__before", run).cast(kind)).drop("__part", "__own", "__before")
 
 
 def forward_fill(df: DataFrame, by: list[str], order: list[Column], x: str, out: str) -> DataFrame:
-    return df.withColumn(out, F.last(x, True).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    """df with the last value of x so far in each group's order; NULL until there is one. Groups may be of any size."""
+    here, before, _ = _ranges(by)
+    last = F.max_by(x, F.when(F.col(x).isNotNull(), F.col("__own")))
+    ranged = carried(in_ranges(df, by, order), by, {"__last": last}, {"__before": F.last("__last", True).over(before)})
+    return ranged.withColumn(out, F.coalesce(F.last(x, True).over(here), "__before")).drop("__part", "__own", "__before")
 
 
 def dominant_class(df: DataFrame, by: list[str], label: str) -> DataFrame:
@@ -221,13 +262,14 @@ def dominant_class(df: DataFrame, by: list[str], label: str) -> DataFrame:
 
 
 def even_sample(df: DataFrame, by: list[str], order: list[Column], most: int = 32) -> DataFrame:
-    """Evenly spaced rows of each group, both ends included, at most so many."""
-    w = W.partitionBy(*by)
-    df = df.withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(w))
+    """Evenly spaced rows of each group, both ends included, at most so many. Groups may be of any size."""
+    _, before, every = _ranges(by)
+    counts = {"__before": F.coalesce(F.sum("__count").over(before), F.lit(0)), "__n": F.sum("__count").over(every)}
+    df = carried(in_ranges(df, by, order), by, {"__count": F.count("*")}, counts).withColumn("__i", F.col("__before") + F.col("__own") - 1)
     # row i is chosen when it is floor(j (n - 1) / (most - 1)) for some j
     j = F.ceil(F.col("__i") * (most - 1) / F.greatest(F.col("__n") - 1, F.lit(1)))
     hit = (F.floor(j * (F.col("__n") - 1) / (most - 1)) == F.col("__i")) & (j <= most - 1)
-    return df.where((F.col("__n") <= most) | hit).drop("__i", "__n")
+    return df.where((F.col("__n") <= most) | hit).drop("__i", "__n", "__part", "__own", "__before")
 
 
 def confidence_weakest(df: DataFrame, by: list[str], confidence: Column, quality: float, alignment: float, penalty: float, cap: float = 0.98) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import written as _written
 from . import aggregates as A
 from . import focal as N
 from .pairs import radiometric_normalization
-from .regions import _written, label_components
+from .regions import label_components
 from .tiles import rank_tiles
 
 

@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import written as _written
 from .focal import Grid
 from .grids import distance_to_background
-from .regions import _written, label_components, min_label
+from .regions import label_components, min_label
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .regions import _written, min_label
+from ..sources.storage import written as _written
+from .regions import min_label
 
 
 def assign(score: np.ndarray) -> list[tuple[int, int]]:

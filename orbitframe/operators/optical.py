@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.storage import written as _written
 from .aggregates import otsu
 from .focal import Grid
 from .grids import on_halo_tiles
-from .regions import _written, label_components
+from .regions import label_components
 
 
 def _clip(x: Column, lo: float, hi: float) -> Column:

@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.storage import written as _written
 from .aggregates import exact_percentiles
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """A table in the shared folder, read back: each round's plan stays short and survives lost executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="orbitframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/orbitframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def min_label(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node reachable, for the nodes of edges (u, v).
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .regions import _written, min_label, numbered
+from ..sources.storage import written as _written
+from .regions import min_label, numbered
 
 
 def tile_starts(length: Column, size: int, step: int) -> Column:

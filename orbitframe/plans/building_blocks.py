@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import aggregates as A
 from ..operators import catalog as C
 from ..operators import evaluation as E
 from ..operators import focal as N
@@ -15,7 +16,7 @@ from ..operators import regions as G
 from ..operators import tiles as T
 from ..sources import features as V
 from ..sources import scenes as S
-from ..streaming.catalog import shared
+from ..sources.storage import shared
 from .grids import _BAND, _bands
 from .registry import _BOX, PX, _STATS, register, stats, table
 from .rulings import _ASKED, _re, _sql
@@ -159,3 +160,29 @@ def _grid(s, d: str) -> DataFrame:
 
 
 register("s09_write_grid", _grid, f"WITH {PX} SELECT r, c, b, v FROM px", "v")
+
+
+# W, L: groups that hold a quarter of all rows and more, in sorted ranges --------------------------------------------------
+def _lines(s, d: str) -> DataFrame:
+    """Quantities by return flag, order and line; one flag is NULL, and every third line has no quantity."""
+    flag = F.when(c("l_returnflag") != "A", c("l_returnflag")).alias("flag")
+    whole = table(s, d, "lineitem").groupBy(flag, "l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"))
+    return whole.select("flag", "l_orderkey", "l_linenumber", F.when((c("l_orderkey") + c("l_linenumber")) % 3 > 0, c("q")).alias("x"))
+
+
+_LINES = """l AS (SELECT flag, l_orderkey, l_linenumber, CASE WHEN (l_orderkey + l_linenumber) % 3 > 0 THEN q END AS x
+    FROM (SELECT CASE WHEN l_returnflag <> 'A' THEN l_returnflag END AS flag, l_orderkey, l_linenumber, sum(l_quantity) AS q FROM lineitem GROUP BY ALL))"""
+_ORDER = lambda: [F.desc("l_orderkey"), c("l_linenumber")]
+register(
+    "w05_running_total", lambda s, d: A.cumulative(_lines(s, d), ["flag"], _ORDER(), "x", "upto"),
+    f"WITH {_LINES} SELECT *, sum(x) OVER (PARTITION BY flag ORDER BY l_orderkey DESC, l_linenumber ROWS UNBOUNDED PRECEDING) AS upto FROM l", "x upto",
+)
+register(
+    "w06_last_value", lambda s, d: A.forward_fill(_lines(s, d), ["flag"], _ORDER(), "x", "last"),
+    f"WITH {_LINES} SELECT *, last_value(x IGNORE NULLS) OVER (PARTITION BY flag ORDER BY l_orderkey DESC, l_linenumber ROWS UNBOUNDED PRECEDING) AS last FROM l", "x last",
+)
+register(
+    "l06_even_sample_of_lines", lambda s, d: A.even_sample(_lines(s, d), ["flag"], _ORDER(), 1000).select("flag", "l_orderkey", "l_linenumber"),
+    f"""WITH {_LINES}, q AS (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY l_orderkey DESC, l_linenumber) - 1 AS i, count(*) OVER (PARTITION BY flag) AS n FROM l)
+    SELECT flag, l_orderkey, l_linenumber FROM q WHERE n <= 1000 OR i IN (SELECT j * (k.n - 1) // 999 FROM (SELECT DISTINCT n FROM q) k, range(1000) t(j) WHERE k.n = q.n)""",
+)

@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder all executors see; where none is set (tests), in a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="orbitframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/orbitframe-{name}-{uuid.uuid4().hex}"
+from ..sources.storage import shared
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

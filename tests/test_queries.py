@@ -73,6 +73,37 @@ def test_percentiles_and_numbers(spark):
     assert [r.n for r in out] == list(range(1, 1201)) and [r.x for r in out] == sorted(r.x for r in out)
 
 
+@pytest.fixture
+def small_ranges(spark):
+    """Small tables keep all their ranges."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_ordered_groups_spread_over_ranges(spark, small_ranges):
+    """One group holds most rows and many ranges; NULL is a group; an empty table stays empty; no columns are added but the named one."""
+    from orbitframe.operators import aggregates
+    from pyspark.sql import functions as F
+
+    rows = [(1, i, i % 7 if i % 3 == 0 else None) for i in range(3000)] + [(None, i, i) for i in range(40)] + [(2, 0, None), (2, 1, None)]
+    df = spark.createDataFrame(rows, "k int, i int, x int").repartition(5)
+    want_sum, want_last = {}, {}
+    for k in (1, None, 2):
+        total = last = None
+        for _, i, x in sorted((r for r in rows if r[0] == k), key=lambda r: -r[1]):
+            total, last = (total or 0) + x if x is not None else total, x if x is not None else last
+            want_sum[k, i], want_last[k, i] = total, last
+    for make, want in ((aggregates.cumulative, want_sum), (aggregates.forward_fill, want_last)):
+        out = make(df, ["k"], [F.desc("i")], "x", "y")
+        assert out.columns == ["k", "i", "x", "y"] and {(r.k, r.i): r.y for r in out.collect()} == want
+        assert make(df.where("false"), ["k"], [F.desc("i")], "x", "y").count() == 0
+    spread = aggregates.in_ranges(df, ["k"], [F.desc("i")])
+    assert spread.where("k = 1").select("__part").distinct().count() > 1
+    got = aggregates.even_sample(df, ["k"], [F.col("i")], 50)
+    assert {(r.k, r.i) for r in got.collect()} == {(1, j * 2999 // 49) for j in range(50)} | {(None, i) for i in range(40)} | {(2, 0), (2, 1)}
+
+
 def test_shift_is_found_coarse_to_fine(spark):
     import numpy as np
     from orbitframe.operators import pairs
