@@ -238,6 +238,14 @@ def _ranges(by: list[str]) -> tuple[W, W, W]:
     return W.partitionBy(*by, "__part").orderBy("__own").rowsBetween(W.unboundedPreceding, 0), parts.orderBy("__part").rowsBetween(W.unboundedPreceding, -1), parts
 
 
+def ranked(df: DataFrame, by: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
+    """df with each row's rank in its group, from 1. Groups may be of any size; ``top_per_group`` is cheaper for a few ranks."""
+    _, before, _ = _ranges(by)
+    earlier = {"__before": F.coalesce(F.sum("__count").over(before), F.lit(0))}
+    placed = carried(in_ranges(df, by, order), by, {"__count": F.count("*")}, earlier)
+    return placed.withColumn(rank, F.col("__before") + F.col("__own")).drop("__part", "__own", "__before")
+
+
 def cumulative(df: DataFrame, by: list[str], order: list[Column], x: str, out: str) -> DataFrame:
     """df with the running sum of x in each group's order; NULL until there is a value. Groups may be of any size."""
     here, before, _ = _ranges(by)

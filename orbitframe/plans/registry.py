@@ -246,7 +246,7 @@ register(
 )
 register("v11_confidence_weakest", lambda s, d: A.confidence_weakest(table(s, d, "events"), ["user_id"], F.col("value") / 500, 0.9, 0.8, 0.1), "SELECT user_id, min(least(value / 500, 0.98)) * 0.9 * 0.8 * 0.9 AS confidence FROM events GROUP BY user_id", "confidence")
 _O = lambda: [F.desc("o_totalprice"), F.col("o_orderkey")]
-register("w01_rank_features", lambda s, d: A.top_per_group(table(s, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), ["o_orderpriority"], _O(), 1_000_000_000), "SELECT o_orderkey, o_orderpriority, o_totalprice, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS rank FROM orders", "o_totalprice")
+register("w01_rank_features", lambda s, d: A.ranked(table(s, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), ["o_orderpriority"], _O()), "SELECT o_orderkey, o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders", "o_totalprice")
 register("w03_share_of_total", lambda s, d: A.share_of_total(table(s, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), ["o_orderpriority"], "o_totalprice", "share").select("o_orderkey", (F.col("share") * 1000).alias("share")), "SELECT o_orderkey, 1000 * o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_orderpriority) AS share FROM orders", "share")
 register(
     "w04_relative_to_first", lambda s, d: A.relative_to_first(table(s, d, "orders"), ["o_orderpriority"], [-F.col("o_totalprice"), F.col("o_orderkey")], "o_totalprice", "x").select("o_orderkey", "x"),
@@ -343,7 +343,7 @@ def water_rise(spark: SparkSession, d: str) -> DataFrame:
     df = S.derived_scene(spark, d).select("r", "c", F.coalesce(_NDWI_RISE(), F.lit(False)).alias("rise"))
     clean = N.denoise(df, "rise", "clean")
     rows_ = clean.groupBy("r").agg(F.count_if("clean").alias("pixels"), F.count("*").alias("all_n"))
-    return A.top_per_group(rows_.withColumn("percent", 100.0 * F.col("pixels") / F.col("all_n")).withColumn("scene", F.lit(0)), ["scene"], [F.desc("pixels"), F.col("r")], 1_000_000_000)
+    return A.ranked(rows_.withColumn("percent", 100.0 * F.col("pixels") / F.col("all_n")).withColumn("scene", F.lit(0)), ["scene"], [F.desc("pixels"), F.col("r")])
 
 
-register("water_rise", water_rise, f"WITH {PX}, m AS (SELECT r, c, coalesce({_RISE}, false) AS m FROM s), k AS (" + _BOX.format(agg="bool_or(o.m AND o.r = a.r AND o.c = a.c) AND count(*) FILTER (o.m) >= 4 AS k", t="m", h=1) + "), q AS (SELECT r, count(*) FILTER (k) AS pixels, count(*) AS all_n FROM k GROUP BY r) SELECT r, pixels, all_n, 100.0 * pixels / all_n AS percent, 0 AS scene, CAST(row_number() OVER (ORDER BY pixels DESC, r) AS INT) AS rank FROM q", "percent")
+register("water_rise", water_rise, f"WITH {PX}, m AS (SELECT r, c, coalesce({_RISE}, false) AS m FROM s), k AS (" + _BOX.format(agg="bool_or(o.m AND o.r = a.r AND o.c = a.c) AND count(*) FILTER (o.m) >= 4 AS k", t="m", h=1) + "), q AS (SELECT r, count(*) FILTER (k) AS pixels, count(*) AS all_n FROM k GROUP BY r) SELECT r, pixels, all_n, 100.0 * pixels / all_n AS percent, 0 AS scene, row_number() OVER (ORDER BY pixels DESC, r) AS rank FROM q", "percent")

@@ -100,6 +100,8 @@ def test_ordered_groups_spread_over_ranges(spark, small_ranges):
         assert make(df.where("false"), ["k"], [F.desc("i")], "x", "y").count() == 0
     spread = aggregates.in_ranges(df, ["k"], [F.desc("i")])
     assert spread.where("k = 1").select("__part").distinct().count() > 1
+    order = {k: {i: n for n, i in enumerate(sorted((r[1] for r in rows if r[0] == k), reverse=True), 1)} for k in (1, None, 2)}
+    assert all(r["rank"] == order[r.k][r.i] for r in aggregates.ranked(df, ["k"], [F.desc("i")]).collect())
     got = aggregates.even_sample(df, ["k"], [F.col("i")], 50)
     assert {(r.k, r.i) for r in got.collect()} == {(1, j * 2999 // 49) for j in range(50)} | {(None, i) for i in range(40)} | {(2, 0), (2, 1)}
 
