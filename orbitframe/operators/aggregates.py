@@ -209,13 +209,13 @@ def relative_to_first(df: DataFrame, by: list[str], order: list[Column], x: str,
 
 
 def in_ranges(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """df as a written table in sorted ranges: __part names the range, __own counts a group's rows in it from 1.
+    """df as a written table in sorted ranges: __part names the range, __at rises by one from row to row in it.
 
     A group of any size spreads over as many ranges as it fills, so no task holds more than a range; what its ranges add up
     to passes from one to the next by ``carried``. Rows with equal group and order are in one range.
     """
-    ranged = df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id())
-    return written(ranged.withColumn("__own", F.row_number().over(W.partitionBy(*by, "__part").orderBy(*order))), "ranges")
+    ranged = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    return written(ranged.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at")), "ranges")
 
 
 def carried(ranged: DataFrame, by: list[str], own: dict[str, Column], over: dict[str, Column]) -> DataFrame:
@@ -235,15 +235,20 @@ def carried(ranged: DataFrame, by: list[str], own: dict[str, Column], over: dict
 def _ranges(by: list[str]) -> tuple[W, W, W]:
     """Windows of ``in_ranges``: a group's rows in one range so far, its earlier ranges, and all of them."""
     parts = W.partitionBy(*by)
-    return W.partitionBy(*by, "__part").orderBy("__own").rowsBetween(W.unboundedPreceding, 0), parts.orderBy("__part").rowsBetween(W.unboundedPreceding, -1), parts
+    return W.partitionBy(*by, "__part").orderBy("__at").rowsBetween(W.unboundedPreceding, 0), parts.orderBy("__part").rowsBetween(W.unboundedPreceding, -1), parts
+
+
+def _placed(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """df with each row's place in its group from 0, __i, and the group's number of rows, __n."""
+    _, before, every = _ranges(by)
+    counts = {"__first": F.col("__first"), "__before": F.coalesce(F.sum("__count").over(before), F.lit(0)), "__n": F.sum("__count").over(every)}
+    df = carried(in_ranges(df, by, order), by, {"__first": F.min("__at"), "__count": F.count("*")}, counts)
+    return df.withColumn("__i", F.col("__before") + F.col("__at") - F.col("__first")).drop("__part", "__at", "__first", "__before")
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
     """df with each row's rank in its group, from 1. Groups may be of any size; ``top_per_group`` is cheaper for a few ranks."""
-    _, before, _ = _ranges(by)
-    earlier = {"__before": F.coalesce(F.sum("__count").over(before), F.lit(0))}
-    placed = carried(in_ranges(df, by, order), by, {"__count": F.count("*")}, earlier)
-    return placed.withColumn(rank, F.col("__before") + F.col("__own")).drop("__part", "__own", "__before")
+    return _placed(df, by, order).withColumn(rank, F.col("__i") + 1).drop("__i", "__n")
 
 
 def cumulative(df: DataFrame, by: list[str], order: list[Column], x: str, out: str) -> DataFrame:
@@ -252,15 +257,15 @@ def cumulative(df: DataFrame, by: list[str], order: list[Column], x: str, out: s
     kind = df.select(F.sum(x).alias("x")).schema["x"].dataType
     ranged = carried(in_ranges(df, by, order), by, {"__sum": F.sum(x)}, {"__before": F.sum("__sum").over(before)})
     run = F.sum(x).over(here)
-    return ranged.withColumn(out, F.coalesce(F.col("__before") + run, "__before", run).cast(kind)).drop("__part", "__own", "__before")
+    return ranged.withColumn(out, F.coalesce(F.col("__before") + run, "__before", run).cast(kind)).drop("__part", "__at", "__before")
 
 
 def forward_fill(df: DataFrame, by: list[str], order: list[Column], x: str, out: str) -> DataFrame:
     """df with the last value of x so far in each group's order; NULL until there is one. Groups may be of any size."""
     here, before, _ = _ranges(by)
-    last = F.max_by(x, F.when(F.col(x).isNotNull(), F.col("__own")))
+    last = F.max_by(x, F.when(F.col(x).isNotNull(), F.col("__at")))
     ranged = carried(in_ranges(df, by, order), by, {"__last": last}, {"__before": F.last("__last", True).over(before)})
-    return ranged.withColumn(out, F.coalesce(F.last(x, True).over(here), "__before")).drop("__part", "__own", "__before")
+    return ranged.withColumn(out, F.coalesce(F.last(x, True).over(here), "__before")).drop("__part", "__at", "__before")
 
 
 def dominant_class(df: DataFrame, by: list[str], label: str) -> DataFrame:
@@ -271,13 +276,11 @@ def dominant_class(df: DataFrame, by: list[str], label: str) -> DataFrame:
 
 def even_sample(df: DataFrame, by: list[str], order: list[Column], most: int = 32) -> DataFrame:
     """Evenly spaced rows of each group, both ends included, at most so many. Groups may be of any size."""
-    _, before, every = _ranges(by)
-    counts = {"__before": F.coalesce(F.sum("__count").over(before), F.lit(0)), "__n": F.sum("__count").over(every)}
-    df = carried(in_ranges(df, by, order), by, {"__count": F.count("*")}, counts).withColumn("__i", F.col("__before") + F.col("__own") - 1)
+    df = _placed(df, by, order)
     # row i is chosen when it is floor(j (n - 1) / (most - 1)) for some j
     j = F.ceil(F.col("__i") * (most - 1) / F.greatest(F.col("__n") - 1, F.lit(1)))
     hit = (F.floor(j * (F.col("__n") - 1) / (most - 1)) == F.col("__i")) & (j <= most - 1)
-    return df.where((F.col("__n") <= most) | hit).drop("__i", "__n", "__part", "__own", "__before")
+    return df.where((F.col("__n") <= most) | hit).drop("__i", "__n")
 
 
 def confidence_weakest(df: DataFrame, by: list[str], confidence: Column, quality: float, alignment: float, penalty: float, cap: float = 0.98) -> DataFrame:
