@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import written
 
+#: Rows of some twenty numbers that are broadcast at most.
+FEW = 100_000
+
 
 def class_coverage(df: DataFrame, by: list[str], label: str, p: Column | None = None) -> DataFrame:
     """Pixels and percent per class over valid pixels; with p also the mean probability. The total comes from the groups."""
@@ -26,14 +29,20 @@ def exact_percentiles(df: DataFrame, by: list[str], x: Column, shares: dict[str,
 
     Histograms narrow each wanted rank down to a cell, ``levels`` times; only the distinct values of the last cells are
     ranked, about one in ``cells`` ** ``levels``. No task holds a group's values. Nulls and NaN count for nothing.
+
+    The ends of the groups are a small table, whose size is known: up to ``FEW`` wanted ranks are broadcast to the values,
+    so that these are not shuffled; more are joined by group.
     """
     src = df.select(*by, x.cast("double").alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
     ends = src.groupBy(*by).agg(F.count("*").alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    ends = written(ends, "ends")
+    few = ends.count() * 2 * len(shares) <= FEW
     spot = lambda q: F.lit(float(q)) * (F.col("__n") - 1)
     ranks = [F.struct(F.lit(name).alias("name"), F.lit(i).alias("side"), (F.floor if i == 0 else F.ceil)(spot(q)).cast("long").alias("rank"), (spot(q) - F.floor(spot(q))).alias("part")) for name, q in shares.items() for i in (0, 1)]
     keys = [*by, "name", "side", "rank", "part"]
     state = ends.select(*by, "__lo", "__hi", F.explode(F.array(*ranks)).alias("__k")).select(*by, "__k.*", "__lo", "__hi", F.lit(0).cast("long").alias("__before"))
-    met = lambda now: (src.join(now, by) if by else src.crossJoin(F.broadcast(now))).where(F.col("__x").between(F.col("__lo"), F.col("__hi")))
+    sized = F.broadcast if few else lambda x: x
+    met = lambda now: (src.join(sized(now), by) if by else src.crossJoin(F.broadcast(now))).where(F.col("__x").between(F.col("__lo"), F.col("__hi")))
 
     def narrow(groups: DataFrame, order: str) -> DataFrame:
         """Of counted groups in order, the one that holds each rank."""

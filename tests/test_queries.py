@@ -56,11 +56,13 @@ def test_labels_of_several_scenes(spark):
         assert {(x.scene, x.r, x.c): x.label for x in got.collect()} == want
 
 
-def test_percentiles_and_numbers(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_percentiles_and_numbers(spark, monkeypatch, few):
     import numpy as np
     from orbitframe.operators import aggregates, regions
     from pyspark.sql import functions as F
 
+    monkeypatch.setattr(aggregates, "FEW", few)
     rng = np.random.default_rng(9)
     data = [(int(k), float(x)) for k in range(3) for x in rng.lognormal(sigma=4, size=400)] + [(5, 1.0)] * 50 + [(6, None), (7, float("nan")), (8, 3.0)]
     df = spark.createDataFrame(data, "k int, x double")
