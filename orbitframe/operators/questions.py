@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import human_area, tag_first
@@ -86,51 +86,55 @@ def _named(conditions: dict[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(F.coalesce(x, F.lit(False)), F.lit(n)) for n, x in conditions.items()]), lambda x: x.isNotNull())
 
 
-def _has(facts: Column, names: tuple[str, ...] | Column) -> Column:
-    names = F.array(*map(F.lit, names)) if isinstance(names, tuple) else names
-    return F.size(F.array_except(names, facts)) == 0
+def _texts(words: tuple[str, ...]) -> Column:
+    return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
 
 
-def _says(q: Column, words: tuple[str, ...]) -> Column:
-    """Does a text hold one of some phrases? Those that hold another one of them need no look."""
-    least = [w for w in words if not any(v != w and v in w for v in words)]
-    out = F.contains(q, F.lit(least[0]))
-    for w in least[1:]:
-        out = out | F.contains(q, F.lit(w))
-    return out
+def _table(rows: list[tuple], names: tuple[str, ...]) -> Column:
+    """A small table as one constant, an array of rows; texts, numbers and tuples of texts."""
+    cell = lambda x: _texts(x) if isinstance(x, tuple) else F.lit(x).cast("int" if isinstance(x, int) else "string")
+    return F.array(*[F.struct(*[cell(x).alias(n) for n, x in zip(names, row, strict=True)]) for row in rows])
 
 
-def task_facts(text: Column, images: Column, pair: Column) -> Column:
-    """Names of what a question says and of what its images are, as an array."""
-    q = F.btrim(F.lower(text))
-    says = {n: _says(q, words) for n, words in PHRASES.items()}
-    target = tag_first(q, TARGETS)
-    several = images >= 2
-    return _named(says | {
+def _fits(facts: Column, needs: Column, bars: Column) -> Column:
+    """Do all of some facts hold, and none of others?"""
+    return F.forall(needs, lambda n: F.array_contains(facts, n)) & ~F.exists(bars, lambda n: F.array_contains(facts, n))
+
+
+def with_task_facts(questions: DataFrame, text: Column, images: Column, pair: Column) -> DataFrame:
+    """questions with ``__target`` and ``__facts``, the names of what a question says and of what its images are.
+
+    Each step is a column that later ones refer to, and phrases lie in one constant that is gone through per question: as one
+    expression with a term per phrase, the text would be prepared again for every phrase and the code outgrow the compiler.
+    """
+    least = lambda words: tuple(w for w in words if not any(v != w and v in w for v in words))  # noqa: E731  others hold one of these
+    phrases = _table([(n, least(words)) for n, words in PHRASES.items()], ("name", "words"))
+    df = questions.withColumns({"__q": F.btrim(F.lower(F.coalesce(text, F.lit("")))), "__n": images, "__pair": pair})
+    q = F.col("__q")
+    said = F.filter(phrases, lambda x: F.exists(x["words"], lambda w: F.contains(q, w)))
+    df = df.withColumns({"__target": tag_first(q, TARGETS), "__said": F.transform(said, lambda x: x["name"])})
+    says, target, several = (lambda n: F.array_contains("__said", F.lit(n))), F.col("__target"), F.col("__n") >= 2
+    more = _named({
         "unsupported": q.rlike("|".join(UNSUPPORTED)), "unclear": (F.length(q) < 3) | q.isin(*UNCLEAR), "targeted": target.isNotNull(), "any": F.lit(True),
-        "cross": says["fusion"] | (pair == "optical_sar") & (several | ~says["change"]), "temporal": several | says["change"] | (pair == "bi_temporal"),
+        "cross": says("fusion") | (F.col("__pair") == "optical_sar") & (several | ~says("change")), "temporal": several | says("change") | (F.col("__pair") == "bi_temporal"),
         **{f"target:{t}": target == t for t, _ in TARGETS},
     })
-
-
-def rule_table(spark: SparkSession) -> DataFrame:
-    rows = [(k, trigger, list(needs), list(bars), *rest) for k, (trigger, needs, bars, *rest) in enumerate(RULES)]
-    return spark.createDataFrame(rows, "priority int, trigger string, needs array<string>, bars array<string>, application string, task string, specific string, own string")
+    return df.withColumn("__facts", F.concat("__said", more)).drop("__q", "__n", "__pair", "__said")
 
 
 def tag_tasks(questions: DataFrame, key: str, text: Column, images: Column, pair: Column) -> DataFrame:
     """(key, application, task, specific_task, target, parts, is_multi): one task per question by a decision table.
 
-    Each fact that a question states meets the rules it triggers in an equi-join with the table, a few dozen rows that are
-    broadcast; of the rules whose other facts hold, the first counts. Questions about one image may have several parts; one
-    part is named after the task. Null questions are unclear. keys are unique.
+    Of the rules whose facts hold the first counts; the table is a constant, so a question is settled where it is read.
+    Questions about one image may have several parts; one part is named after the task. Null questions are unclear.
     """
-    facts = questions.select(F.col(key), tag_first(F.lower(text), TARGETS).alias("__target"), task_facts(F.coalesce(text, F.lit("")), images, pair).alias("__facts"))
-    parts = _named({n: _has(F.col("__facts"), needs) & (~F.arrays_overlap(F.array(*map(F.lit, bars)), F.col("__facts")) if bars else F.lit(True)) for n, needs, bars in PARTS})
-    facts = facts.withColumn("__parts", parts)
-    met = facts.withColumn("trigger", F.explode("__facts")).join(F.broadcast(rule_table(questions.sparkSession)), "trigger")
-    fits = _has(F.col("__facts"), F.col("needs")) & ~F.coalesce(F.arrays_overlap("bars", "__facts"), F.lit(False))
-    found = met.where(fits).groupBy(key).agg(F.min(F.struct("priority", "application", "task", "specific", "own", "__target", "__parts")).alias("x")).select(key, "x.*")
+    facts = F.col("__facts")
+    rules = _table(list(RULES), ("trigger", "needs", "bars", "application", "task", "specific", "own"))
+    parts = _table(list(PARTS), ("name", "needs", "bars"))
+    found = with_task_facts(questions, text, images, pair).select(
+        key, "__target", F.transform(F.filter(parts, lambda p: _fits(facts, p["needs"], p["bars"])), lambda p: p["name"]).alias("__parts"),
+        F.get(F.filter(rules, lambda r: F.array_contains(facts, r["trigger"]) & _fits(facts, r["needs"], r["bars"])), F.lit(0)).alias("__rule"),
+    ).select(key, "__target", "__parts", "__rule.*")
     single = F.col("application") == "single_image"
     multi = single & (F.size("__parts") > 1)
     named = F.when(F.col("application").isin("unsupported", "unclear"), F.lit(None)).otherwise(F.coalesce("own", "__target"))
