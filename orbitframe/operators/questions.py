@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .catalog import human_area, tag_first
@@ -256,16 +257,17 @@ def summary_cards(runs: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
     """
     spark = runs.sparkSession
     order = spark.createDataFrame([(i, *x.split(":")) for i, x in enumerate(FAMILIES)], "rank int, kind string, own string")
-    told = evidence.join(F.broadcast(order), "kind").withColumn("__t", F.to_json("metrics"))
-    first = told.groupBy(key).agg(F.min_by(F.struct("own", "metrics", "word"), F.struct("rank", "__t")).alias("e"))
+    told = evidence.join(F.broadcast(order), "kind").withColumn("__best", F.min("rank").over(W.partitionBy(key))).where(F.col("rank") == F.col("__best"))
+    told = told.withColumn("__t", F.to_json("metrics"))
+    first = told.groupBy(key).agg(F.min_by(F.struct("own", "metrics", "word"), "__t").alias("e"))
     poor = (F.col("status") == "insufficient_evidence") | (F.col("confidence") < 0.40)
     dry = (F.col("e.own") == "water") & (F.coalesce(F.col("e.metrics")["identified"], F.lit(1.0)) == 0.0)
     family = F.when(F.coalesce(poor, F.lit(True)), "insufficient").when(dry, "no_water").otherwise(F.coalesce("e.own", F.lit("generic")))
     df = runs.join(first, key, "left").select(key, family.alias("family"), "confidence", "scaled", F.coalesce("e.metrics", F.create_map().cast("map<string,double>")).alias("m"), F.col("e.word").alias("word"))
     cards = spark.createDataFrame([(i, *x) for i, x in enumerate(CARDS)], "place int, family string, label string, form string, metric string, other string, lack double")
-    met = df.join(F.broadcast(cards), "family")
-    form = F.col("form")
-    found = F.try_element_at("m", F.coalesce("metric", F.lit(""))), F.try_element_at("m", F.coalesce("other", F.lit("")))
+    # looked up once a card, not in every form
+    met = df.join(F.broadcast(cards), "family").withColumns({n: F.try_element_at("m", F.coalesce(x, F.lit(""))) for n, x in (("__a", "metric"), ("__b", "other"))})
+    form, found = F.col("form"), (F.col("__a"), F.col("__b"))
     usual = lambda *x: F.coalesce(*[F.nullif(v, F.lit(0.0)) for v in x], "lack")  # noqa: E731  a zero is no finding
     whole = lambda x: F.concat(F.bround(x, 0).cast("long").cast("string"), F.lit("%"))
     fine = lambda x: F.concat(F.format_string("%.2f", x), F.lit("%"))
